@@ -70,8 +70,13 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Derived signals lie on a grid, so a mean can lie just halfway between two rounded
+# values. A step off the grid keeps the last bit from deciding which one is taken.
+OFF_GRID = 1.2345e-7
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: F.round(F.col(c) + OFF_GRID, digits) for c in columns})
 
 
 def micros(column: str) -> Column:
@@ -233,4 +238,4 @@ def with_sql(tables: str, select: str) -> str:
 
 def r6(expression: str, name: str | None = None, digits: int = 6) -> str:
     """Rounded expression in SQL; adding 0 turns a negative zero into zero."""
-    return f"round({expression}, {digits}) + 0e0 AS {name or expression}"
+    return f"round({expression} + {OFF_GRID}, {digits}) + 0e0 AS {name or expression}"

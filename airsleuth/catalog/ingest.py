@@ -262,7 +262,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p7_narrow_floats", with_sql(LONG, f"SELECT {ROW}, {r6('CAST(temp_supply_celsius AS FLOAT)::DOUBLE', 'temp_supply_celsius', 4)} FROM long"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow = narrow_floats(long(spark, sf_dir))
-    return narrow.select(SCENARIO, "zone_id", SEQ, F.round(F.col("temp_supply_celsius").cast("double"), 4).alias("temp_supply_celsius"))
+    wide_again = narrow.withColumn("temp_supply_celsius", F.col("temp_supply_celsius").cast("double"))
+    return rounded(wide_again, "temp_supply_celsius", digits=4).select(SCENARIO, "zone_id", SEQ, "temp_supply_celsius")
 
 
 @query("p9_alert_level", """

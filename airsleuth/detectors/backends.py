@@ -55,15 +55,29 @@ def balanced(df: DataFrame, weights: dict[str, float], ids: list[str], seed: int
     )
 
 
-def margins_to_probabilities(raw: Column) -> Column:
-    """One-against-rest margins of boosted trees to probabilities that sum to 1."""
-    each = F.transform(raw, lambda m: 1 / (1 + F.exp(-2 * m)))
-    total = F.aggregate(each, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(each, lambda p: p / total)
+def share_out(parts: Column) -> Column:
+    """Parts of an array divided by their sum; an array of zeros stays."""
+    total = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
+    return F.transform(parts, lambda p: p / F.when(total == 0, F.lit(1.0)).otherwise(total))
+
+
+def one_against_rest(model: OneVsRestModel, rows: DataFrame, output: str) -> DataFrame:
+    """Add class probabilities: each model's own, divided by their sum.
+
+    The combined model would pass its margins through a Python function row by
+    row; the single models run in the JVM.
+    """
+    names = [f"_p{i}" for i in range(len(model.models))]
+    for name, single in zip(names, model.models):
+        before = rows.columns
+        rows = single.transform(rows).select(*before, vector_to_array("probability")[1].alias(name))
+    return rows.withColumn(output, share_out(F.array(*names))).drop(*names)
 
 
 def _vector(columns: list[Column]) -> Column:
-    return array_to_vector(F.array(*columns))
+    """Incomplete rows are filtered out, but Spark may test a condition on the model's
+    output first, so a null must not make the vector fail."""
+    return array_to_vector(F.array(*[F.coalesce(c, F.lit(0.0)) for c in columns]))
 
 
 class Backend(ABC):
@@ -135,11 +149,8 @@ class BoostedBackend(Backend):
         self.model = one.fit(data)
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
-        scored = self.model.transform(rows.withColumn(VECTOR, _vector([F.col(c) for c in FEATURES])))
-        return (
-            scored.withColumn("probability", margins_to_probabilities(vector_to_array("rawPrediction")))
-            .drop(VECTOR, "rawPrediction", "prediction")
-        )
+        vectors = rows.withColumn(VECTOR, _vector([F.col(c) for c in FEATURES]))
+        return one_against_rest(self.model, vectors, "probability").drop(VECTOR)
 
     def models(self) -> dict[str, Model]:
         return {"model": self.model}
@@ -163,8 +174,7 @@ def cascade_probabilities(p_fault: Column, family: Column, p_oa: Column, p_dampe
         "coi_stuck": p_fault * family[1] * (1 - p_damper), "damper_stuck": p_fault * family[1] * p_damper,
     }
     raw = F.array(*[F.coalesce(parts[c], F.lit(0.0)) if c in parts else F.lit(0.0) for c in classes])
-    total = F.aggregate(raw, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(raw, lambda p: p / F.when(total == 0, F.lit(1.0)).otherwise(total))
+    return share_out(raw)
 
 
 class CascadeBackend(Backend):
@@ -199,14 +209,12 @@ class CascadeBackend(Backend):
         scored = rows.withColumn(VECTOR, _vector([F.col(c) for c in FEATURES]))
         outputs = []
         for name, model in self.stages.items():
-            before = scored.columns
-            scored = model.transform(scored)
+            outputs.append(f"_{name}")
             if name == "family":
-                value = margins_to_probabilities(vector_to_array("rawPrediction"))
+                scored = one_against_rest(model, scored, "_family")
             else:
-                value = vector_to_array("probability")[1]
-            outputs.append(f"_{name}")
-            scored = scored.withColumn(f"_{name}", value).select(*before, f"_{name}")
+                before = scored.columns
+                scored = model.transform(scored).select(*before, vector_to_array("probability")[1].alias(f"_{name}"))
         stage = {n: F.col(f"_{n}") if n in self.stages else F.lit(None).cast("double") for n in ("fault", "bias", "stuck")}
         family = F.col("_family") if "family" in self.stages else F.lit(None).cast("array<double>")
         return scored.withColumn(

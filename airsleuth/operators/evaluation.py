@@ -170,7 +170,8 @@ def confusion_matrix(counts: DataFrame, labels: Sequence[str]) -> DataFrame:
     return checked.groupBy("truth").pivot("prediction", columns).agg(F.sum("n")).na.fill(0)
 
 
-def time_to_detect(events: DataFrame, starts: Mapping[str, datetime]) -> DataFrame:
+def time_to_detect(events: DataFrame, starts: Mapping[str, datetime],
+                   by: Sequence[str] = ("ground_truth",)) -> DataFrame:
     """Mean minutes from a fault's start to its events; negative when events come first."""
     require_columns(events, ["event_time", "ground_truth"])
     if not starts:
@@ -178,7 +179,7 @@ def time_to_detect(events: DataFrame, starts: Mapping[str, datetime]) -> DataFra
     begin = F.create_map(*[F.lit(v) for pair in starts.items() for v in pair])[F.col("ground_truth")]
     return (
         events.withColumn("_start", begin).filter(F.col("_start").isNotNull())
-        .groupBy("ground_truth")
+        .groupBy(*by)
         .agg(F.round(F.avg(minutes_between(F.col("event_time"), F.col("_start"))), 4).alias("mean_delay_min"))
     )
 

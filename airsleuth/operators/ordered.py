@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airsleuth.schema import SEQ, SERIES_KEYS, TIME
+from airsleuth.session import cut_lineage
 
 SLICE = "_slice"
 MAX_ROWS = 2_000_000
@@ -53,28 +54,23 @@ def _cut(low: Column, high: Column, rows: Column, max_rows: int) -> Column:
     return F.greatest(F.lit(1), F.ceil((high - low + 1) / slices)).cast("long")
 
 
-def slice_series(df: DataFrame, order: Order = Order(), max_rows: int = MAX_ROWS) -> DataFrame:
-    """Add ``_slice``, ascending with the order of rows within a key.
-
-    A key of up to ``max_rows`` rows is one slice. A bigger one is cut by time,
-    and a slice that is still too big because its rows crowd together is cut
-    again: by time, or by the tie-break where all its rows share one instant.
-    Both tables joined here have at most (all rows / max_rows) rows, so they
-    are broadcast.
-    """
+def _slice(df: DataFrame, order: Order, max_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with ``_slice``, and the keys that were cut (None if no key was)."""
     keys = list(order.keys)
     instant = F.unix_micros(order.time)
-    big = (
+    big = cut_lineage(
         df.groupBy(*keys)
         .agg(F.count("*").alias("_n"), F.min(instant).alias("_lo"), F.max(instant).alias("_hi"))
         .filter(F.col("_n") > max_rows)
         .select(*keys, "_lo", _cut(F.col("_lo"), F.col("_hi"), F.col("_n"), max_rows).alias("_width"))
     )
+    if big.isEmpty():
+        return df.withColumn(SLICE, F.lit(0).cast("long")), None
     first = F.coalesce(F.floor((instant - F.col("_lo")) / F.col("_width")), F.lit(0))
     once = df.join(F.broadcast(big), keys, "left").withColumn(SLICE, first.cast("long"))
 
     at = F.col("_t_hi") == F.col("_t_lo")
-    crowded = (
+    crowded = cut_lineage(
         once.filter(F.col("_lo").isNotNull())
         .groupBy(*keys, SLICE)
         .agg(
@@ -92,12 +88,26 @@ def slice_series(df: DataFrame, order: Order = Order(), max_rows: int = MAX_ROWS
     )
     place = F.when(F.col("_by_seq"), F.col(order.seq)).otherwise(instant)
     second = F.coalesce(F.floor((place - F.col("_lo2")) / F.col("_width2")), F.lit(0))
-    return (
+    twice = (
         once.drop("_lo", "_width")
         .join(F.broadcast(crowded), [*keys, SLICE], "left")
         .withColumn(SLICE, F.col(SLICE) * _SUB + second.cast("long"))
         .drop("_by_seq", "_lo2", "_width2")
     )
+    return twice, big.select(*keys)
+
+
+def slice_series(df: DataFrame, order: Order = Order(), max_rows: int = MAX_ROWS) -> DataFrame:
+    """Add ``_slice``, ascending with the order of rows within a key.
+
+    A key of up to ``max_rows`` rows is one slice. A bigger one is cut by time,
+    and a slice that is still too big because its rows crowd together is cut
+    again: by time, or by the tie-break where all its rows share one instant.
+    Big keys and crowded slices are looked for right away, reading keys and
+    order columns only. Their tables have at most (all rows / max_rows) rows,
+    so they are broadcast.
+    """
+    return _slice(df, order, max_rows)[0]
 
 
 def slice_sizes(sliced: DataFrame, order: Order = Order()) -> DataFrame:
@@ -135,21 +145,25 @@ def with_run_up(df: DataFrame, rows_back: int, order: Order = Order(),
     A slice can hold fewer than ``rows_back`` rows; its rows then go to every
     later slice they are near enough to.
     """
-    sliced = slice_series(df, order, max_rows)
+    sliced, cut_keys = _slice(df, order, max_rows)
+    own = sliced.withColumn("_copy", F.lit(False))
+    if cut_keys is None:
+        return own
     following = Window.partitionBy(*order.keys).orderBy(SLICE).rowsBetween(1, rows_back)
+    later = F.collect_list(F.struct(F.col(SLICE).alias("to"), F.col("_before").alias("start")))
     end = F.col("_before") + F.col("_rows")
-    targets = (
-        slice_sizes(sliced, order)
-        .withColumn("_later", F.collect_list(F.struct(F.col(SLICE).alias("to"), F.col("_before").alias("start"))).over(following))
+    targets = cut_lineage(
+        slice_sizes(sliced.join(F.broadcast(cut_keys), list(order.keys), "left_semi"), order)
+        .withColumn("_later", later.over(following))
         .select(*order.by_slice, F.explode("_later").alias("_next"), end.alias("_end"))
         .select(*order.by_slice, F.col("_next.to").alias("_to"),
                 (F.col("_next.start") - F.col("_end")).alias("_gap"))
         .filter(F.col("_gap") < rows_back)
     )
     backward = Window.partitionBy(*order.by_slice).orderBy(*order.latest_first())
-    # Keys of one slice have no target, so the semi join drops their rows early.
+    # a rank bounded from above is applied in each task before the shuffle
     last_rows = (
-        sliced.join(targets.select(*order.by_slice).distinct(), order.by_slice, "left_semi")
+        sliced.join(F.broadcast(cut_keys), list(order.keys), "left_semi")
         .withColumn("_from_end", F.row_number().over(backward))
         .filter(F.col("_from_end") <= rows_back)
     )
@@ -160,7 +174,7 @@ def with_run_up(df: DataFrame, rows_back: int, order: Order = Order(),
         .withColumn("_copy", F.lit(True))
         .select(*sliced.columns, "_copy")
     )
-    return sliced.withColumn("_copy", F.lit(False)).unionByName(copies)
+    return own.unionByName(copies)
 
 
 Kernel = Callable[[pd.DataFrame, np.ndarray], dict[str, np.ndarray]]

@@ -48,19 +48,19 @@ def count_detections(events: DataFrame, by: DetectionFilter = DetectionFilter())
 
 
 def detection_page(events: DataFrame, by: DetectionFilter = DetectionFilter(),
-                   page_size: int = PAGE_DEFAULT, skip: int = 0) -> DataFrame:
+                   page_size: int = PAGE_DEFAULT, skip: int = 0,
+                   seek_beyond: int = 100 * PAGE_MOST) -> DataFrame:
     """Matching events, newest first; ids break ties.
 
     Spark keeps the ``skip + page_size`` newest rows of each task. For a page
-    so deep that this would be much, the days before it are counted and left
-    out first.
+    deeper than ``seek_beyond`` the days before it are counted and left out first.
     """
     if not 1 <= page_size <= PAGE_MOST:
         raise ValueError(f"page_size must be between 1 and {PAGE_MOST}")
     if skip < 0:
         raise ValueError("skip must not be negative")
     matching = filter_detections(events, by)
-    if skip > 100 * PAGE_MOST:
+    if skip > seek_beyond:
         matching, skip = _leave_out_days(matching, skip, page_size)
     return matching.orderBy(F.col("event_time").desc(), F.col("id").desc()).offset(skip).limit(page_size)
 
