@@ -55,10 +55,10 @@ def balanced(df: DataFrame, weights: dict[str, float], ids: list[str], seed: int
     )
 
 
-def share_out(parts: Column) -> Column:
-    """Parts of an array divided by their sum; an array of zeros stays."""
-    total = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(parts, lambda p: p / F.when(total == 0, F.lit(1.0)).otherwise(total))
+def share_out(parts: list[Column]) -> Column:
+    """Parts divided by their sum, as an array; zeros stay zeros."""
+    total = sum(parts[1:], parts[0])
+    return F.array(*[p / F.when(total == 0, F.lit(1.0)).otherwise(total) for p in parts])
 
 
 def one_against_rest(model: OneVsRestModel, rows: DataFrame, output: str) -> DataFrame:
@@ -71,13 +71,24 @@ def one_against_rest(model: OneVsRestModel, rows: DataFrame, output: str) -> Dat
     for name, single in zip(names, model.models):
         before = rows.columns
         rows = single.transform(rows).select(*before, vector_to_array("probability")[1].alias(name))
-    return rows.withColumn(output, share_out(F.array(*names))).drop(*names)
+    once = computed_once(rows, {name: F.col(name) for name in names})
+    return once.withColumn(output, share_out([F.col(name) for name in names])).drop(*names)
 
 
 def _vector(columns: list[Column]) -> Column:
-    """Incomplete rows are filtered out, but Spark may test a condition on the model's
-    output first, so a null must not make the vector fail."""
-    return array_to_vector(F.array(*[F.coalesce(c, F.lit(0.0)) for c in columns]))
+    return array_to_vector(F.array(*columns))
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns as the output of a generator with one row.
+
+    Spark replaces a column by its expression wherever it is used, in conditions
+    too, and would run a model again for each use. It does not look through a
+    generator.
+    """
+    own = [c for c in df.columns if c not in columns]
+    values = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*own, F.inline(F.array(values)))
 
 
 class Backend(ABC):
@@ -123,7 +134,7 @@ class ForestBackend(Backend):
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
         scored = self.model.transform(rows.withColumn(VECTOR, _vector([F.col(c) for c in FEATURES])))
-        return scored.withColumn("probability", vector_to_array("probability")).drop(VECTOR, "rawPrediction", "prediction")
+        return computed_once(scored, {"probability": vector_to_array("probability")}).drop(VECTOR, "rawPrediction", "prediction")
 
     def models(self) -> dict[str, Model]:
         return {"model": self.model}
@@ -173,8 +184,7 @@ def cascade_probabilities(p_fault: Column, family: Column, p_oa: Column, p_dampe
         "coi_bias": p_fault * family[0] * (1 - p_oa), "oa_bias": p_fault * family[0] * p_oa,
         "coi_stuck": p_fault * family[1] * (1 - p_damper), "damper_stuck": p_fault * family[1] * p_damper,
     }
-    raw = F.array(*[F.coalesce(parts[c], F.lit(0.0)) if c in parts else F.lit(0.0) for c in classes])
-    return share_out(raw)
+    return share_out([F.coalesce(parts[c], F.lit(0.0)) if c in parts else F.lit(0.0) for c in classes])
 
 
 class CascadeBackend(Backend):
@@ -215,6 +225,7 @@ class CascadeBackend(Backend):
             else:
                 before = scored.columns
                 scored = model.transform(scored).select(*before, vector_to_array("probability")[1].alias(f"_{name}"))
+        scored = computed_once(scored, {name: F.col(name) for name in outputs})
         stage = {n: F.col(f"_{n}") if n in self.stages else F.lit(None).cast("double") for n in ("fault", "bias", "stuck")}
         family = F.col("_family") if "family" in self.stages else F.lit(None).cast("array<double>")
         return scored.withColumn(
@@ -253,7 +264,7 @@ class NeuralBackend(Backend):
 
     def _score(self, rows: DataFrame) -> DataFrame:
         scored = self.model.transform(self._scaled(rows))
-        return scored.withColumn("probability", vector_to_array("probability")).drop(VECTOR, "rawPrediction", "prediction")
+        return computed_once(scored, {"probability": vector_to_array("probability")}).drop(VECTOR, "rawPrediction", "prediction")
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
         return self._score(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -51,8 +52,10 @@ class Scaler:
         return {"means": self.means, "stds": self.stds}
 
 
-def _row() -> Column:
-    return F.struct(*FEATURES)
+def once_per_row(score: Callable[[Column], Column]) -> Column:
+    """A scoring function on the feature row. Marked as not repeatable, so that Spark
+    does not run it once for the condition on the score and again for its value."""
+    return score.asNondeterministic()(F.struct(*FEATURES))
 
 
 class MixtureDetector(ScoreDetector):
@@ -121,7 +124,7 @@ class MixtureDetector(ScoreDetector):
             top = parts.max(axis=1)
             return pd.Series(-(top + np.log(np.exp(parts - top[:, None]).sum(axis=1))))
 
-        return negative_log_likelihood(_row())
+        return once_per_row(negative_log_likelihood)
 
     def parameters(self) -> dict[str, Any]:
         return {
@@ -173,7 +176,7 @@ class ReconstructionDetector(ScoreDetector):
             x = scaler.batch(rows)
             return pd.Series(((x - x @ axes @ axes.T) ** 2).mean(axis=1))
 
-        return df.filter(complete(FEATURES)).withColumn("score", squared_error(_row()))
+        return df.filter(complete(FEATURES)).withColumn("score", once_per_row(squared_error))
 
     def parameters(self) -> dict[str, Any]:
         return {"scaler": self.scaler.state(), "axes": self.axes}
@@ -293,7 +296,7 @@ class IsolationForestDetector(ScoreDetector):
                 total += tree["depth"][at]
             return pd.Series(2.0 ** (-total / len(forest) / expected))
 
-        return df.filter(complete(FEATURES)).withColumn("score", isolation(_row()))
+        return df.filter(complete(FEATURES)).withColumn("score", once_per_row(isolation))
 
     def flag(self, scored: DataFrame) -> DataFrame:
         return scored.filter(F.col("score") >= self.flag_from)

@@ -14,6 +14,7 @@ def local_session(cpus: int | str = 8, memory: str = "8g", name: str = "airsleut
         SparkSession.builder.master(f"local[{cpus}]").appName(name)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -24,21 +25,25 @@ def local_session(cpus: int | str = 8, memory: str = "8g", name: str = "airsleut
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may do without the setting: it then gets a folder of
-    its own, which all its threads share.
+    Only a local master may do without the setting: all its threads share a
+    temporary folder, which is set once per context.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="airsleuth-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="airsleuth-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path no other run uses, in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path no other run uses, below a folder of this application in the shared folder.
+
+    The application's folder can be deleted once the application has ended.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark).rstrip('/')}/airsleuth-{application}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
