@@ -11,6 +11,7 @@ from airsleuth.functions.columns import fault_of_file
 from airsleuth.operators.features import build_features_from_wide
 from airsleuth.operators.reshape import normalize
 from airsleuth.schema import DIFFERENCES, LAG_COLUMNS, ROLLING_COLUMNS, ROLLING_WINDOWS
+from airsleuth.session import tune
 from airsleuth.sources.signals import BASE_MICROS, SCENARIO_SLOTS, STRETCH, load_wide_signals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,13 +22,12 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query, and its SQL where the result can be expressed in SQL."""
     def register(run: Query) -> Query:
-        def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return run(spark, sf_dir)
+        def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return run(tune(spark), sf_dir)
 
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = in_utc
+        QUERIES[name] = tuned
         if sql is not None:
             ORACLES[name] = sql
         return run

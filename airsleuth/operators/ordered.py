@@ -24,8 +24,6 @@ from airsleuth.session import cut_lineage
 
 SLICE = "_slice"
 MAX_ROWS = 2_000_000
-# Slices of a slice; one slice of at most all rows never needs more.
-_SUB = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -54,6 +52,29 @@ def _cut(low: Column, high: Column, rows: Column, max_rows: int) -> Column:
     return F.greatest(F.lit(1), F.ceil((high - low + 1) / slices)).cast("long")
 
 
+def _crowded(sliced: DataFrame, order: Order, max_rows: int) -> DataFrame:
+    """Slices of more than ``max_rows`` rows that can be cut, and how to cut them.
+
+    By time into equal parts, with the median instant apart, since rows that
+    crowd at one instant would stay together in any part. Where all rows share
+    one instant, by the tie-break.
+    """
+    instant = F.unix_micros(order.time)
+    sizes = sliced.groupBy(*order.by_slice).agg(
+        F.count("*").alias("_n"),
+        F.min(instant).alias("_t_lo"), F.max(instant).alias("_t_hi"),
+        F.min(order.seq).alias("_s_lo"), F.max(order.seq).alias("_s_hi"),
+        F.percentile_approx(instant, 0.5).alias("_median"),
+    )
+    by_time = F.col("_t_hi") > F.col("_t_lo")
+    return sizes.filter((F.col("_n") > max_rows) & (by_time | (F.col("_s_hi") > F.col("_s_lo")))).select(
+        *order.by_slice, by_time.alias("_by_time"), "_median",
+        F.when(by_time, F.col("_t_lo")).otherwise(F.col("_s_lo")).alias("_lo"),
+        F.when(by_time, _cut(F.col("_t_lo"), F.col("_t_hi"), F.col("_n"), max_rows))
+        .otherwise(_cut(F.col("_s_lo"), F.col("_s_hi"), F.col("_n"), max_rows)).alias("_width"),
+    )
+
+
 def _slice(df: DataFrame, order: Order, max_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows with ``_slice``, and the keys that were cut (None if no key was)."""
     keys = list(order.keys)
@@ -66,46 +87,32 @@ def _slice(df: DataFrame, order: Order, max_rows: int) -> tuple[DataFrame, DataF
     )
     if big.isEmpty():
         return df.withColumn(SLICE, F.lit(0).cast("long")), None
-    first = F.coalesce(F.floor((instant - F.col("_lo")) / F.col("_width")), F.lit(0))
-    once = df.join(F.broadcast(big), keys, "left").withColumn(SLICE, first.cast("long"))
-
-    at = F.col("_t_hi") == F.col("_t_lo")
-    crowded = cut_lineage(
-        once.filter(F.col("_lo").isNotNull())
-        .groupBy(*keys, SLICE)
-        .agg(
-            F.count("*").alias("_n"),
-            F.min(instant).alias("_t_lo"), F.max(instant).alias("_t_hi"),
-            F.min(order.seq).alias("_s_lo"), F.max(order.seq).alias("_s_hi"),
-        )
-        .filter(F.col("_n") > max_rows)
-        .select(
-            *keys, SLICE, at.alias("_by_seq"),
-            F.when(at, F.col("_s_lo")).otherwise(F.col("_t_lo")).alias("_lo2"),
-            F.when(at, _cut(F.col("_s_lo"), F.col("_s_hi"), F.col("_n"), max_rows))
-            .otherwise(_cut(F.col("_t_lo"), F.col("_t_hi"), F.col("_n"), max_rows)).alias("_width2"),
+    cut_keys = big.select(*keys)
+    part = F.coalesce(F.floor((instant - F.col("_lo")) / F.col("_width")), F.lit(0)).cast("long")
+    sliced = df.join(F.broadcast(big), keys, "left").withColumn(SLICE, part).drop("_lo", "_width")
+    while True:
+        in_big = sliced.join(F.broadcast(cut_keys), keys, "left_semi")
+        crowded = cut_lineage(_crowded(in_big, order, max_rows))
+        if crowded.isEmpty():
+            return sliced, cut_keys
+        place = F.when(F.col("_by_time"), instant).otherwise(F.col(order.seq))
+        beside = F.when(~F.col("_by_time") | (instant < F.col("_median")), 0).when(instant == F.col("_median"), 1).otherwise(2)
+        part = F.floor((place - F.col("_lo")) / F.col("_width")) * 3 + beside
+        sliced = (
+            sliced.join(F.broadcast(crowded), order.by_slice, "left")
+            .withColumn(SLICE, F.struct(F.col(SLICE), F.coalesce(part, F.lit(-1)).cast("long").alias("part")))
+            .drop("_by_time", "_median", "_lo", "_width")
         )
-    )
-    place = F.when(F.col("_by_seq"), F.col(order.seq)).otherwise(instant)
-    second = F.coalesce(F.floor((place - F.col("_lo2")) / F.col("_width2")), F.lit(0))
-    twice = (
-        once.drop("_lo", "_width")
-        .join(F.broadcast(crowded), [*keys, SLICE], "left")
-        .withColumn(SLICE, F.col(SLICE) * _SUB + second.cast("long"))
-        .drop("_by_seq", "_lo2", "_width2")
-    )
-    return twice, big.select(*keys)
 
 
 def slice_series(df: DataFrame, order: Order = Order(), max_rows: int = MAX_ROWS) -> DataFrame:
     """Add ``_slice``, ascending with the order of rows within a key.
 
     A key of up to ``max_rows`` rows is one slice. A bigger one is cut by time,
-    and a slice that is still too big because its rows crowd together is cut
-    again: by time, or by the tie-break where all its rows share one instant.
-    Big keys and crowded slices are looked for right away, reading keys and
-    order columns only. Their tables have at most (all rows / max_rows) rows,
-    so they are broadcast.
+    and slices that are still too big because their rows crowd together are cut
+    again until none is. Big keys and crowded slices are looked for right away,
+    reading keys and order columns only. Their tables have at most (all rows /
+    max_rows) rows, so they are broadcast.
     """
     return _slice(df, order, max_rows)[0]
 

@@ -8,15 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the operators count on; all can be set on a running session.
+
+    Times are in UTC. Methods that the JVM would not compile because they are
+    longer than 8000 bytes are not generated: feature rows have 85 columns, and
+    one interpreted method per row costs more than several compiled ones.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
 def local_session(cpus: int | str = 8, memory: str = "8g", name: str = "airsleuth") -> SparkSession:
     """A session for tests and the local bench; a cluster brings its own."""
-    return (
+    return tune(
         SparkSession.builder.master(f"local[{cpus}]").appName(name)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
