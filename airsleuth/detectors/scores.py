@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +51,25 @@ class Scaler:
         return {"means": self.means, "stds": self.stds}
 
 
+def covariance(df: DataFrame, scaler: Scaler) -> np.ndarray:
+    """Covariance of the standardized features of the training rows.
+
+    Each batch gives one matrix of sums of products; Spark adds them up.
+    """
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x = scaler.batch(rows)
+            i, j = np.indices((x.shape[1], x.shape[1]))
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": (x.T @ x).ravel(), "n": len(x)})
+
+    sums = df.select(*FEATURES).mapInPandas(products, "i int, j int, s double, n long").groupBy("i", "j").agg(
+        (F.sum("s") / F.sum("n")).alias("c")
+    ).toPandas()  # 961 rows
+    matrix = np.zeros((len(FEATURES), len(FEATURES)))
+    matrix[sums["i"], sums["j"]] = sums["c"]
+    return (matrix + matrix.T) / 2
+
+
 def once_per_row(score: Callable[[Column], Column]) -> Column:
     """A scoring function on the feature row. Marked as not repeatable, so that Spark
     does not run it once for the condition on the score and again for its value."""
@@ -61,9 +79,8 @@ def once_per_row(score: Callable[[Column], Column]) -> Column:
 class MixtureDetector(ScoreDetector):
     """Gaussian mixture; the score is the negative log-likelihood.
 
-    ``covariance='full'`` fits ``components`` with MLlib. ``'diag'`` with one
-    component has a closed form, needs no iteration and scores in built-in
-    expressions.
+    ``covariance='full'`` fits several ``components`` with MLlib. One component
+    has a closed form; with ``'diag'`` it also scores in built-in expressions.
     """
 
     signal = "gmm_nll_score"
@@ -85,7 +102,10 @@ class MixtureDetector(ScoreDetector):
             complete_rows(sample_for_mixture(normal_rows(df), SAMPLE_IDS, self.seed)).select(*SAMPLE_IDS, *FEATURES)
         )
         self.scaler = Scaler.of(normals)
-        if self.covariance == "full":
+        if self.covariance == "full" and self.components == 1:
+            self.weights, self.centers = [1.0], [[0.0] * len(FEATURES)]
+            self.covariances = [covariance(normals, self.scaler).tolist()]
+        elif self.covariance == "full":
             vectors = normals.select(array_to_vector(self.scaler.array()).alias("features"))
             model = GaussianMixture(k=self.components, maxIter=self.max_iter, seed=self.seed).fit(vectors)
             self.weights = [float(w) for w in model.weights]
@@ -140,7 +160,11 @@ class MixtureDetector(ScoreDetector):
 
 
 class ReconstructionDetector(ScoreDetector):
-    """Distance from the main subspace of normal rows: mean squared reconstruction error."""
+    """Distance from the main axes of normal rows: mean squared reconstruction error.
+
+    The axes are the eigenvectors of the 31 x 31 covariance that hold 95 % of
+    the variance.
+    """
 
     policy = "RECONSTRUCTION_ERROR"
     signal = "kan_mse"
@@ -161,10 +185,10 @@ class ReconstructionDetector(ScoreDetector):
             .select(*SAMPLE_IDS, *FEATURES)
         )
         self.scaler = Scaler.of(normals)
-        vectors = normals.select(array_to_vector(self.scaler.array()).alias("features"))
-        model = PCA(k=len(FEATURES), inputCol="features", outputCol="axes").fit(vectors)
-        kept = int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), self.VARIANCE_KEPT)) + 1
-        self.axes = model.pc.toArray()[:, : min(kept, len(FEATURES))].tolist()
+        variances, axes = np.linalg.eigh(covariance(normals, self.scaler))
+        shares = np.cumsum(variances[::-1]) / max(variances.sum(), 1e-12)
+        kept = int(np.searchsorted(shares, self.VARIANCE_KEPT)) + 1
+        self.axes = axes[:, ::-1][:, : min(kept, len(FEATURES))].tolist()
         self.set_thresholds(normals)
         return self
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +31,16 @@ class Rule:
     fires: Column
     index: Column
 
-    def hit(self) -> Column:
-        """A struct where the rule fires, else null."""
+    def hit(self, no: int) -> Column:
+        """The rule's place and hit where it fires, else null."""
         return F.when(self.fires, F.struct(
-            F.lit(self.policy).alias("violated_policy"),
-            F.lit(self.level).alias("alert_level"),
-            self.index.alias("anomaly_index"),
-            F.lit(self.signal).alias("trigger_signal"),
+            F.lit(no).alias("rule_no"),
+            F.struct(
+                F.lit(self.policy).alias("violated_policy"),
+                F.lit(self.level).alias("alert_level"),
+                self.index.alias("anomaly_index"),
+                F.lit(self.signal).alias("trigger_signal"),
+            ).alias("hit"),
         ))
 
 
@@ -72,10 +76,7 @@ def _identity(df: DataFrame) -> list[Column]:
 def rule_hits(df: DataFrame) -> DataFrame:
     """Every hit of every rule, one row each, with the rule's place in ``rule_no``."""
     require_columns(df, [*ROW_KEYS, SEQ])
-    hits = F.array(*[
-        F.when(rule.fires, F.struct(F.lit(no).alias("rule_no"), rule.hit().alias("hit")))
-        for no, rule in enumerate(rules(), start=1)
-    ])
+    hits = F.array(*[rule.hit(no) for no, rule in enumerate(rules(), start=1)])
     return (
         df.select(*_identity(df), F.explode(F.array_compact(hits)).alias("_fired"))
         .select(*ROW_KEYS, SEQ, "ground_truth", "_fired.rule_no", "_fired.hit.*",
@@ -86,18 +87,13 @@ def rule_hits(df: DataFrame) -> DataFrame:
 def rule_events(df: DataFrame) -> DataFrame:
     """One event per row key, from the first rule that fires there.
 
-    The rules are tested in one projection; only rows that hit are shuffled, and
-    rows of one key are reduced to one before the shuffle.
+    The rules are tested in one pass; only rows that hit are shuffled, and rows
+    of one key are reduced to one before the shuffle.
     """
     require_columns(df, [*ROW_KEYS, SEQ])
-    numbered = [
-        F.when(rule.fires, F.struct(F.lit(no).alias("rule_no"), rule.hit().alias("hit")))
-        for no, rule in enumerate(rules(), start=1)
-    ]
-    fired = (
-        df.select(*_identity(df), F.coalesce(*numbered).alias("_fired"))
-        .filter(F.col("_fired").isNotNull())
-    )
+    any_fires = reduce(Column.__or__, [rule.fires for rule in rules()])
+    first_hit = F.coalesce(*[rule.hit(no) for no, rule in enumerate(rules(), start=1)])
+    fired = df.filter(any_fires).select(*_identity(df), first_hit.alias("_fired"))
     first = F.min_by(
         F.struct("_fired.hit", "ground_truth"), F.struct("_fired.rule_no", SEQ)
     )
