@@ -209,7 +209,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rows.filter(F.col("alert_level") == "CRITICAL").agg(F.count("*").alias("anomalies_found"))
     total = found.first()["anomalies_found"]
     return spark.range(1).select(
-        F.lit(seen.get["rows"]).alias("records_processed"), F.lit(total).alias("anomalies_found"))
+        F.lit(seen.get["rows"]).cast("long").alias("records_processed"), F.lit(total).cast("long").alias("anomalies_found"))
 
 
 # --- projections ------------------------------------------------------------------

@@ -134,6 +134,8 @@ ZONE = "zone_id"
 SEQ = "row_seq"
 # One row of telemetry; a pair (zone, minute) repeats in every scenario file.
 ROW_KEYS = [SCENARIO, TIME, ZONE]
+# What a run from the cache reads: the default projection, and what tells rows apart.
+RUN_COLUMNS = [SCENARIO, SEQ, *CACHE_COLUMNS]
 SERIES_KEYS = [SCENARIO, ZONE]
 
 HIT_COLUMNS = [

@@ -9,14 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Settings the operators count on; all can be set on a running session.
-
-    Times are in UTC. Methods that the JVM would not compile because they are
-    longer than 8000 bytes are not generated: feature rows have 85 columns, and
-    one interpreted method per row costs more than several compiled ones.
-    """
+    """The setting the operators count on: times are in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
