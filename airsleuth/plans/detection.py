@@ -60,10 +60,13 @@ class Split:
 
 def split_rows(features: DataFrame, protocol: str = "annual", window: str = "final",
                held_out: str | None = None, with_normal_reference: bool = False) -> Split:
-    """Train, validation and evaluation rows; a held-out scenario is only evaluated."""
+    """Train, validation and evaluation rows; a held-out scenario is only evaluated.
+
+    Rows that have a ``split`` already keep it.
+    """
     if window not in ("validation", "final"):
         raise ValueError(f"unknown evaluation window: {window!r}")
-    rows = temporal_split(features, protocol)
+    rows = features if "split" in features.columns else temporal_split(features, protocol)
 
     def part(name: str) -> DataFrame:
         return rows.filter(F.col("split") == name).drop("split")
@@ -130,9 +133,9 @@ def hold_out_summary(features: DataFrame, scenarios: Sequence[str], train_and_de
     ``train_and_detect(split)`` trains on the split and returns the events of its
     evaluation rows. Each scenario is a run of its own, started one after the other.
     """
-    rows = []
+    rows, parted = [], cut_lineage(temporal_split(features, protocol))
     for scenario in scenarios:
-        split = split_rows(features, protocol, "final", scenario, with_normal_reference=True)
+        split = split_rows(parted, protocol, "final", scenario, with_normal_reference=True)
         labelled = cut_lineage(label_detections(split.evaluation, train_and_detect(split)))
         rate = scenario_report(labelled).filter(F.col("kind") == "normal_fpr").agg(F.max("rate")).first()[0]
         rows.append(detection_report(labelled).select(
