@@ -10,13 +10,13 @@ from airsleuth.catalog.base import (
     rounded, wide, with_sql,
 )
 from airsleuth.functions.columns import (
-    fault_family, fault_of_file, key_of_fault, known_fault, known_level, or_unknown, parse_time, severity,
+    alert_level, fault_family, fault_of_file, key_of_fault, known_fault, known_level, or_unknown, parse_time, severity,
     to_double,
 )
 from airsleuth.operators.contract import check_contract, reject_reason, to_events
 from airsleuth.operators.features import add_windows, control_errors
 from airsleuth.operators.ordered import Order
-from airsleuth.operators.reshape import fahrenheit_to_celsius, narrow_floats, normalize_names, zones_to_rows
+from airsleuth.operators.reshape import fahrenheit_to_celsius, narrow_floats, zones_to_rows
 from airsleuth.operators.splits import (
     complete_rows, contiguous_tail, normal_rows, only_scenario, sample_at_most, sample_for_mixture,
     sample_per_scenario, temporal_split, without_scenario,
@@ -270,8 +270,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.08e0 THEN 'CRITICAL' WHEN l_discount >= 0.04e0 THEN 'WARNING' ELSE 'INFO' END AS alert_level
 FROM lineitem""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from airsleuth.functions.columns import alert_level
-
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return items.select("l_orderkey", "l_linenumber", alert_level(F.col("l_discount"), 0.04, 0.08).alias("alert_level"))
 

@@ -6,10 +6,12 @@ Gaussian with a closed form, and verdicts on probabilities derived from rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airsleuth.catalog.base import DETECTIONS, HITS, FEATURE_ROWS, LONG, detections, features, long, micros, query, r6, rounded, with_sql
+from airsleuth.catalog.base import (
+    DETECTIONS, FEATURE_ROWS, HITS, LONG, detections, features, long, query, r6, rounded, with_sql,
+)
 from airsleuth.catalog.events import HIT_SQL, shown
 from airsleuth.catalog.ingest import ANNUAL, COMMON
 from airsleuth.detectors.backends import cascade_probabilities, label_index
@@ -18,8 +20,8 @@ from airsleuth.detectors.classifier import FaultClassifier, fault_hits, verdict
 from airsleuth.detectors.scores import IsolationForestDetector, MixtureDetector, ReconstructionDetector, Scaler
 from airsleuth.functions.quantiles import exact_quantiles
 from airsleuth.operators.evaluation import label_detections, round4, scenario_report
-from airsleuth.operators.fusion import fuse, stack
-from airsleuth.operators.splits import complete_rows, normal_rows, temporal_split
+from airsleuth.operators.fusion import stack
+from airsleuth.operators.splits import complete_rows, normal_rows
 from airsleuth.plans.detection import (
     Split, detect, fault_scenarios, hold_out_summary, split_rows, train_classifier, train_unsupervised,
 )
@@ -75,8 +77,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a14_class_weights", with_sql(LONG, """
 SELECT fault_type, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM long GROUP BY fault_type"""))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     whole = Window.partitionBy()
     counts = long(spark, sf_dir).groupBy("fault_type").agg(F.count("*").alias("n"))
     weight = F.sum("n").over(whole) / (F.count("*").over(whole) * F.col("n"))

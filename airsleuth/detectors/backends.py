@@ -18,15 +18,15 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airsleuth.detectors.scores import SAMPLE_IDS
-from airsleuth.functions.columns import complete, fault_family, is_fault
+from airsleuth.functions.columns import fault_family, is_fault
 from airsleuth.functions.quantiles import moments
 from airsleuth.operators.ordered import Order, stream_series
 from airsleuth.operators.sequence import SEQUENCE_ROWS
-from airsleuth.schema import FEATURES, NORMAL, SCENARIO, SEQ, TIME, ZONE
+from airsleuth.schema import FEATURES, NORMAL
 from airsleuth.session import cut_lineage
 
 LABEL, VECTOR = "label", "features"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airsleuth.functions.columns import or_unknown
@@ -53,31 +53,48 @@ def detection_page(events: DataFrame, by: DetectionFilter = DetectionFilter(),
     """Matching events, newest first; ids break ties.
 
     Spark keeps the ``skip + page_size`` newest rows of each task. For a page
-    deeper than ``seek_beyond`` the days before it are counted and left out first.
+    deeper than ``seek_beyond`` what lies before it is counted and left out
+    first: whole days, then hours, and so on to instants and ranges of ids.
     """
     if not 1 <= page_size <= PAGE_MOST:
         raise ValueError(f"page_size must be between 1 and {PAGE_MOST}")
     if skip < 0:
         raise ValueError("skip must not be negative")
     matching = filter_detections(events, by)
+    for unit in ("day", "hour", "minute", "second", "microsecond"):
+        if skip > seek_beyond:
+            stored_day = unit == "day" and DATE in matching.columns
+            key = F.col(DATE) if stored_day else F.date_trunc(unit, "event_time")
+            matching, skip = _leave_out(matching, [key], skip, page_size)
     if skip > seek_beyond:
-        matching, skip = _leave_out_days(matching, skip, page_size)
+        matching, skip = _leave_out(matching, [F.col("event_time"), F.shiftright("id", 48)], skip, page_size)
     return matching.orderBy(F.col("event_time").desc(), F.col("id").desc()).offset(skip).limit(page_size)
 
 
-def _leave_out_days(matching: DataFrame, skip: int, page_size: int) -> tuple[DataFrame, int]:
-    day = F.to_date("event_time")
-    newer = Window.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+def _leave_out(matching: DataFrame, key: list[Column], skip: int, page_size: int) -> tuple[DataFrame, int]:
+    """Only the groups of ``key`` that hold rows of the page, and the rows still to skip in them.
+
+    A key must follow the order of the page. It has few values among rows that
+    coarser keys have left: 24 hours, 60 minutes, a million instants.
+    """
+    group = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(key)])
+    newer = Window.orderBy(F.col("group").desc()).rowsBetween(Window.unboundedPreceding, -1)
     touched = (
-        matching.groupBy(day.alias("day")).agg(F.count("*").alias("rows"))
+        matching.groupBy(group.alias("group")).agg(F.count("*").alias("rows"))
         .withColumn("newer", F.coalesce(F.sum("rows").over(newer), F.lit(0)))
         .filter((F.col("newer") < skip + page_size) & (F.col("newer") + F.col("rows") > skip))
-        .agg(F.min("day").alias("first"), F.max("day").alias("last"), F.min("newer").alias("newer"))
+        .agg(F.min("group").alias("first"), F.max("group").alias("last"), F.min("newer").alias("newer"))
         .first()
     )
     if touched["first"] is None:
         return matching.limit(0), 0
-    return matching.filter(day.between(F.lit(touched["first"]), F.lit(touched["last"]))), skip - touched["newer"]
+    first, last = touched["first"], touched["last"]
+    # the plain condition on the first column is one that a scan can use
+    inside = matching.filter(key[0].between(F.lit(first[0]), F.lit(last[0])))
+    if len(key) > 1:
+        low, high = [F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(end)]) for end in (first, last)]
+        inside = inside.filter(group.between(low, high))
+    return inside, skip - touched["newer"]
 
 
 def detection_statistics(events: DataFrame) -> DataFrame:

@@ -169,6 +169,9 @@ def test_event_store(spark, tmp_path):
     for wrong in ({"page_size": 0}, {"page_size": 1001}, {"skip": -1}):
         with pytest.raises(ValueError):
             detection_page(events, **wrong)
+    deep = detection_page(events, page_size=1, skip=1, seek_beyond=0)
+    assert [e["event_time"].hour for e in deep.collect()] == [11]
+    assert "PartitionFilters: [isnotnull(event_date" in deep._jdf.queryExecution().executedPlan().toString()
     plan = filter_detections(events, DetectionFilter(start=at(10), end=at(12)))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
     stats = {(r["dimension"], r["value"]): r["detections"] for r in detection_statistics(events).collect()}
@@ -187,6 +190,14 @@ def test_deep_pages_equal_shallow_ones(spark):
         assert len(shallow) == max(0, min(20, 5000 - skip))
 
 
+def test_deep_page_among_rows_of_one_instant(spark):
+    """Ids are hashes, as in the store, so that ranges of ids can be left out."""
+    events = spark.range(3000).selectExpr("xxhash64(id) AS id", "timestamp_micros(1700000000000000 + IF(id < 2900, 0, id)) AS event_time")
+    for skip in (50, 1500, 2990):
+        shallow = detection_page(events, page_size=30, skip=skip).collect()
+        assert detection_page(events, page_size=30, skip=skip, seek_beyond=10).collect() == shallow
+
+
 def test_job_log(spark, folder, tmp_path):
     log = JobLog(spark, str(tmp_path / "jobs"))
     assert log.jobs().count() == 0
