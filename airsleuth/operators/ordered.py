@@ -52,6 +52,17 @@ def _cut(low: Column, high: Column, rows: Column, max_rows: int) -> Column:
     return F.greatest(F.lit(1), F.ceil((high - low + 1) / slices)).cast("long")
 
 
+def _join(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys of which some may be null: a null is a key like any other."""
+    other = other.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]
+    return df.join(other, same, how).drop(*[f"_other_{k}" for k in keys])
+
+
+def _join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    return _join(df, F.broadcast(small), keys, how)
+
+
 def _crowded(sliced: DataFrame, order: Order, max_rows: int) -> DataFrame:
     """Slices of more than ``max_rows`` rows that can be cut, and how to cut them.
 
@@ -89,9 +100,9 @@ def _slice(df: DataFrame, order: Order, max_rows: int) -> tuple[DataFrame, DataF
         return df.withColumn(SLICE, F.lit(0).cast("long")), None
     cut_keys = big.select(*keys)
     part = F.coalesce(F.floor((instant - F.col("_lo")) / F.col("_width")), F.lit(0)).cast("long")
-    sliced = df.join(F.broadcast(big), keys, "left").withColumn(SLICE, part).drop("_lo", "_width")
+    sliced = _join_small(df, big, keys, "left").withColumn(SLICE, part).drop("_lo", "_width")
     while True:
-        in_big = sliced.join(F.broadcast(cut_keys), keys, "left_semi")
+        in_big = _join_small(sliced, cut_keys, keys, "left_semi")
         crowded = cut_lineage(_crowded(in_big, order, max_rows))
         if crowded.isEmpty():
             return sliced, cut_keys
@@ -99,7 +110,7 @@ def _slice(df: DataFrame, order: Order, max_rows: int) -> tuple[DataFrame, DataF
         beside = F.when(~F.col("_by_time") | (instant < F.col("_median")), 0).when(instant == F.col("_median"), 1).otherwise(2)
         part = F.floor((place - F.col("_lo")) / F.col("_width")) * 3 + beside
         sliced = (
-            sliced.join(F.broadcast(crowded), order.by_slice, "left")
+            _join_small(sliced, crowded, order.by_slice, "left")
             .withColumn(SLICE, F.struct(F.col(SLICE), F.coalesce(part, F.lit(-1)).cast("long").alias("part")))
             .drop("_by_time", "_median", "_lo", "_width")
         )
@@ -137,8 +148,7 @@ def with_position(df: DataFrame, order: Order = Order(), max_rows: int = MAX_ROW
     sizes = sizes.withColumn("series_rows", F.sum("_rows").over(whole)).drop("_rows")
     in_slice = Window.partitionBy(*order.by_slice).orderBy(*order.columns)
     return (
-        sliced.withColumn("_place", F.row_number().over(in_slice))
-        .join(sizes, order.by_slice)
+        _join(sliced.withColumn("_place", F.row_number().over(in_slice)), sizes, order.by_slice, "inner")
         .withColumn("position", F.col("_before") + F.col("_place"))
         .drop("_place", "_before", SLICE)
     )
@@ -160,7 +170,7 @@ def with_run_up(df: DataFrame, rows_back: int, order: Order = Order(),
     later = F.collect_list(F.struct(F.col(SLICE).alias("to"), F.col("_before").alias("start")))
     end = F.col("_before") + F.col("_rows")
     targets = cut_lineage(
-        slice_sizes(sliced.join(F.broadcast(cut_keys), list(order.keys), "left_semi"), order)
+        slice_sizes(_join_small(sliced, cut_keys, order.keys, "left_semi"), order)
         .withColumn("_later", later.over(following))
         .select(*order.by_slice, F.explode("_later").alias("_next"), end.alias("_end"))
         .select(*order.by_slice, F.col("_next.to").alias("_to"),
@@ -170,12 +180,12 @@ def with_run_up(df: DataFrame, rows_back: int, order: Order = Order(),
     backward = Window.partitionBy(*order.by_slice).orderBy(*order.latest_first())
     # a rank bounded from above is applied in each task before the shuffle
     last_rows = (
-        sliced.join(F.broadcast(cut_keys), list(order.keys), "left_semi")
+        _join_small(sliced, cut_keys, order.keys, "left_semi")
         .withColumn("_from_end", F.row_number().over(backward))
         .filter(F.col("_from_end") <= rows_back)
     )
     copies = (
-        last_rows.join(targets, order.by_slice)
+        _join(last_rows, targets, order.by_slice, "inner")
         .filter(F.col("_gap") + F.col("_from_end") <= rows_back)
         .withColumn(SLICE, F.col("_to"))
         .withColumn("_copy", F.lit(True))

@@ -46,6 +46,6 @@ def pad_head(df: DataFrame, column: str, order: Order = Order()) -> DataFrame:
     at = F.when(F.col(column).isNotNull(), F.struct(*order.columns))
     firsts = df.groupBy(*order.keys).agg(F.min_by(column, at).alias("_first"))
     return (
-        df.join(firsts, list(order.keys))
+        df.join(firsts, list(order.keys), "left")
         .withColumn(column, F.coalesce(column, "_first")).drop("_first")
     )

@@ -45,7 +45,7 @@ def temporal_split(df: DataFrame, protocol: str = "annual") -> DataFrame:
     """Add ``split``, each scenario by the calendar of its own first year."""
     require_columns(df, [SCENARIO, TIME])
     years = first_years(df)
-    return df.join(years, SCENARIO).withColumn(
+    return df.join(years, SCENARIO, "left").withColumn(
         "split", split_of(F.col(TIME), F.col("base_year"), protocol)
     ).drop("base_year")
 

@@ -78,6 +78,14 @@ def test_positions(spark, max_rows):
     pd.testing.assert_series_equal(got.sort_index(), expected.sort_index(), check_names=False, check_dtype=False)
 
 
+def test_null_is_a_key_like_any_other(spark):
+    rows = spark.createDataFrame(skewed())
+    nulls = rows.withColumn("k", F.nullif("k", F.lit("hot")))
+    for run in (lambda df: with_position(df, ORDER, 25), lambda df: with_run_up(df, 29, ORDER, 25).drop(SLICE, "k")):
+        a, b = [run(df).drop("k").toPandas().sort_values(["s", *(["_copy"] if "_copy" in run(df).columns else [])]) for df in (rows, nulls)]
+        pd.testing.assert_frame_equal(a.reset_index(drop=True), b.reset_index(drop=True))
+
+
 @pytest.mark.parametrize("max_rows", [25, 10_000])
 @pytest.mark.parametrize("minutes", [5, 300])
 def test_bursts_and_gaps_equal_brute_force(spark, max_rows, minutes):
