@@ -18,8 +18,9 @@ from airsleuth.llm.tables import table, whole_text
 GRAM = 3
 #: Diagonals so near are one span.
 NEAR = 4
-#: Share of a template's runs that a span must hold.
+#: Share of a template's runs that a span must hold; all of them in templates of under ``SHORT`` runs.
 COVER = 0.7
+SHORT = 10
 #: Templates of more runs than this are joined by a shuffle; fewer are some MB at most and are broadcast.
 BROADCAST_RUNS = 50_000
 
@@ -134,7 +135,7 @@ def scan_licenses(docs: DataFrame, phrases: list = PHRASES, notices: list = NOTI
     share = lambda s: F.bit_count(s["seen"]) / F.col("grams")
     # A phrase stands only where one diagonal has all its runs.
     spans = F.when(F.col("base"), F.filter("diagonals", lambda d: share(d) == 1.0)).otherwise(
-        F.filter(merged, lambda s: share(s) >= cover))
+        F.filter(merged, lambda s: share(s) >= F.when(F.col("grams") < SHORT, 1.0).otherwise(cover)))
     per_template = found.withColumn("spans", spans).select(
         "doc_id", "content", "n_words", "label", "base",
         F.size("spans").cast("long").alias("places"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from airsleuth.llm.licenses import op2_license_scan
 from airsleuth.llm.line_dedup import OP8_SQL, op8_line_dedup
+from airsleuth.llm.near_dedup import op3_near_dedup
 from airsleuth.llm.packing import op6_packing
 from airsleuth.llm.tables import Query
 from airsleuth.llm.token_files import op9_token_files
@@ -11,6 +12,7 @@ from airsleuth.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
+    "op3_near_dedup": op3_near_dedup,
     "op6_packing": op6_packing,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
