@@ -46,11 +46,13 @@ def runs_of(words: Column, size: Column | int) -> Column:
 
 def simhash(runs: Column) -> Column:
     """For every bit, whether it is set in more than half of the hashes."""
-    def bit(b: int) -> Column:
-        ones = F.aggregate(runs, F.lit(0), lambda n, h: n + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)).cast("int"))
-        return F.when(2 * ones > F.size(runs), F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long")).otherwise(
+    def bit(b: Column) -> Column:
+        ones = F.aggregate(runs, F.lit(0).cast("long"), lambda n, h: n + F.call_function(
+            "shiftrightunsigned", h, b).bitwiseAND(F.lit(1)))
+        return F.when(2 * ones > F.size(runs), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(
             F.lit(0).cast("long"))
-    return reduce(lambda x, y: x.bitwiseOR(y), (bit(b) for b in range(64)))
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"),
+                       lambda x, y: x.bitwiseOR(y))
 
 
 def _blocks() -> list[tuple[int, int]]:
@@ -106,12 +108,14 @@ def find_items(docs: DataFrame, items: DataFrame, words: int = WORDS, similarity
     docs = docs.withColumn("content", F.xxhash64("text"))
     key = ["doc_id", "content"]
     hits = []
+    # "Outer" explodes are on purpose: for others Spark infers a filter on the array's size, pushes it down to
+    # the scan and computes the runs twice, splitting the text anew for each.
     for size in sizes:
         mine = runs.df.filter(F.col("k") == size)
         hits.append(
             docs.select(*key, words_of(F.col("text")).alias("words"))
             .select(*key, runs_of(F.col("words"), size).alias("runs"))
-            .select(*key, F.size("runs").alias("total"), F.posexplode("runs").alias("at", "run"))
+            .select(*key, F.size("runs").alias("total"), F.posexplode_outer("runs").alias("at", "run"))
             .join(F.broadcast(mine) if few else mine, "run").drop("run"))
     if not hits:
         return docs.sparkSession.createDataFrame(
@@ -178,15 +182,15 @@ ig AS (
          array_to_string(w[i:i + least(len(w), {WORDS}) - 1], ' ') AS run
   FROM (SELECT *, unnest(range(1, len(w) - least(len(w), {WORDS}) + 2)) AS i FROM iw WHERE len(w) > 0)),
 dg AS (
-  SELECT doc_id, k, i - 1 AS at, len(w) - k + 1 AS total, array_to_string(w[i:i + k - 1], ' ') AS run
+  SELECT doc_id, k, i - 1 AS pos, len(w) - k + 1 AS total, array_to_string(w[i:i + k - 1], ' ') AS run
   FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM ig) WHERE len(w) >= k)),
 ic AS (SELECT item_id, n, k, m, run, count(*) AS c FROM ig GROUP BY ALL),
 starts AS (
-  SELECT DISTINCT doc_id, item_id, k, n, m, unnest(range(greatest(0, at - m + 1), least(at, total - m) + 1)) AS start
+  SELECT DISTINCT doc_id, item_id, k, n, m, unnest(range(greatest(0, pos - m + 1), least(pos, total - m) + 1)) AS start
   FROM dg JOIN ic USING (k, run)),
 wc AS (
   SELECT s.doc_id, s.item_id, s.k, s.n, s.m, s.start, d.run, count(*) AS c
-  FROM starts s JOIN dg d ON d.doc_id = s.doc_id AND d.k = s.k AND d.at >= s.start AND d.at < s.start + s.m
+  FROM starts s JOIN dg d ON d.doc_id = s.doc_id AND d.k = s.k AND d.pos >= s.start AND d.pos < s.start + s.m
   GROUP BY ALL),
 scored AS (
   SELECT doc_id, item_id, wc.n AS n, start, sum(least(wc.c, ic.c)) AS shared, any_value(wc.m) AS m

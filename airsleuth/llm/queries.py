@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from airsleuth.llm.decontaminate import OP1_SQL, op1_decontamination
 from airsleuth.llm.licenses import op2_license_scan
 from airsleuth.llm.line_dedup import OP8_SQL, op8_line_dedup
 from airsleuth.llm.near_dedup import op3_near_dedup
@@ -11,6 +12,7 @@ from airsleuth.llm.token_files import op9_token_files
 from airsleuth.llm.url_filter import OP10_SQL, op10_url_filter
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
     "op3_near_dedup": op3_near_dedup,
     "op6_packing": op6_packing,
@@ -19,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_url_filter": OP10_SQL,
 }
