@@ -96,10 +96,11 @@ def scan_licenses(docs: DataFrame, phrases: list = PHRASES, notices: list = NOTI
     templates = template_grams(spark, phrases, notices).withColumn("hash", F.xxhash64(F.split("gram", " ")))
     size = F.size("words")
     grams = F.transform(F.sequence(F.lit(0), size - GRAM), lambda i: F.xxhash64(F.slice("words", i + 1, GRAM)))
-    # One row for the document itself, numbered 0, and one for each run of words.
+    # One row for the document itself, numbered 0, and one for each run of words. "Outer" changes no row, but
+    # keeps Spark from inferring a filter on the array's size, which would split the text anew for each run.
     runs = (
         docs.select(F.col("doc_id"), F.xxhash64(whole_text()).alias("content"), words(whole_text()).alias("words"))
-        .select("doc_id", "content", "words", F.posexplode(F.concat(
+        .select("doc_id", "content", "words", F.posexplode_outer(F.concat(
             F.array(F.lit(None).cast("long")), F.when(size >= GRAM, grams).otherwise(F.array().cast("array<bigint>"))
         )).alias("place", "hash"))
     )
