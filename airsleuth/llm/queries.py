@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from airsleuth.llm.decontaminate import OP1_SQL, op1_decontamination
 from airsleuth.llm.fingerprints import op7_fingerprints
+from airsleuth.llm.language_model import op4_language_model
 from airsleuth.llm.licenses import op2_license_scan
 from airsleuth.llm.line_dedup import OP8_SQL, op8_line_dedup
 from airsleuth.llm.near_dedup import op3_near_dedup
@@ -16,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
     "op3_near_dedup": op3_near_dedup,
+    "op4_language_model": op4_language_model,
     "op6_packing": op6_packing,
     "op7_fingerprints": op7_fingerprints,
     "op8_line_dedup": op8_line_dedup,

@@ -68,8 +68,8 @@ def combine(hashes: list[np.ndarray]) -> np.ndarray:
     return mix(out)
 
 
-def text_chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Parts of a string column of about ``CHUNK`` bytes: first row, bytes, and the rows' offsets. Null is empty."""
+def text_chunks(texts: pa.Array, times: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Parts of a string column of about ``times * CHUNK`` bytes: first row, bytes, rows' offsets. Null is empty."""
     texts = texts.fill_null("")
     wide = texts.type == pa.large_string()
     offsets = np.frombuffer(texts.buffers()[1], "i8" if wide else "i4")[texts.offset:texts.offset + len(texts) + 1]
@@ -78,7 +78,7 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
     data = np.frombuffer(body, "u1") if body is not None else np.zeros(0, "u1")
     row = 0
     while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + times * CHUNK, "right")) - 1)
         yield row, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
         row = end
 
