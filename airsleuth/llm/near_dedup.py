@@ -7,10 +7,11 @@ chance that two sketches agree at the sets' similarity. Runs of ``ROWS`` bins ar
 the buckets' keys.
 
 Equal sets are one node from the start, however many copies. In each bucket every
-node is paired with the bucket's centres only, so pairs are at most a fixed multiple of bucket
+node is paired with the bucket's centre only, so pairs are fewer than bucket
 entries, and each pair is verified on whole sets. A star alone could lose a link between
-two nodes that are both unlike the centre; so buckets that still hold several
-components drop the centres they have met and form new stars, until no bucket does.
+two nodes that are both unlike the centre. So where a bucket still holds several components,
+the nodes outside its largest one are compared with all its others, in
+blocks of bounded size that yield links only, never pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airsleuth.llm.components import connected
@@ -30,8 +31,8 @@ from airsleuth.llm.word_hashes import combine, hash_words, mix, shingles, text_c
 BINS = 120
 #: Bins of a bucket's key: 24 keys for each node. At a similarity of 0.8 all differ once in 14,000 pairs.
 ROWS = 5
-#: Centres of a bucket in each round after the first.
-CENTRES = 8
+#: Mean nodes of the two sides of a block.
+ASKING, ASKED = 256, 1024
 
 _ORDER = np.stack([np.random.default_rng(bin_).permutation(BINS) for bin_ in range(BINS)])
 
@@ -84,21 +85,21 @@ def sketches(docs: DataFrame, words: int, rows: int = ROWS) -> DataFrame:
         run, "doc_id long, content long, n_shingles long, node long, keys array<long>")
 
 
+def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    for _, data, offsets in text_chunks(texts):
+        hashes, starts = hash_words(data, offsets)
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            yield shingles(hashes[a:b], words)
+
+
 def verify(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``, texts ``text_a``, ``text_b``) whose whole sets are similar enough."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for _, data, offsets in text_chunks(column):
-            hashes, starts = hash_words(data, offsets)
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                yield shingles(hashes[a:b], words)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Texts of neighbouring rows are often the same centre's: hash each run of equal ones once.
             links = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3))):
+            for x, y in zip(_sets(batch.column(2), words), _sets(batch.column(3), words)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 links.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(links, pa.bool_())
@@ -108,39 +109,57 @@ def verify(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _first_stars(entries: DataFrame) -> DataFrame:
-    """Pairs of every bucket's smallest node with its others."""
-    heads = entries.groupBy("key").agg(F.min("node").alias("head"), F.min_by("n", "node").alias("head_n"))
-    return entries.join(heads, "key").filter("node <> head").select(
-        F.col("head").alias("a"), F.col("node").alias("b"), F.col("head_n").alias("n_a"), F.col("n").alias("n_b"))
+def _open_units(rest: DataFrame) -> DataFrame:
+    """What the stars left to compare, in units of bounded size: ``key``, ``x``, ``y``, ``side``, ``node``, ``label``.
 
-
-def _more_stars(entries: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the next centres of unfinished buckets, and the entries that are left without those centres.
-
-    Centres come from a bucket's smallest components: whoever is not in its
-    largest one has then met all others soon. Buckets of one component are finished.
+    In each bucket of several components, nodes outside its largest one (side 0) meet all
+    others (side 1). Both are dealt to blocks by a hash of the node; a unit is a block of each.
     """
-    parts = entries.groupBy("key", "label").agg(
-        F.count("*").alias("members"), F.min("node").alias("head"), F.min_by("n", "node").alias("head_n"))
-    parts = Kept(parts, "parts").df
-    open_ = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", "members").alias("largest")).filter(
-        "parts > 1")
-    order = Window.partitionBy("key").orderBy("members", "label")
-    heads = Kept(parts.join(open_, "key").filter("label <> largest")
-                 .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= centres)
-                 .select("key", "head", "head_n", F.col("label").alias("head_label")), "heads").df
-    pairs = entries.join(heads, "key").filter("label <> head_label").select(
-        F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"),
-        F.when(F.col("head") < F.col("node"), F.col("head_n")).otherwise(F.col("n")).alias("n_a"),
-        F.when(F.col("head") < F.col("node"), F.col("n")).otherwise(F.col("head_n")).alias("n_b"))
-    left = entries.join(heads.select("key").distinct(), "key", "left_semi").join(
-        heads.select("key", F.col("head").alias("node")), ["key", "node"], "left_anti")
-    return pairs, left
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, centres: int = CENTRES) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row of ``docs``.
+    sizes = Kept(rest.groupBy("key", "label").agg(F.count("*").alias("members")), "parts").df.groupBy("key").agg(
+        F.count("*").alias("parts"), F.max_by("label", "members").alias("largest"),
+        F.sum("members").alias("all"), (F.sum("members") - F.max("members")).alias("few")).filter("parts > 1")
+    rows = rest.join(sizes, "key").withColumns({
+        "x_blocks": F.ceil(F.col("few") / ASKING).cast("int"), "y_blocks": F.ceil(F.col("all") / ASKED).cast("int")})
+    spread = lambda n: F.pmod(F.xxhash64("node", "key"), n).cast("int")
+    others = lambda n: F.explode_outer(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = rows.filter("label <> largest").select(
+        "key", spread(F.col("x_blocks")).alias("x"), others("y_blocks").alias("y"), F.lit(0).alias("side"), "node", "label")
+    asked = rows.select(
+        "key", others("x_blocks").alias("x"), spread(F.col("y_blocks")).alias("y"), F.lit(1).alias("side"), "node", "label")
+    return asking.unionByName(asked)
+
+
+def _links_within(units: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the sides of each unit, one for each asking node and component that it meets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        sets = list(_sets(rows["text"].combine_chunks(), words))
+        side, node, label = (rows[c].to_numpy() for c in ("side", "node", "label"))
+        ask, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        sizes = np.array([len(s) for s in sets])
+        # Hashes that no two sets share cannot count for any pair.
+        every, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        del every
+        owner, use = np.repeat(np.arange(len(sets)), sizes), times[at] > 1
+        _, at = np.unique(at[use], return_inverse=True)
+        owner, both = owner[use], np.zeros((len(ask), len(other)), "f4")
+        for first in range(0, int(at.max(initial=-1)) + 1, 4096):
+            here = (at >= first) & (at < first + 4096)
+            table_ = np.zeros((len(sets), 4096), "f4")
+            table_[owner[here], at[here] - first] = 1
+            both += table_[ask] @ table_[other].T
+        union = sizes[ask][:, None] + sizes[other][None, :] - both
+        a, b = np.nonzero((100 * both >= percent * union) & (label[ask][:, None] != label[other][None, :]))
+        _, once = np.unique(np.column_stack([a, label[other[b]]]), axis=0, return_index=True)
+        return pa.table([pa.array(node[ask[a[once]]]), pa.array(node[other[b[once]]])], schema=schema)
+
+    return units.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``content``, a hash of the text, for every row.
 
     Documents are linked if 100 times the runs in both sets is at least ``percent``
     times the runs in either; ``component_id`` is the smallest ``doc_id`` that links lead to.
@@ -156,45 +175,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, centres:
     nodes = Kept(rows.df.filter("node is not null").groupBy("node").agg(
         F.min("first_id").alias("first_id"), F.min_by("content", "first_id").alias("content"),
         F.min("n_shingles").alias("n"), F.first("keys").alias("keys")), "nodes")
-    entries = nodes.df.select("node", "n", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    entries = nodes.df.select("node", "n", F.explode_outer("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     entries = Kept(entries.join(shared, "key"), "buckets")
+    # The centre is the node that meets most others in its buckets: the original of many copies, as a rule.
+    weights = entries.df.groupBy("node").agg(F.sum("size").alias("weight"))
+    heads = Kept(entries.df.join(weights, "node").groupBy("key").agg(
+        F.max_by("node", "weight").alias("head")), "heads")
     # Texts of the nodes that share a bucket, once each.
     met = nodes.df.join(entries.df.select("node").distinct(), "node").select("node", "n", "first_id", "content")
     texts = Kept(
         docs.select(F.coalesce("doc_id", no_id).alias("first_id"), "content", "text")
         .join(met, ["first_id", "content"]).groupBy("node").agg(F.first("text").alias("text"), F.min("n").alias("n")), "texts")
 
-    def check(pairs: DataFrame, label: str) -> Kept:
-        # Sets whose sizes differ too much cannot be similar.
-        able = pairs.filter((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
-        unique = Kept(able.select("a", "b").distinct(), f"{label}-pairs")
-        found = Kept(verify(
-            unique.df.join(texts.df.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(texts.df.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"),
-            words, percent), f"{label}-links")
-        unique.free()
-        return found
-
-    links = check(_first_stars(entries.df), "star")
-    labels = connected(links.df)
-    heads = entries.df.groupBy("key").agg(F.min("node").alias("node"))
-    rest = entries.df.join(heads, ["key", "node"], "left_anti")
-    while True:
-        named = Kept(rest.join(labels.df, "node", "left").select(
-            "key", "node", "n", F.coalesce("label", "node").alias("label")), "named")
-        pairs, left = _more_stars(named.df, centres)
-        if pairs.limit(1).count() == 0:
-            named.free()
-            break
-        links = check(pairs, "more")
-        if links.df.limit(1).count():
-            old = labels
-            labels = connected(links.df.unionByName(old.df.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-            old.free()
-        rest = left.select("key", "node", "n")
-    entries.free()
-    texts.free()
+    sizes = nodes.df.select(F.col("node").alias("head"), F.col("n").alias("head_n"))
+    stars = entries.df.join(heads.df, "key").filter("node <> head").select(
+        F.col("head"), F.col("node").alias("b"), F.col("n").alias("b_n")).distinct().join(sizes, "head")
+    # Sets whose sizes differ too much cannot be similar.
+    able = stars.filter((100 * F.col("head_n") >= percent * F.col("b_n")) & (100 * F.col("b_n") >= percent * F.col("head_n")))
+    pairs = Kept(able.select(F.col("head").alias("a"), "b"), "pairs")
+    links = Kept(verify(
+        pairs.df.join(texts.df.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        .join(texts.df.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"), words, percent), "links")
+    stars = connected(links.df)
+    rest = Kept(
+        entries.df.join(heads.df, "key").filter("node <> head").select("key", "node").join(stars.df, "node", "left")
+        .select("key", "node", F.coalesce("label", "node").alias("label")), "rest")
+    units = _open_units(rest.df).join(texts.df.select("node", "text"), "node")
+    more = Kept(_links_within(units, words, percent), "more-links")
+    labels = connected(links.df.unionByName(more.df))
+    for done in (entries, heads, texts, pairs, links, stars, rest, more):
+        done.free()
     classes = Kept(nodes.df.join(labels.df, "node", "left").select(
         "node", "first_id", F.coalesce("label", "node").alias("label")), "classes")
     nodes.free()
@@ -202,8 +213,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, centres:
     members = classes.df.join(smallest, "label").select("node", "smallest")
     first = F.nullif(F.coalesce("smallest", "first_id"), no_id)
     return rows.df.join(members, "node", "left").select(
-        "doc_id", "n_shingles", first.alias("component_id"), F.col("doc_id").eqNullSafe(first).alias("kept"))
+        "doc_id", "n_shingles", first.alias("component_id"), F.col("doc_id").eqNullSafe(first).alias("kept"), "content")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the smallest ``doc_id``.
+
+    Rows that repeat that id go too, but for the text of the smallest hash. Rows with an empty set all stay.
+    """
+    found = Kept(near_duplicates(docs, words, percent).filter("n_shingles > 0"), "near").df
+    stays = found.filter("kept").groupBy("component_id").agg(
+        F.min("content").alias("stays"), F.count("*").alias("rows")).withColumnRenamed("component_id", "group")
+    # Few rows as a rule, so that Spark can broadcast them instead of moving texts.
+    gone = Kept(found.join(stays, F.col("component_id").eqNullSafe(F.col("group")), "left")
+                .filter("not kept or content <> stays").select(
+        F.col("doc_id").alias("__doc"), F.col("content").alias("__gone")).distinct(), "gone")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rest = docs.withColumn("__content", F.xxhash64(text)).join(
+        gone.df, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__content") == F.col("__gone")), "left_anti")
+    if stays.filter("rows > 1").limit(1).count():
+        rest = rest.filter("trim(text) <> ''").dropDuplicates(["doc_id", "__content"]).unionByName(
+            rest.filter("text is null or trim(text) = ''"))
+    return rest.drop("__content")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4).drop("content")
