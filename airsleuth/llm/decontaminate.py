@@ -84,7 +84,8 @@ def shared_runs(a: Column, b: Column) -> Column:
 
 
 def find_items(docs: DataFrame, items: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Documents with a window that is an item: ``doc_id``, ``item_id``, ``similarity``, ``first_word``, ``n_words``.
+    """Documents with a window that is an item: ``doc_id``, ``item_id``, ``similarity``, ``first_word``, ``n_words``,
+    and ``content``, a hash of the text.
 
     One row per document and item, with the best window, the first of equals.
     Items of fewer than ``words`` words are one run of all their words. Null
@@ -119,7 +120,7 @@ def find_items(docs: DataFrame, items: DataFrame, words: int = WORDS, similarity
             .join(F.broadcast(mine) if few else mine, "run").drop("run"))
     if not hits:
         return docs.sparkSession.createDataFrame(
-            [], "doc_id long, item_id long, similarity double, first_word long, n_words long")
+            [], "doc_id long, item_id long, similarity double, first_word long, n_words long, content long")
     places = reduce(DataFrame.unionByName, hits).groupBy(*key, "k", "n", "m", "need").agg(
         F.max("total").alias("total"), F.sort_array(F.collect_set("at")).alias("at"))
     # Starts of windows with enough such runs: the first and the last of ``need`` of them lie in the window.
@@ -157,17 +158,28 @@ def find_items(docs: DataFrame, items: DataFrame, words: int = WORDS, similarity
                       & (F.col("c.n") == F.col("p_n")) & (F.col("c.start") == F.col("p_start"))).join(
         about, F.col("item_id").eqNullSafe(F.col("w_item")) & (F.col("item") == F.col("w_hash")))
     shared = shared_runs(F.col("runs"), F.col("item_runs"))
-    scored = pairs.select("doc_id", "item_id", F.col("c.n").alias("n"), F.col("c.start").alias("start"), "m",
+    scored = pairs.select("doc_id", "content", "item_id", F.col("c.n").alias("n"), F.col("c.start").alias("start"), "m",
                           shared.alias("shared")).withColumn(
         "similarity", F.col("shared") / (2 * F.col("m") - F.col("shared"))).filter(F.col("similarity") >= similarity)
-    return scored.groupBy("doc_id", "item_id").agg(
+    return scored.groupBy("doc_id", "content", "item_id").agg(
         F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best")).select(
         "doc_id", "item_id", "best.similarity", (-F.col("best.back")).cast("long").alias("first_word"),
-        F.col("best.n").cast("long").alias("n_words"))
+        F.col("best.n").cast("long").alias("n_words"), "content")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` without the documents that hold an item."""
+    found = find_items(docs, items).select(
+        F.col("doc_id").alias("__doc"), F.col("content").alias("__found")).distinct()
+    # Few rows as a rule, so that Spark can broadcast them instead of moving texts.
+    found = Kept(found, "contaminated").df
+    return docs.withColumn("__content", F.xxhash64(whole_text())).join(
+        found, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__content") == F.col("__found")), "left_anti"
+    ).drop("__content")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("content")
 
 
 OP1_SQL = f"""

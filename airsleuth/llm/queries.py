@@ -9,6 +9,7 @@ from airsleuth.llm.licenses import op2_license_scan
 from airsleuth.llm.line_dedup import OP8_SQL, op8_line_dedup
 from airsleuth.llm.near_dedup import op3_near_dedup
 from airsleuth.llm.packing import op6_packing
+from airsleuth.llm.quality import op5_quality
 from airsleuth.llm.tables import Query
 from airsleuth.llm.token_files import op9_token_files
 from airsleuth.llm.url_filter import OP10_SQL, op10_url_filter
@@ -18,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op3_near_dedup": op3_near_dedup,
     "op4_language_model": op4_language_model,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_fingerprints": op7_fingerprints,
     "op8_line_dedup": op8_line_dedup,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,22 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+_SCOPES: list[list] = []
+
+
+@contextmanager
+def freeing() -> Iterator[None]:
+    """Frees at its end what was kept inside; for callers that have written the result by then."""
+    scope: list[Kept] = []
+    _SCOPES.append(scope)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(scope)
+        for kept in scope:
+            kept.free()
+
+
 class Kept:
     """A DataFrame written to the shared folder, so that lost executors cost no recomputation of its past.
 
@@ -30,6 +47,8 @@ class Kept:
 
     def __init__(self, df: DataFrame, name: str, codec: str = "snappy", parts: int | None = None) -> None:
         self.spark = df.sparkSession
+        for scope in _SCOPES:
+            scope.append(self)
         self.path = scratch_path(self.spark, name)
         (df if parts is None else df.coalesce(parts)).write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
