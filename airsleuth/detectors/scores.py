@@ -16,9 +16,7 @@ from airsleuth.detectors.base import ScoreDetector
 from airsleuth.errors import FeatureEngineeringError
 from airsleuth.functions.columns import complete
 from airsleuth.functions.quantiles import exact_quantiles, moments
-from airsleuth.operators.splits import (
-    complete_rows, normal_rows, sample_at_most, sample_for_mixture,
-)
+from airsleuth.operators.splits import complete_rows, normal_rows, sample_at_most
 from airsleuth.schema import FEATURES, ROW_KEYS, SEQ
 from airsleuth.session import cut_lineage
 
@@ -99,7 +97,7 @@ class MixtureDetector(ScoreDetector):
 
     def fit(self, df: DataFrame) -> MixtureDetector:
         normals = cut_lineage(
-            complete_rows(sample_for_mixture(normal_rows(df), SAMPLE_IDS, self.seed)).select(*SAMPLE_IDS, *FEATURES)
+            complete_rows(normal_rows(df)).select(*SAMPLE_IDS, *FEATURES)
         )
         self.scaler = Scaler.of(normals)
         if self.covariance == "full" and self.components == 1:
@@ -163,7 +161,8 @@ class ReconstructionDetector(ScoreDetector):
     """Distance from the main axes of normal rows: mean squared reconstruction error.
 
     The axes are the eigenvectors of the 31 x 31 covariance that hold 95 % of
-    the variance.
+    the variance. Signal and source keep the tags that reports of the replaced
+    network group by; the score is not that network's.
     """
 
     policy = "RECONSTRUCTION_ERROR"
@@ -171,7 +170,6 @@ class ReconstructionDetector(ScoreDetector):
     source = "kan_autoencoder"
     percentiles = (0.95, 0.99)
     VARIANCE_KEPT = 0.95
-    MOST_ROWS = 500_000
 
     def __init__(self, seed: int = 42) -> None:
         super().__init__()
@@ -181,8 +179,7 @@ class ReconstructionDetector(ScoreDetector):
 
     def fit(self, df: DataFrame) -> ReconstructionDetector:
         normals = cut_lineage(
-            complete_rows(sample_at_most(normal_rows(df), self.MOST_ROWS, SAMPLE_IDS, self.seed))
-            .select(*SAMPLE_IDS, *FEATURES)
+            complete_rows(normal_rows(df)).select(*SAMPLE_IDS, *FEATURES)
         )
         self.scaler = Scaler.of(normals)
         variances, axes = np.linalg.eigh(covariance(normals, self.scaler))
@@ -253,24 +250,24 @@ class IsolationForestDetector(ScoreDetector):
     signal = "isolation_forest_score"
     source = "isolation_forest"
     percentiles = (0.95, 0.99)
-    TREE_ROWS = 256
 
-    def __init__(self, trees: int = 100, contamination: float = 0.05, seed: int = 42) -> None:
+    def __init__(self, trees: int = 100, contamination: float = 0.05, seed: int = 42, tree_rows: int = 256) -> None:
+        """``tree_rows``: rows each tree is grown on, a parameter of the method."""
         super().__init__()
-        self.trees, self.contamination, self.seed = trees, contamination, seed
+        self.trees, self.contamination, self.seed, self.tree_rows = trees, contamination, seed, tree_rows
         self.scaler: Scaler | None = None
         self.nodes: list[dict[str, list]] = []
         self.sample_rows = 0
         self.flag_from = 0.0
 
     def fit(self, df: DataFrame) -> IsolationForestDetector:
-        """Each tree grows in a task of its own on at most 256 rows of a bounded sample."""
+        """Each tree grows in a task of its own on ``tree_rows`` rows of a bounded sample."""
         normals = cut_lineage(complete_rows(normal_rows(df)).select(*SAMPLE_IDS, *FEATURES))
         self.scaler = Scaler.of(normals)
         scaled = normals.select(*SAMPLE_IDS, *[z.alias(c) for c, z in zip(FEATURES, self.scaler.columns())])
-        pool = cut_lineage(sample_at_most(scaled, self.trees * self.TREE_ROWS, SAMPLE_IDS, self.seed))
+        pool = cut_lineage(sample_at_most(scaled, self.trees * self.tree_rows, SAMPLE_IDS, self.seed))
         size = pool.count()
-        self.sample_rows = min(size, self.TREE_ROWS)
+        self.sample_rows = min(size, self.tree_rows)
         self.nodes = self._grow(pool, size)
         self.fitted = True
         scores = cut_lineage(self.score(normals).select("score"))
@@ -280,11 +277,11 @@ class IsolationForestDetector(ScoreDetector):
         return self
 
     def _grow(self, pool: DataFrame, size: int) -> list[dict[str, list]]:
-        # Rows stand in a ring; tree t takes the 256 rows from place 256 t on.
+        # Rows stand in a ring; tree t takes the ``tree_rows`` rows from place t * ``tree_rows`` on.
         place = F.row_number().over(Window.orderBy(*SAMPLE_IDS)) - 1
         tree = F.explode(F.filter(
             F.sequence(F.lit(0), F.lit(self.trees - 1)),
-            lambda t: F.pmod(F.col("place") - t * self.TREE_ROWS, F.lit(size)) < self.sample_rows,
+            lambda t: F.pmod(F.col("place") - t * self.tree_rows, F.lit(size)) < self.sample_rows,
         ))
         seed = self.seed
         grown = (

@@ -5,54 +5,63 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-IN_ONE_TASK = 1_000_000
 ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
-                    in_one_task: int = IN_ONE_TASK) -> list[float] | None:
+                    accuracy: int = ACCURACY) -> list[float] | None:
     """Quantiles with linear interpolation; nulls do not count; None without values.
 
-    The built-in exact percentile keeps every distinct value in one task. Here,
-    for more than ``in_one_task`` rows, approximate quantiles bracket each rank,
-    and ranks are counted exactly until the bracket is small.
+    The built-in exact percentile keeps every distinct value in one task. Here
+    approximate quantiles bracket each rank and ranks are counted exactly, the
+    same way for any number of rows. ``accuracy`` decides how fast brackets shrink.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
     rows = values.count()
     if rows == 0:
         return None
-    if rows <= in_one_task:
-        return list(values.agg(F.percentile("v", list(probabilities))).first()[0])
-    return [_quantile(values, p * (rows - 1), rows, in_one_task) for p in probabilities]
+    return [_quantile(values, p * (rows - 1), rows, accuracy) for p in probabilities]
 
 
-def _quantile(values: DataFrame, place: float, rows: int, in_one_task: int) -> float:
+def _quantile(values: DataFrame, place: float, rows: int, accuracy: int) -> float:
     first = math.floor(place)
-    second = min(first + 1, rows - 1)
-    inside, below, count = values, 0, rows
-    while count > in_one_task:
-        margin = 2 / ACCURACY
-        low = max(0.0, (first - below) / (count - 1) - margin)
-        high = min(1.0, (second - below) / (count - 1) + margin)
-        a, b = inside.agg(F.percentile_approx("v", [low, high], ACCURACY)).first()[0]
-        v = F.col("v")
-        under, within = inside.agg(F.count_if(v < a), F.count_if(v.between(a, b))).first()
-        if within == count or not below + under <= first or not second < below + under + within:
-            break  # the bracket no longer shrinks: many rows share few values
-        inside, below, count = inside.filter(v.between(a, b)), below + under, within
-    # equal values are counted before they are ranked
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.groupBy("v").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(upto))
-    x, y = ranked.agg(
-        F.min(F.when(F.col("upto") > first - below, F.col("v"))),
-        F.min(F.when(F.col("upto") > second - below, F.col("v"))),
-    ).first()
+    x, upto = _nth(values, first, rows, accuracy)
+    if place == first:
+        return x
+    y = x if upto > first + 1 else values.filter(F.col("v") > x).agg(F.min("v")).first()[0]
     return x + (y - x) * (place - first)
 
 
+def _nth(values: DataFrame, place: int, rows: int, accuracy: int) -> tuple[float, int]:
+    """The value at a place in order, from 0, and how many rows have it or a smaller one.
+
+    Each round takes two values of the data near the place and keeps the part
+    below, between or above them, so what is left always gets smaller.
+    """
+    v, inside, below, count = F.col("v"), values, 0, rows
+    while True:
+        share, margin = (place - below) / max(1, count - 1), 2 / accuracy
+        bounds = [max(0.0, share - margin), min(1.0, share + margin)]
+        a, b = inside.agg(F.percentile_approx("v", bounds, accuracy)).first()[0]
+        under, at_a, between, at_b = inside.agg(
+            F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v < b)), F.count_if((v == b) & (v > a))).first()
+        here = place - below
+        if here < under:
+            inside, count = inside.filter(v < a), under
+        elif here < under + at_a:
+            return a, below + under + at_a
+        elif here < under + at_a + between:
+            inside, below, count = inside.filter((v > a) & (v < b)), below + under + at_a, between
+        elif here < under + at_a + between + at_b:
+            return b, below + under + at_a + between + at_b
+        else:
+            passed = under + at_a + between + at_b
+            inside, below, count = inside.filter(v > b), below + passed, count - passed
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> tuple[list[float], list[float]]:
     """Means and population deviations of columns, in one aggregate; a deviation of 0 becomes 1."""
     row = df.agg(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airsleuth.operators.ordered import MAX_ROWS, SLICE, Order, with_run_up
+from airsleuth.operators.splits import with_lookup
 
 SEQUENCE_ROWS = 30
 
@@ -46,6 +47,6 @@ def pad_head(df: DataFrame, column: str, order: Order = Order()) -> DataFrame:
     at = F.when(F.col(column).isNotNull(), F.struct(*order.columns))
     firsts = df.groupBy(*order.keys).agg(F.min_by(column, at).alias("_first"))
     return (
-        df.join(firsts, list(order.keys), "left")
+        with_lookup(df, firsts, list(order.keys), "_first")
         .withColumn(column, F.coalesce(column, "_first")).drop("_first")
     )

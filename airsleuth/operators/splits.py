@@ -21,6 +21,33 @@ NORMAL_REFERENCE = "ahu_annual"
 _BUCKET_DIGITS = 4  # 16 ** 4 buckets of a draw
 
 
+#: Keys up to which a small table becomes a constant of the plan.
+MOST_CONSTANTS = 1_000
+
+
+def with_lookup(df: DataFrame, small: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """``df`` with ``column`` of a table that has one row per key; null where it has none.
+
+    Keys are scenario files or their zones: few, with many rows each. A shuffle by
+    them would put a whole scenario into one task, so the values become a constant map.
+    Beyond ``MOST_CONSTANTS`` keys none of them holds many of all rows, and a join deals them out.
+    """
+    found = small.select(*keys, column).limit(MOST_CONSTANTS + 1).collect()
+    if len(found) > MOST_CONSTANTS:
+        return df.join(small.select(*keys, column), list(keys), "left")
+    kind = small.schema[column].dataType
+    if not found:
+        return df.withColumn(column, F.lit(None).cast(kind))
+    parts = {k: small.schema[k].dataType for k in keys}
+
+    def constant(row) -> Column:
+        return F.struct(*[F.lit(row[k]).cast(t).alias(k) for k, t in parts.items()])
+
+    # A map has no null keys; structs of null fields are keys like others.
+    pairs = [x for row in found for x in (constant(row), F.lit(row[column]).cast(kind))]
+    return df.withColumn(column, F.element_at(F.create_map(*pairs), F.struct(*[F.col(k).alias(k) for k in keys])))
+
+
 def first_years(df: DataFrame) -> DataFrame:
     """First year of each scenario, as ``base_year``."""
     return df.groupBy(SCENARIO).agg(F.min(F.year(TIME)).alias("base_year"))
@@ -44,8 +71,7 @@ def split_of(time: Column, base_year: Column, protocol: str) -> Column:
 def temporal_split(df: DataFrame, protocol: str = "annual") -> DataFrame:
     """Add ``split``, each scenario by the calendar of its own first year."""
     require_columns(df, [SCENARIO, TIME])
-    years = first_years(df)
-    return df.join(years, SCENARIO, "left").withColumn(
+    return with_lookup(df, first_years(df), [SCENARIO], "base_year").withColumn(
         "split", split_of(F.col(TIME), F.col("base_year"), protocol)
     ).drop("base_year")
 
@@ -129,7 +155,7 @@ def scenario_numbers(df: DataFrame) -> DataFrame:
 def sample_per_scenario(df: DataFrame, ids: Sequence[str], seed: int = 42,
                         share: float = 0.2) -> DataFrame:
     """A share of each scenario's rows, drawn with a seed of the scenario's own."""
-    numbered = df.join(scenario_numbers(df), SCENARIO)
+    numbered = with_lookup(df, scenario_numbers(df), [SCENARIO], "scenario_no")
     drawn = sample_rows(
         numbered, lambda n: F.rint(n * F.lit(share)), ids,
         F.lit(seed) + F.col("scenario_no"), by=[SCENARIO],

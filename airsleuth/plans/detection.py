@@ -77,11 +77,16 @@ def split_rows(features: DataFrame, protocol: str = "annual", window: str = "fin
     )
 
 
-def training_sample(train: DataFrame, backend: str, seed: int = 42) -> DataFrame:
-    """A fifth of each scenario: its tail for sequence models, else drawn at random."""
+def training_sample(train: DataFrame, backend: str, share: float | None = None, seed: int = 42) -> DataFrame:
+    """The ``share`` of each scenario that a classifier learns from: its tail for sequence models, else drawn at random.
+
+    Without a share: a fifth for sequence models, all rows for others.
+    """
     if backend == "sequence":
-        return contiguous_tail(train)
-    return sample_per_scenario(train, [*ROW_KEYS, SEQ], seed)
+        return contiguous_tail(train, 0.2 if share is None else share)
+    if share is None or share >= 1.0:
+        return train
+    return sample_per_scenario(train, [*ROW_KEYS, SEQ], seed, share)
 
 
 def train_unsupervised(split: Split, detector: Detector, target_fpr: float | None = None) -> Detector:
@@ -89,8 +94,10 @@ def train_unsupervised(split: Split, detector: Detector, target_fpr: float | Non
     return detector if target_fpr is None else detector.calibrate(split.validation, target_fpr)
 
 
-def train_classifier(split: Split, classifier: FaultClassifier, target_fpr: float | None = None) -> FaultClassifier:
-    classifier.fit(training_sample(split.train, classifier.backend.kind))
+def train_classifier(split: Split, classifier: FaultClassifier, target_fpr: float | None = None,
+                     share: float | None = None) -> FaultClassifier:
+    """``share`` of each scenario's labelled rows is learned from; see ``training_sample``."""
+    classifier.fit(training_sample(split.train, classifier.backend.kind, share))
     return classifier if target_fpr is None else classifier.calibrate(split.validation, target_fpr)
 
 
@@ -160,7 +167,7 @@ def run_job(spark: SparkSession, log: JobLog, folder: str, scenario: str = "all"
         rows.write.format("noop").mode("overwrite").save()
         log.update(job, "done", records_processed=seen.get["rows"], anomalies_found=0)
     except Exception as error:
-        log.update(job, "failed", error_msg=str(error)[:2000])
+        log.update(job, "failed", error_msg=str(error))
         raise
     return job
 

@@ -3,30 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airsleuth.errors import DataLoadError, SchemaValidationError
+from airsleuth.operators.features import build_features_from_wide
 from airsleuth.operators.reshape import narrow_floats
 from airsleuth.schema import CACHE_COLUMNS, SCENARIO, require_columns
-from airsleuth.sources.csv import list_files
+from airsleuth.sources.csv import list_files, read_files, scenario_name
 
 COMBINED = "lbnl_features.parquet"
 FILE_PREFIX = "lbnl_features_"
 ROWS_PER_FILE = 5_000_000
 
 
-def cached_scenarios(spark: SparkSession, path: str) -> DataFrame:
+def cached_scenarios(spark: SparkSession, path: str) -> list[str]:
     """Scenarios that are in the cache already, from its partition folders alone."""
-    names = [p.rstrip("/").rsplit(f"{SCENARIO}=", 1)[1] for p in list_files(spark, path, "") if f"{SCENARIO}=" in p]
-    listed = spark.createDataFrame([(n,) for n in names], f"{SCENARIO} string")
-    return listed.select(F.url_decode(SCENARIO).alias(SCENARIO))
+    return [unquote(p.rstrip("/").rsplit(f"{SCENARIO}=", 1)[1])
+            for p in list_files(spark, path, "") if f"{SCENARIO}=" in p]
 
 
-def not_cached(features: DataFrame, path: str) -> DataFrame:
-    """Rows of scenarios the cache does not hold."""
-    return features.join(cached_scenarios(features.sparkSession, path), SCENARIO, "left_anti")
+def not_cached(rows: DataFrame, path: str) -> DataFrame:
+    """Rows of scenarios the cache does not hold; of wide rows just as well as of features.
+
+    The names, as many as the cache has folders, are a constant of the plan, so nothing is shuffled.
+    """
+    names = cached_scenarios(rows.sparkSession, path)
+    return rows.filter(F.col(SCENARIO).isNull() | ~F.col(SCENARIO).isin(names)) if names else rows
+
+
+def build_cache(spark: SparkSession, folder: str, path: str, as_floats: bool = True) -> int:
+    """Add the scenario files of a folder that the cache lacks; no other is read. Returns their number."""
+    have = set(cached_scenarios(spark, path))
+    files = [p for p in list_files(spark, folder) if scenario_name(p) not in have]
+    if files:
+        rows = build_features_from_wide(read_files(spark, files))
+        write_cache(rows, path, as_floats=as_floats)
+    return len(files)
 
 
 def write_cache(features: DataFrame, path: str, force: bool = False, as_floats: bool = True) -> None:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote, unquote_plus
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +46,9 @@ def list_files(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[s
     return sorted(p for p in (s.getPath().toString() for s in fs.listStatus(hadoop)) if p.endswith(suffix))
 
 
+HEADERS_AT_ONCE = 32
+#: A part of a scenario has places below 2 ** 44: its bytes times 32, up to 500 GB.
+_PART_BITS = 44
 _PARTITION = f"{SCENARIO}="
 # the entry of the folder a file belongs to: the file itself, or the folder of its parts
 _ENTRY = rf"(?:^|/)(?:{_PARTITION})?([^/]+\.csv)(?:/[^/]*)?$"
@@ -56,35 +62,71 @@ def _stem(path: str) -> str:
     return _name(path).rsplit(".", 1)[0].lower()
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a scenario; reads one line only."""
+def scenario_name(path: str) -> str:
+    """File name of a scenario, as its rows carry it."""
+    return unquote(_name(path))
+
+
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """Files of a scenario: itself, or the parts in its folder, sorted."""
     hadoop, fs = _file_system(spark, path)
-    if fs.getFileStatus(hadoop).isDirectory():
-        parts = [p for p in list_files(spark, path) if not p.rsplit("/", 1)[-1].startswith(("_", "."))]
-        return _header(spark, parts[0]) if parts else []
+    if not fs.getFileStatus(hadoop).isDirectory():
+        return [path]
+    return [p for p in list_files(spark, path) if not p.rsplit("/", 1)[-1].startswith(("_", "."))]
+
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names of a file; reads one line only."""
+    hadoop, fs = _file_system(spark, file)
     io = spark.sparkContext._jvm.java.io
     reader = io.BufferedReader(io.InputStreamReader(fs.open(hadoop), "UTF-8"))
     try:
-        return next(csv.reader([reader.readLine() or ""]), [])
+        return tuple(next(csv.reader([(reader.readLine() or "").removeprefix("\ufeff")]), ()))
     finally:
         reader.close()
 
 
+def _headers(spark: SparkSession, files: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """Column names of each file, many files at a time. A task per file would read a block for a line."""
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        return dict(zip(files, pool.map(lambda f: _header(spark, f), files)))
+
+
+def _path_key(path: str) -> str:
+    """A path in the form of ``_file_key``."""
+    return re.sub(r"^(\w+):/+", r"\1:/", unquote_plus(path))
+
+
+def _file_key() -> Column:
+    """The file of a row; slashes after the scheme differ between listings and rows."""
+    return F.regexp_replace(F.url_decode("_metadata.file_path"), r"^(\w+):/+", "$1:/")
+
+
 def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Typed rows of scenarios, with file name, label and place in the file.
 
     A scenario is a CSV file, or a folder of parts when one file would be too
-    big. Columns are bound by name: scenarios with the same header are read
-    together, and those whose columns differ in order or number are united.
+    big. Columns are bound by name: the header of every part is read, parts with the
+    same header are read together, and those whose columns differ in order or number are
+    united. Places go on from one part of a scenario to the next.
     """
+    parts = {f: (number, path) for path in paths for number, f in enumerate(_parts(spark, path))}
+    headers = _headers(spark, list(parts)) if parts else {}
     groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        names = _header(spark, path)
-        lacking = sorted(set(RAW_COLUMNS) - set(names))
+    for file, (_, path) in parts.items():
+        lacking = sorted(set(RAW_COLUMNS) - set(headers[file]))
         if lacking:
             raise SchemaValidationError(f"{_name(path)}: missing columns: {lacking}")
         infer_fault_type(_stem(path))
-        groups.setdefault(tuple(names), []).append(path)
+        groups.setdefault(headers[file], []).append(file)
+    for path in set(paths) - {path for _, path in parts.values()}:
+        raise SchemaValidationError(f"{_name(path)}: no parts")
+    # Only scenarios of several parts need their numbers.
+    later = {_path_key(f): number for f, (number, _) in parts.items() if number}
+    number = F.lit(0)
+    if later:
+        number = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in later.items() for x in pair]),
+                                         _file_key()), F.lit(0))
     united = None
     for names, members in groups.items():
         text = T.StructType([T.StructField(c, T.StringType()) for c in names])
@@ -92,8 +134,9 @@ def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         part = part.select(
             *[F.col(f"`{c}`") for c in names],
             F.regexp_extract(F.url_decode("_metadata.file_path"), _ENTRY, 1).alias("_file"),
-            # blocks of a file are numbered by their start, rows of a task in reading order
-            (F.col("_metadata.file_block_start") * F.lit(1024)
+            # parts in order, then blocks of a file by their start, then rows of a task in reading order
+            (F.call_function("shiftleft", number.cast("long"), F.lit(_PART_BITS))
+             + F.col("_metadata.file_block_start") * F.lit(32)
              + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("_place"),
         )
         united = part if united is None else united.unionByName(part, allowMissingColumns=True)

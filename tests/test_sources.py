@@ -44,6 +44,25 @@ def test_labels_of_files(spark, name, fault):
     assert tuple(row) == (fault, csv.key_for_fault(fault), None)
 
 
+def test_parts_with_other_columns(spark, tmp_path):
+    """Every part is bound by its own header, and places go on from part to part."""
+    folder = tmp_path / "coi_bias_4_annual.csv"
+    folder.mkdir()
+    first, second = raw_frame(3)[RAW_COLUMNS], raw_frame(2, seed=1)[RAW_COLUMNS]
+    first.to_csv(folder / "part-0.csv", index=False)
+    second[RAW_COLUMNS[::-1]].to_csv(folder / "part-1.csv", index=False)
+    rows = csv.load_all(spark, str(tmp_path)).orderBy("row_seq").collect()
+    assert [r["MA_TEMP"] for r in rows] == pytest.approx([*first["MA_TEMP"], *second["MA_TEMP"]])
+    assert len({r["row_seq"] for r in rows}) == 5 and {r["scenario_file"] for r in rows} == {"coi_bias_4_annual.csv"}
+
+
+def test_full_cache_reads_no_source(spark, folder, tmp_path):
+    path = str(tmp_path / "cache")
+    assert cache.build_cache(spark, folder, path) == 3
+    before = spark.read.parquet(path).count()
+    assert cache.build_cache(spark, folder, path) == 0 and spark.read.parquet(path).count() == before
+
+
 def test_unknown_label():
     with pytest.raises(DataLoadError, match="unknown_sensor_data"):
         csv.infer_fault_type("unknown_sensor_data")
