@@ -9,9 +9,7 @@ from airsleuth.catalog.base import DETECTIONS, HITS, detections, long, micros, q
 from airsleuth.catalog.events import HIT_SQL, shown
 
 from airsleuth.session import scratch_path
-from airsleuth.streaming.streams import RuleStream, burst_sessions, daily_counts, distinct_events, drain
-
-DAY_US = 86_400_000_000
+from airsleuth.streaming.streams import RuleStream, burst_sessions, daily_counts, distinct_events, drain, drain_whole
 
 
 def _arriving(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -36,11 +34,11 @@ def _arriving_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x2_daily_counts", with_sql(DETECTIONS, f"""
 SELECT epoch_us(date_trunc('day', event_time)) AS day_us, zone_id, alert_level, count(*) AS detection_count FROM detections
-WHERE epoch_us(date_trunc('day', event_time)) + {DAY_US} <= (SELECT max(epoch_us(event_time)) FROM detections) - {DAY_US} GROUP BY ALL"""))
+GROUP BY ALL"""))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only days that the watermark has passed."""
+    """All days, as the input has ended."""
     stream = daily_counts(_arriving_detections(spark, sf_dir), ["zone_id", "alert_level"])
-    out = drain(stream, spark, scratch_path(spark, "daily"))
+    out = drain_whole(stream, spark, scratch_path(spark, "daily"))
     return out.select(micros("day_start").alias("day_us"), "zone_id", "alert_level", "detection_count")
 
 
@@ -49,12 +47,11 @@ numbered AS (SELECT *, sum(starts) OVER (PARTITION BY zone_id, equipment_id ORDE
   SELECT *, CASE WHEN epoch_us(event_time) - epoch_us(lag(event_time) OVER (PARTITION BY zone_id, equipment_id ORDER BY event_time)) <= 36000000000
     THEN 0 ELSE 1 END AS starts FROM detections))""", f"""
 SELECT zone_id, equipment_id, epoch_us(min(event_time)) AS start_us, epoch_us(max(event_time)) AS end_us, count(*) AS rows
-FROM numbered GROUP BY zone_id, equipment_id, burst
-HAVING end_us + 36000000000 <= (SELECT max(epoch_us(event_time)) FROM detections) - {DAY_US}"""))
+FROM numbered GROUP BY zone_id, equipment_id, burst"""))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions with gaps of up to ten hours that the watermark has passed."""
+    """All sessions with gaps of up to ten hours, as the input has ended."""
     stream = burst_sessions(_arriving_detections(spark, sf_dir), "10 hours", keys=["zone_id", "equipment_id"])
-    out = drain(stream, spark, scratch_path(spark, "bursts"))
+    out = drain_whole(stream, spark, scratch_path(spark, "bursts"))
     return out.select("zone_id", "equipment_id", micros("burst_start").alias("start_us"), micros("burst_end").alias("end_us"), "rows")
 
 

@@ -116,14 +116,15 @@ class ScoreDetector(Detector):
 
 def to_hits(scored: DataFrame, policy: Column, level: Column, signal: str, source: str,
             extra: Sequence[str] = ()) -> DataFrame:
-    """Flagged rows with ``score`` in the columns of hits. Labels are attached after fusion."""
+    """Flagged rows with ``score`` in the columns of hits; a row's label rides along."""
+    truth = F.col("fault_type") if "fault_type" in scored.columns else F.lit(None)
     return scored.withColumns({
         "violated_policy": policy,
         "alert_level": level,
         "anomaly_index": F.col("score"),
         "trigger_signal": F.lit(signal),
         "detector_source": F.lit(source),
-        "ground_truth": F.lit(None).cast("string"),
+        "ground_truth": truth.cast("string"),
     }).select(SCENARIO, *HIT_COLUMNS, *extra)
 
 

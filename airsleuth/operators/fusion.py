@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airsleuth.functions.columns import known_fault, known_level
-from airsleuth.schema import HIT_COLUMNS, ROW_KEYS, SCENARIO, SEQ
+from airsleuth.schema import FEATURES, HIT_COLUMNS, ROW_KEYS, SCENARIO, SEQ
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
@@ -56,8 +56,9 @@ def event_keys(events: DataFrame) -> DataFrame:
 
 
 def flagged_rows(features: DataFrame, events: DataFrame) -> DataFrame:
-    """Feature rows whose key was flagged; only these are worth classifying."""
-    return features.join(events.select(*ROW_KEYS), ROW_KEYS, "left_semi")
+    """Feature rows whose key was flagged; only these are worth classifying, and only what classifiers read."""
+    read = [c for c in dict.fromkeys([*ROW_KEYS, SEQ, "fault_type", *FEATURES]) if c in features.columns]
+    return features.select(*read).join(events.select(*ROW_KEYS), ROW_KEYS, "left_semi")
 
 
 def first_labels(rows: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from airsleuth.operators.evaluation import (
     label_detections, scenario_report,
 )
 from airsleuth.operators.features import build_features_from_wide
-from airsleuth.operators.fusion import annotate, attach_truth, flagged_rows, fuse, lenient_labels, stack
+from airsleuth.operators.fusion import annotate, flagged_rows, fuse, lenient_labels, stack
 from airsleuth.operators.splits import (
     contiguous_tail, normal_rows, only_scenario, sample_per_scenario, temporal_split, without_scenario,
 )
@@ -29,6 +29,8 @@ from airsleuth.sources.store import JobLog, counted, insert_events
 def detect(features: DataFrame, detectors: Sequence[Detector], classifier: FaultClassifier | None = None) -> DataFrame:
     """Fused, annotated and labelled events of all scenarios at once.
 
+    Hits carry the label of their row, which a scenario's file decides, so no join looks it up.
+
     Without primary detectors the classifier's own hits are the events. A
     classifier that reads sequences sees whole series, others only flagged rows.
     """
@@ -36,7 +38,7 @@ def detect(features: DataFrame, detectors: Sequence[Detector], classifier: Fault
     if not detectors:
         if classifier is None:
             raise ValueError("detect needs a detector or a classifier")
-        return lenient_labels(attach_truth(classifier.predict(features), features))
+        return lenient_labels(classifier.predict(features))
     events = cut_lineage(fuse(stack([d.predict(features).select(*columns) for d in detectors])))
     if classifier is None:
         events = events.withColumns({
@@ -46,7 +48,7 @@ def detect(features: DataFrame, detectors: Sequence[Detector], classifier: Fault
         whole_series = classifier.backend.kind == "sequence"
         rows = features if whole_series else flagged_rows(features, events)
         events = annotate(events, classifier.predict(rows))
-    return lenient_labels(attach_truth(events, features))
+    return lenient_labels(events)
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+import time
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -14,6 +16,7 @@ from airsleuth.errors import ReportError, StoreError
 from airsleuth.schema import EVENT_SCHEMA, JOB_SCHEMA, SCENARIO
 
 DATE = "event_date"
+RUN = "run"
 TERMINAL = ("done", "failed")
 REPORT_FORMATS = ("json",)
 
@@ -27,21 +30,26 @@ def with_event_id(events: DataFrame) -> DataFrame:
     return events.withColumn("id", F.xxhash64(*content))
 
 
-def insert_events(events: DataFrame, path: str, created_at: datetime | None = None) -> int:
+def insert_events(events: DataFrame, path: str, created_at: datetime | None = None, run: str | None = None) -> int:
     """Append events, partitioned by day; returns the rows written.
 
+    With a ``run`` key the events stand in folders of their own below each day, and storing a run
+    again replaces them, so that a repeated run stores nothing twice.
+
     The rebalance hint lets the adaptive plan cut a day with many events into
     several files and put quiet days into one.
     """
     created = F.current_timestamp() if created_at is None else F.lit(created_at)
     rows = with_event_id(events).withColumns({"created_at": created, DATE: F.to_date("event_time")})
     written = Observation()
-    (
-        rows.select(*EVENT_SCHEMA.names, DATE)
-        .observe(written, F.count("*").alias("rows"))
-        .hint("rebalance", DATE)
-        .write.mode("append").partitionBy(DATE).parquet(path)
-    )
+    counted_rows = rows.select(*EVENT_SCHEMA.names, DATE).observe(written, F.count("*").alias("rows"))
+    if run is None:
+        counted_rows.hint("rebalance", DATE).write.mode("append").partitionBy(DATE).parquet(path)
+    else:
+        (
+            counted_rows.withColumn(RUN, F.lit(run)).hint("rebalance", DATE).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy(RUN, DATE).parquet(path)
+        )
     return written.get["rows"]
 
 
@@ -101,9 +109,10 @@ class JobLog:
 
     def create(self, scenario: str) -> int:
         """A new job, pending; returns its id."""
-        newest = self.transitions().agg(F.max("id")).first()[0] or 0
-        self._append(id=newest + 1, scenario=scenario, status="pending", started_at=True)
-        return newest + 1
+        # Time first, so that ids sort by age; the random rest keeps jobs created together apart.
+        job = (time.time_ns() // 1_000_000 << 20) | secrets.randbits(20)
+        self._append(id=job, scenario=scenario, status="pending", started_at=True)
+        return job
 
     def update(self, job_id: int, status: str, error_msg: str | None = None,
                records_processed: int | None = None, anomalies_found: int | None = None) -> None:

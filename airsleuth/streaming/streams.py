@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -13,6 +12,7 @@ from airsleuth.operators.features import LONGEST, build_features
 from airsleuth.operators.ordered import Order
 from airsleuth.operators.rules import rule_events
 from airsleuth.schema import ROW_KEYS, SERIES_KEYS, TIME
+from airsleuth.session import cut_lineage
 
 BURST_GAP = "5 minutes"
 
@@ -56,13 +56,11 @@ class RuleStream:
         self._events, self._kept = f"{folder}/events", f"{folder}/kept"
 
     def _before(self, batch_id: int) -> DataFrame | None:
-        try:
-            return self._spark.read.parquet(f"{self._kept}/batch={batch_id - 1}") if batch_id else None
-        except AnalysisException:
-            return None
+        """Rows kept by the batch before; only the first has none. A lost folder is an error, not an empty past."""
+        return self._spark.read.parquet(f"{self._kept}/batch={batch_id - 1}") if batch_id else None
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        new = batch.withColumn("_new", F.lit(True))
+        new = cut_lineage(batch).withColumn("_new", F.lit(True))  # read from its source once
         before = self._before(batch_id)
         rows = new if before is None else new.unionByName(before.withColumn("_new", F.lit(False)))
         events = rule_events(build_features(rows, self._order).filter("_new"))
@@ -88,3 +86,24 @@ def drain(stream: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     )
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def drain_whole(stream: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Run an aggregating stream over an input that has ended, and return all its groups.
+
+    What the watermark has not passed is in the result too, since no more rows can come.
+    Each batch writes the whole result to a folder of its own, and the last one counts.
+    """
+    def write(result: DataFrame, batch_id: int) -> None:
+        result.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    run = (
+        stream.writeStream.foreachBatch(write).outputMode("complete")
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    batches = run.recentProgress
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    last = max(p["batchId"] for p in batches)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch={last}")
