@@ -190,6 +190,15 @@ def _rows(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return stack("x", CONTENT), stack("m", SOURCES + LANGUAGES + 2), found["label"].to_numpy("f8")
 
 
+def _first_rows(df: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows of smallest ``hash``. What cannot be among them stays in its task, however many tasks there are."""
+    rows = df.count()
+    if rows > most:
+        share = min(1.0, (most + 6 * most ** 0.5) / rows)
+        df = df.filter(F.col("hash") <= int(-(1 << 63) + share * ((1 << 64) - 1024)))
+    return df.orderBy("hash", F.hash("x")).limit(most)
+
+
 def _confident(pool: DataFrame, models: tuple[Linear, Linear]) -> DataFrame:
     """Unlabelled documents that a view is sure of: which view (0 content), the class, and both views' features."""
     schema = pa.schema([("hash", pa.int64()), ("view", pa.int32()), ("label", pa.float64()),
@@ -223,7 +232,7 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled:
         F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     kept = Kept(features(docs).join(marks, "doc_id", "left").withColumn("hash", F.xxhash64("doc_id")), "views")
     # A bounded sample of the labelled rows, one row for an id.
-    sample = kept.df.filter("label is not null").orderBy("hash", F.hash("x")).limit(labelled)
+    sample = _first_rows(kept.df.filter("label is not null"), labelled)
     x, m, y = _rows(sample)
     if not 0 < y.sum() < len(y):
         kept.free()
@@ -238,8 +247,8 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled:
         for model, f in ((view_x, x), (view_m, m)):
             calibrate(model, f[hold], y[hold])
         sure = Kept(_confident(pool.withColumn("hash", F.xxhash64("hash", F.lit(turn))), (view_x, view_m)), "sure")
-        handed = [[_rows(sure.df.filter((F.col("view") == view) & (F.col("label") == label))
-                         .orderBy("hash", F.hash("x")).limit(HANDED)) for label in (0.0, 1.0)] for view in (0, 1)]
+        handed = [[_rows(_first_rows(sure.df.filter((F.col("view") == view) & (F.col("label") == label)), HANDED))
+                   for label in (0.0, 1.0)] for view in (0, 1)]
         sure.free()
         # What content is sure of teaches metadata, and the other way round.
         own_m = (np.concatenate([own_m[0], *(h[1] for h in handed[0])]), np.concatenate([own_m[1], *(h[2] for h in handed[0])]))
