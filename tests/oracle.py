@@ -13,7 +13,8 @@ import duckdb
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "pages", "benchmark", "labels"]
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:

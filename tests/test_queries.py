@@ -7,13 +7,13 @@ from datetime import datetime, timedelta
 import pytest
 
 import __spark_entry__ as entry
+from airsleuth.catalog import ORACLES, QUERIES
 from airsleuth.operators.ordered import Order
 from airsleuth.operators.rules import rule_events
 from airsleuth.streaming.streams import RuleStream, burst_sessions, drain
 from tests.conftest import SF
 from tests.oracle import connect, difference
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +28,8 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     events = entry.entry(spark)
-    assert events.count() > 0 and set(ORACLES) <= set(QUERIES)
+    queries, oracles = entry.queries(), entry.oracle_sql()
+    assert events.count() > 0 and set(oracles) <= set(queries) and set(QUERIES) <= set(queries) and set(ORACLES) <= set(oracles)
 
 
 def test_repeated_batch_gives_the_same_events(spark, features, tmp_path):
