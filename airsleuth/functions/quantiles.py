@@ -23,20 +23,19 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float],
     rows = values.count()
     if rows == 0:
         return None
-    return [_quantile(values, p * (rows - 1), rows, accuracy) for p in probabilities]
+    places = [p * (rows - 1) for p in probabilities]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    v, known = F.col("v"), {}
+    # Where the sketch was right, one look at all ranks is enough.
+    guesses = values.agg(F.percentile_approx("v", [(r + 0.5) / rows for r in ranks], accuracy)).first()[0]
+    seen = values.agg(*[c for x in guesses for c in (F.count_if(v < x), F.count_if(v == x))]).first()
+    for rank, guess, under, equal in zip(ranks, guesses, seen[::2], seen[1::2]):
+        known[rank] = guess if under <= rank < under + equal else _nth(values, rank, rows, accuracy)
+    return [known[math.floor(p)] + (known[math.ceil(p)] - known[math.floor(p)]) * (p - math.floor(p)) for p in places]
 
 
-def _quantile(values: DataFrame, place: float, rows: int, accuracy: int) -> float:
-    first = math.floor(place)
-    x, upto = _nth(values, first, rows, accuracy)
-    if place == first:
-        return x
-    y = x if upto > first + 1 else values.filter(F.col("v") > x).agg(F.min("v")).first()[0]
-    return x + (y - x) * (place - first)
-
-
-def _nth(values: DataFrame, place: int, rows: int, accuracy: int) -> tuple[float, int]:
-    """The value at a place in order, from 0, and how many rows have it or a smaller one.
+def _nth(values: DataFrame, place: int, rows: int, accuracy: int) -> float:
+    """The value at a place in order, from 0.
 
     Each round takes two values of the data near the place and keeps the part
     below, between or above them, so what is left always gets smaller.
@@ -52,11 +51,11 @@ def _nth(values: DataFrame, place: int, rows: int, accuracy: int) -> tuple[float
         if here < under:
             inside, count = inside.filter(v < a), under
         elif here < under + at_a:
-            return a, below + under + at_a
+            return a
         elif here < under + at_a + between:
             inside, below, count = inside.filter((v > a) & (v < b)), below + under + at_a, between
         elif here < under + at_a + between + at_b:
-            return b, below + under + at_a + between + at_b
+            return b
         else:
             passed = under + at_a + between + at_b
             inside, below, count = inside.filter(v > b), below + passed, count - passed
