@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = Kept(verify(
         pairs.df.join(texts.df.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.df.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"), words, percent), "links")
-    stars = connected(links.df)
+    # Parts of components will do here: whoever shares a label is connected.
+    stars = connected(links.df, rounds=1)
     rest = Kept(
         entries.df.join(heads.df, "key").filter("node <> head").select("key", "node").join(stars.df, "node", "left")
         .select("key", "node", F.coalesce("label", "node").alias("label")), "rest")
