@@ -45,12 +45,20 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path no other run uses, below a folder of this application in the shared folder.
 
-    The application's folder can be deleted once the application has ended.
+    ``free_scratch`` deletes the application's folder once its results have been consumed.
     """
     application = spark.sparkContext.applicationId
     return f"{shared_folder(spark).rstrip('/')}/airsleuth-{application}/{name}-{uuid.uuid4().hex}"
 
 
+def free_scratch(spark: SparkSession) -> None:
+    """Delete all that this application wrote to its folder in the shared one. For callers that have
+    consumed their results; nothing that still reads such tables may run afterwards."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_folder(spark).rstrip('/')}/airsleuth-{spark.sparkContext.applicationId}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` as a written table, so that a lost executor costs no recomputation of its past."""
     path = scratch_path(df.sparkSession, "cut")

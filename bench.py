@@ -25,7 +25,7 @@ from airsleuth.operators.features import build_features_from_wide
 from airsleuth.operators.rules import rule_events
 from airsleuth.operators.serving import daily_view, detection_page, detection_statistics, event_view
 from airsleuth.plans.detection import detect
-from airsleuth.session import local_session
+from airsleuth.session import free_scratch, local_session
 from airsleuth.sources.cache import read_cache, write_cache
 from airsleuth.sources.csv import load_all, write_files
 
@@ -74,6 +74,7 @@ def main() -> None:
             drain(build())
             seconds[name] = round(time.perf_counter() - start, 3)
     rates = {n: round(rows / seconds[n]) for n in ("csv_to_features", "raw_to_features", "projected_read")}
+    free_scratch(spark)
     spark.stop()
     shutil.rmtree(folder)
     print(json.dumps({
