@@ -192,10 +192,9 @@ def _rows(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _first_rows(df: DataFrame, most: int) -> DataFrame:
     """The ``most`` rows of smallest ``hash``. What cannot be among them stays in its task, however many tasks there are."""
-    rows = df.count()
-    if rows > most:
-        share = min(1.0, (most + 6 * most ** 0.5) / rows)
-        df = df.filter(F.col("hash") <= int(-(1 << 63) + share * ((1 << 64) - 1024)))
+    rows, spare = df.count(), int(most + 6 * most ** 0.5)
+    if rows > spare:
+        df = df.filter(F.col("hash") <= -(1 << 63) + (spare << 64) // rows)
     return df.orderBy("hash", F.hash("x")).limit(most)
 
 

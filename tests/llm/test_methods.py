@@ -19,6 +19,7 @@ from airsleuth.llm.licenses import PHRASES, scan_licenses
 from airsleuth.llm.line_dedup import drop_boilerplate
 from airsleuth.llm.near_dedup import near_duplicates
 from airsleuth.llm.packing import first_fit_decreasing, pack
+from airsleuth.llm.quality import _first_rows
 from airsleuth.llm.tables import freeing
 from airsleuth.llm.token_files import CorruptFile, FrameReader, open_store, read_token_files, write_token_files
 from airsleuth.llm.url_filter import judge
@@ -139,6 +140,13 @@ def test_probabilities_sum_to_one(spark, prose):
     assert all(got[i].score < 0 for i in ids) and not any(got[i].held_out for i in free[:len(base)])
 
 
+@pytest.mark.parametrize("rows", [90, 101, 130, 150, 161, 400, 5000])
+def test_first_rows_are_the_smallest_hashes(spark, rows):
+    df = spark.range(rows).select(F.xxhash64("id").alias("hash"), F.col("id").alias("x"))
+    expected = sorted(r[0] for r in df.select("hash").collect())[:100]
+    assert sorted(r.hash for r in _first_rows(df, 100).collect()) == expected
+
+
 def test_first_fit_decreasing_by_brute_force():
     draw = np.random.default_rng(0)
     for n in (1, 2, 7, 300):
