@@ -159,22 +159,24 @@ def _links_within(units: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``content``, a hash of the text, for every row.
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``content``, a hash of the text, ``label`` and ``stays`` for every row.
 
     Documents are linked if 100 times the runs in both sets is at least ``percent``
     times the runs in either; ``component_id`` is the smallest ``doc_id`` that links lead to.
     Null or wordless texts have an empty set and are linked with nothing. Rows that repeat an
     id get the same answer each. A null ``doc_id`` is never a ``component_id``
-    unless its component has no other; then its rows are kept. Columns other than
-    ``doc_id`` and ``text`` are ignored, so their names may be any.
+    unless its component has no other; then its rows are kept. ``label``, the smallest node of the
+    component, tells components apart also where ids repeat or are null; it is null for an empty set.
+    ``stays`` marks the smallest ``doc_id`` and ``content`` of each label, null ids last, and empty sets. Columns
+    other than ``doc_id`` and ``text`` are ignored, so their names may be any.
     """
     no_id = F.lit((1 << 63) - 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("content", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = Kept(sketches(docs, words).withColumn("first_id", F.coalesce("doc_id", no_id)), "sketches")
     nodes = Kept(rows.df.filter("node is not null").groupBy("node").agg(
-        F.min("first_id").alias("first_id"), F.min_by("content", "first_id").alias("content"),
-        F.min("n_shingles").alias("n"), F.first("keys").alias("keys")), "nodes")
+        F.min(F.struct("first_id", "content")).alias("first"),
+        F.min("n_shingles").alias("n"), F.first("keys").alias("keys")).select("node", "first.first_id", "first.content", "n", "keys"), "nodes")
     entries = nodes.df.select("node", "n", F.explode_outer("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     entries = Kept(entries.join(shared, "key"), "buckets")
@@ -208,35 +210,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     for done in (entries, heads, texts, pairs, links, stars, rest, more):
         done.free()
     classes = Kept(nodes.df.join(labels.df, "node", "left").select(
-        "node", "first_id", F.coalesce("label", "node").alias("label")), "classes")
+        "node", "first_id", "content", F.coalesce("label", "node").alias("label")), "classes")
     nodes.free()
-    smallest = classes.df.groupBy("label").agg(F.min("first_id").alias("smallest"))
-    members = classes.df.join(smallest, "label").select("node", "smallest")
-    first = F.nullif(F.coalesce("smallest", "first_id"), no_id)
+    smallest = classes.df.groupBy("label").agg(F.min(F.struct("first_id", "content")).alias("smallest"))
+    members = classes.df.join(smallest, "label").select("node", "label", "smallest")
+    first = F.nullif(F.coalesce("smallest.first_id", "first_id"), no_id)
+    stays = F.coalesce(F.struct("first_id", "content") == F.col("smallest"), F.lit(True))
     return rows.df.join(members, "node", "left").select(
-        "doc_id", "n_shingles", first.alias("component_id"), F.col("doc_id").eqNullSafe(first).alias("kept"), "content")
+        "doc_id", "n_shingles", first.alias("component_id"), F.col("doc_id").eqNullSafe(first).alias("kept"), "content",
+        "label", stays.alias("stays"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, that of the smallest ``doc_id``.
+    """``docs`` with one row of each group of near duplicates, that of the smallest ``doc_id``, null ids last.
 
-    Rows that repeat that id go too, but for the text of the smallest hash. Rows with an empty set all stay.
+    Groups are those that links make: texts that nothing links stay, whatever their ids. Of a group's rows
+    that repeat the smallest id the text of the smallest hash stays, once. Rows with an empty set all stay.
     """
     found = Kept(near_duplicates(docs, words, percent).filter("n_shingles > 0"), "near").df
-    stays = found.filter("kept").groupBy("component_id").agg(
-        F.min("content").alias("stays"), F.count("*").alias("rows")).withColumnRenamed("component_id", "group")
     # Few rows as a rule, so that Spark can broadcast them instead of moving texts.
-    gone = Kept(found.join(stays, F.col("component_id").eqNullSafe(F.col("group")), "left")
-                .filter("not kept or content <> stays").select(
+    gone = Kept(found.filter("not stays").select(
         F.col("doc_id").alias("__doc"), F.col("content").alias("__gone")).distinct(), "gone")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rest = docs.withColumn("__content", F.xxhash64(text)).join(
         gone.df, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__content") == F.col("__gone")), "left_anti")
-    if stays.filter("rows > 1").limit(1).count():
+    if found.filter("stays").groupBy("label").count().filter("count > 1").limit(1).count():
         rest = rest.filter("trim(text) <> ''").dropDuplicates(["doc_id", "__content"]).unionByName(
             rest.filter("text is null or trim(text) = ''"))
     return rest.drop("__content")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4).drop("content")
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4).drop("content", "label", "stays")

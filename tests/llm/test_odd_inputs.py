@@ -55,6 +55,17 @@ def test_near_duplicates(odd_documents):
     assert near_duplicates(odd_documents.limit(0)).count() == 0
 
 
+def test_unlinked_texts_stay_whatever_their_ids(spark, prose):
+    """Unlike texts without an id or under one repeated id are no group; copies still are."""
+    none, twice, first = [prose(i, 40) for i in (1, 2)], [prose(i, 40) for i in (3, 4)], prose(5, 40)
+    rows = [*((None, t) for t in none), *((7, t) for t in twice), (None, none[0]), (7, twice[1]), (None, first), (2, first), (9, first + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(str, drop_near_duplicates(docs).collect())) == sorted(
+        map(str, spark.createDataFrame([*rows[:4], (2, first)], docs.schema).collect()))
+    found = near_duplicates(docs).select("label", "content").distinct()
+    assert found.select("label").distinct().count() == 5 and found.count() == 6
+
+
 def test_language_model(odd_documents):
     rows = score_documents(odd_documents).collect()
     assert len(rows) == 10 and all(r.score < 0 and r.base_score < 0 for r in rows)
