@@ -3,7 +3,9 @@
 A text is a row of words. Of every ``K`` words in a row, the run is an anchor if the
 smallest hash of its inner word pairs is that of the first or the last pair. Whether
 a run is an anchor depends on its own words only, so an edit elsewhere neither
-makes nor unmakes it. The fingerprint keeps the ``SIZE`` anchors of smallest hash with
+makes nor unmakes it. Words too long to be words give way to their overlapping pieces of
+a few characters, and texts of few words have the anchors of such pieces besides, so
+that what is inserted or lost at the start shifts no token. The fingerprint keeps the ``SIZE`` anchors of smallest hash with
 their places; two fingerprints are as alike as the share of their smallest
 anchors that both have, in places that agree with one another. DataFrame functions only.
 """
@@ -22,28 +24,35 @@ SIZE = 64
 PLACE_BITS = 24
 #: Matching anchors may be so many words off the offset that most of them share.
 SLACK = 4
-#: Texts of longer words than this in the mean have no spaces to speak of; they, and texts of
-SPARSE = 32
-#: fewer characters than this, are cut into pieces of four characters instead.
-SHORT = 160
-
-
-def tokens(text: Column) -> Column:
-    words = F.array_remove(F.split(text, r"\s+", -1), "")
-    chars = F.char_length(text)
-    return F.when((chars >= SHORT) & (F.size(words) * SPARSE >= chars), words).otherwise(
-        F.regexp_extract_all(text, F.lit(r"(?s).{1,4}"), F.lit(0)))
-
-
-def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the fingerprint of a text column: packed hashes and places, smallest first.
-
-    Equal texts have equal fingerprints. A text of fewer than ``K`` words has all of
-    them as its only anchor, an empty or blank one has none.
-    """
-    df = df.withColumn("__t", tokens(F.col(text)))
-    n = F.size("__t")
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(F.get("__t", i - 1), F.get("__t", i)))
+#: A word of more characters than this is a text without spaces: its pieces of ``PIECE`` characters, one from
+#: each character on, stand for it.
+LONG, PIECE = 20, 4
+#: Texts of fewer tokens than this also have anchors of the pieces of their characters. Two texts
+#: that both have those are compared by them, others by words.
+FEW = 4 * K
+#: The bit that marks an anchor of pieces.
+_PIECES = -(1 << 63)
+
+
+def pieces(text: Column) -> Column:
+    """The overlapping pieces of a text; a shorter text is its own only one."""
+    # The characters are an element of an array, so that the inner lambda does not split anew for each.
+    return F.flatten(F.transform(F.array(F.split(text, "")), lambda c: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(c) - PIECE + 1, F.lit(1))),
+        lambda i: F.array_join(F.slice(c, i, PIECE), ""))))
+
+
+def tokens(words: str) -> Column:
+    """A column of words with the pieces of long ones in their place; depends on each word only."""
+    long = lambda w: F.char_length(w) > LONG
+    return F.when(F.exists(words, long), F.flatten(F.transform(
+        words, lambda w: F.when(long(w), pieces(w)).otherwise(F.array(w))))).otherwise(F.col(words))
+
+
+def _anchors(df: DataFrame, row: str, out: str) -> DataFrame:
+    """``df`` with the ``SIZE`` anchors of smallest hash of a row of tokens."""
+    n = F.size(row)
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(F.get(row, i - 1), F.get(row, i)))
     df = df.withColumn("__p", F.when(n >= K, pairs))
     p = lambda i: F.get("__p", i)
     top = (1 << PLACE_BITS) - 1
@@ -52,12 +61,27 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
         F.least(p(i), p(i + 4)) <= F.least(p(i + 1), p(i + 2), p(i + 3)),
         F.shiftleft(F.shiftrightunsigned(F.xxhash64(p(i), p(i + 2), p(i + 4)), PLACE_BITS + 1), PLACE_BITS).bitwiseOR(
             F.least(i, F.lit(top)).cast("long"))).otherwise(F.lit(-1).cast("long")))
-    whole = F.shiftleft(F.shiftrightunsigned(F.xxhash64("__t"), PLACE_BITS + 1), PLACE_BITS)
+    whole = F.shiftleft(F.shiftrightunsigned(F.xxhash64(row), PLACE_BITS + 1), PLACE_BITS)
     df = df.withColumn("__a", F.when(n >= K, F.sort_array(F.array_remove(packed, F.lit(-1).cast("long")))).when(
         n > 0, F.array(whole)).otherwise(F.array().cast("array<bigint>")))
     same = lambda x, i: F.shiftright(x, PLACE_BITS) == F.shiftright(F.get("__a", i - 1), PLACE_BITS)
     first = F.filter("__a", lambda x, i: (i == 0) | ~same(x, i))
-    return df.withColumn(out, F.slice(first, 1, SIZE)).drop("__t", "__p", "__a")
+    return df.withColumn(out, F.slice(first, 1, SIZE)).drop("__p", "__a")
+
+
+def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the fingerprint of a text column: packed hashes and places, smallest first, those of pieces last.
+
+    Equal texts have equal fingerprints. A row of fewer than ``K`` tokens has all of
+    them as its only anchor, an empty or blank text has none.
+    """
+    df = df.withColumn("__w", F.array_remove(F.split(text, r"\s+", -1), ""))
+    df = df.withColumn("__t", tokens("__w"))
+    few = (F.size("__t") > 0) & (F.size("__t") < FEW)
+    df = df.withColumn("__c", F.when(few, pieces(F.array_join("__w", " "))).otherwise(F.array().cast("array<string>")))
+    df = _anchors(_anchors(df, "__t", "__of_words"), "__c", "__of_pieces")
+    return df.withColumn(out, F.concat("__of_words", F.transform(
+        "__of_pieces", lambda x: x.bitwiseOR(F.lit(_PIECES))))).drop("__w", "__t", "__c", "__of_words", "__of_pieces")
 
 
 def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -67,7 +91,9 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """
     hashes = lambda c: F.transform(c, lambda x: F.shiftright(x, PLACE_BITS))
     top = F.lit((1 << PLACE_BITS) - 1)
-    df = df.withColumns({"__x": hashes(a), "__y": hashes(b)})
+    few = lambda c: F.exists(c, lambda x: x < 0)
+    df = df.withColumn("__few", few(a) & few(b))
+    df = df.withColumns({x: F.filter(hashes(c), lambda h: (h < 0) == F.col("__few")) for x, c in (("__x", a), ("__y", b))})
     df = df.withColumn("__u", F.slice(F.sort_array(F.array_union("__x", "__y")), 1, SIZE))
     df = df.withColumn("__both", F.array_intersect(F.array_intersect("__x", "__y"), "__u"))
     place = lambda c: F.transform(
@@ -76,7 +102,7 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     df = df.withColumn("__o", F.zip_with(place(a), place(b), lambda x, y: x - y))
     most = F.array_max(F.transform("__o", lambda o: F.size(F.filter("__o", lambda q: F.abs(q - o) <= SLACK))))
     return df.withColumn(out, F.when(F.size("__u") == 0, 1.0).otherwise(
-        F.coalesce(most, F.lit(0)) / F.size("__u"))).drop("__x", "__y", "__u", "__both", "__o")
+        F.coalesce(most, F.lit(0)) / F.size("__u"))).drop("__few", "__x", "__y", "__u", "__both", "__o")
 
 
 def as_text(anchors: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from airsleuth.llm.decontaminate import BLOCKS, RADIUS, _block_values, _near_values, find_items
-from airsleuth.llm.fingerprints import K, PLACE_BITS, SIZE, fingerprint_documents, with_anchors
+from airsleuth.llm.fingerprints import K, PLACE_BITS, SIZE, fingerprint_documents, with_anchors, with_likeness
 from airsleuth.llm.language_model import mixture_weight, score_documents
 from airsleuth.llm.licenses import PHRASES, scan_licenses
 from airsleuth.llm.line_dedup import drop_boilerplate
@@ -242,6 +242,21 @@ def test_fingerprints_by_brute_force(spark, prose):
         assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
 
 
+def test_insertions_at_the_start_keep_the_likeness(spark, prose):
+    """Short and spaceless texts, and texts on both sides of a length; places and pieces are of whole characters."""
+    draw = random.Random(0)
+    han = "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(400))
+    faces = "".join(chr(draw.randrange(0x1F600, 0x1F640)) + draw.choice("abcdefgh") for _ in range(90))
+    short, three = prose(1, 14), "incontrovertible counterevidence notwithstanding"
+    cut = prose(2, 40)[:168]
+    pairs = [(short, f"z{short}"), (han, f"z{han}"), (faces, f"z{faces}"), (three, f"z{three}"), (prose(3, 24), f"zz {prose(3, 24)}"),
+             (prose(4, 23), f"zz {prose(4, 23)}"), (cut, cut[12:]), (short, han), (prose(5, 20), prose(6, 20)), ("a", "a"), ("", " \n")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id long, a string, b string")
+    df = with_likeness(with_anchors(with_anchors(df, "a", "x"), "b", "y"), "x", "y", "near")
+    near = {r.id: r.near for r in df.collect()}
+    assert min(near[i] for i in range(7)) > 0.5 and near[7] == 0 and near[8] < 0.1 and near[9] == near[10] == 1
+
+
 def test_line_shares_are_of_the_site(spark):
     rows = [(i, "a" if i < 20 else "b", f"own {i}\nshared\n\nshared" if i % 2 else f"own {i}") for i in range(40)]
     rows += [(i, "b", "plain") for i in range(40, 240)]
