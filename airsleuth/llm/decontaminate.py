@@ -1,6 +1,6 @@
 """Operator 1: benchmark items in documents, by SimHash of item-sized windows.
 
-Windows have the size of an item. Only windows that can reach the similarity are
+Windows have the size of an item; a document smaller than that is one window. Only windows that can reach the similarity are
 fingerprinted: those in which enough runs of words occur in some item of that size. Their
 64-bit SimHash is looked up by blocks: fingerprints within ``RADIUS`` bits differ in at
 most ``FLIPS`` bits of one of ``BLOCKS`` blocks, and items are listed under every
@@ -87,7 +87,8 @@ def find_items(docs: DataFrame, items: DataFrame, words: int = WORDS, similarity
     """Documents with a window that is an item: ``doc_id``, ``item_id``, ``similarity``, ``first_word``, ``n_words``,
     and ``content``, a hash of the text.
 
-    One row per document and item, with the best window, the first of equals.
+    One row per document and item, with the best window, the first of equals. A document of fewer runs
+    than the item is its one window; ``n_words`` are the window's.
     Items of fewer than ``words`` words are one run of all their words. Null
     or wordless texts of either table match nothing; items that repeat an id and a text count once,
     as do rows of ``docs``; a null id of either is an id like any other. Other columns are ignored.
@@ -98,10 +99,8 @@ def find_items(docs: DataFrame, items: DataFrame, words: int = WORDS, similarity
         .filter(F.size("words") > 0)
         .select("item_id", F.size("words").alias("n"), k.alias("k"), runs_of(F.col("words"), k).alias("item_runs"))
         .withColumn("m", F.size("item_runs"))
-        # shared / (2 m - shared) >= similarity
-        .withColumn("need", F.ceil(F.col("m") * (2 * similarity / (1 + similarity)) - 1e-9).cast("int"))
         .withColumn("fingerprint", simhash(F.col("item_runs"))), "items", parts=1)
-    runs = Kept(wanted.df.select("k", "n", "m", "need", F.explode("item_runs").alias("run")).distinct(), "item-runs", parts=1)
+    runs = Kept(wanted.df.select("k", "n", "m", F.explode("item_runs").alias("run")).distinct(), "item-runs", parts=1)
     few = runs.df.count() <= BROADCAST_RUNS
     sizes = [r.k for r in wanted.df.select("k").distinct().collect()]  # 1 to ``words``
 
@@ -121,15 +120,18 @@ def find_items(docs: DataFrame, items: DataFrame, words: int = WORDS, similarity
     if not hits:
         return docs.sparkSession.createDataFrame(
             [], "doc_id long, item_id long, similarity double, first_word long, n_words long, content long")
-    places = reduce(DataFrame.unionByName, hits).groupBy(*key, "k", "n", "m", "need").agg(
-        F.max("total").alias("total"), F.sort_array(F.collect_set("at")).alias("at"))
+    places = reduce(DataFrame.unionByName, hits).groupBy(*key, "k", "n", "m").agg(
+        F.max("total").alias("total"), F.sort_array(F.collect_set("at")).alias("at")).withColumn(
+        "width", F.least("m", "total")).withColumn(
+        # shared / (m + width - shared) >= similarity
+        "need", F.ceil((F.col("m") + F.col("width")) * (similarity / (1 + similarity)) - 1e-9).cast("int"))
     # Starts of windows with enough such runs: the first and the last of ``need`` of them lie in the window.
     starts = F.array_distinct(F.flatten(F.transform(
         F.sequence(F.lit(0), F.size("at") - F.col("need")),
         lambda i: F.filter(F.sequence(
-            F.greatest(F.lit(0), F.get("at", i + F.col("need") - 1) - F.col("m") + 1),
-            F.greatest(F.get("at", i), F.get("at", i + F.col("need") - 1) - F.col("m") + 1)),
-            lambda s: (s <= F.get("at", i)) & (s + F.col("m") <= F.col("total"))))))
+            F.greatest(F.lit(0), F.get("at", i + F.col("need") - 1) - F.col("width") + 1),
+            F.greatest(F.get("at", i), F.get("at", i + F.col("need") - 1) - F.col("width") + 1)),
+            lambda s: (s <= F.get("at", i)) & (s + F.col("width") <= F.col("total"))))))
     windows = Kept(places.filter(F.size("at") >= F.col("need")).select(
         *key, "k", "n", "m", F.explode(starts).alias("start")), "windows")
     # The runs of the windows, from the texts of the documents that have some.
@@ -159,10 +161,10 @@ def find_items(docs: DataFrame, items: DataFrame, words: int = WORDS, similarity
         about, F.col("item_id").eqNullSafe(F.col("w_item")) & (F.col("item") == F.col("w_hash")))
     shared = shared_runs(F.col("runs"), F.col("item_runs"))
     scored = pairs.select("doc_id", "content", "item_id", F.col("c.n").alias("n"), F.col("c.start").alias("start"), "m",
-                          shared.alias("shared")).withColumn(
-        "similarity", F.col("shared") / (2 * F.col("m") - F.col("shared"))).filter(F.col("similarity") >= similarity)
+                          F.size("runs").alias("width"), shared.alias("shared")).withColumn(
+        "similarity", F.col("shared") / (F.col("m") + F.col("width") - F.col("shared"))).filter(F.col("similarity") >= similarity)
     return scored.groupBy("doc_id", "content", "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best")).select(
+        F.max(F.struct("similarity", (-F.col("start")).alias("back"), (F.col("width") + F.least("n", F.lit(words)) - 1).alias("n"))).alias("best")).select(
         "doc_id", "item_id", "best.similarity", (-F.col("best.back")).cast("long").alias("first_word"),
         F.col("best.n").cast("long").alias("n_words"), "content")
 

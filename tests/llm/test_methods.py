@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from airsleuth.llm.decontaminate import BLOCKS, RADIUS, _block_values, _near_values, find_items
+from airsleuth.llm.decontaminate import BLOCKS, RADIUS, _block_values, _near_values, drop_contaminated, find_items
 from airsleuth.llm.fingerprints import K, PLACE_BITS, SIZE, fingerprint_documents, with_anchors, with_likeness
 from airsleuth.llm.language_model import mixture_weight, score_documents
 from airsleuth.llm.licenses import PHRASES, scan_licenses
@@ -92,6 +92,18 @@ def test_edited_items_are_found(spark, prose):
     assert got == {(0, 0): (1.0, 40, 12), (1, 1): (1.0, 0, 30), (2, 2): (round(49 / 59, 4), 0, 58)}
 
 
+def test_documents_shorter_than_an_item_are_found(spark, prose):
+    """An item with a word missing, as a whole page, has fewer runs than the item."""
+    items = [prose(i, n) for i, n in enumerate((58, 30, 14))]
+    w = items[0].split()
+    texts = [" ".join(w[:25] + w[26:]), " ".join(items[1].split()[1:]), " ".join(items[2].split()[:-3]), prose(96, 50)]
+    found = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 4), r.first_word, r.n_words) for r in find_items(_docs(spark, texts), found).collect()}
+    # Of 10 runs the third item's page has 7: 0.7 is not enough.
+    assert got == {(0, 0): (round(49 / 58, 4), 0, 57), (1, 1): (round(25 / 26, 4), 0, 29)}
+    assert sorted(r.doc_id for r in drop_contaminated(_docs(spark, texts), found).collect()) == [2, 3]
+
+
 def test_license_spans(spark, prose):
     mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
            "documentation files (the Software), to deal in the Software without restriction")
