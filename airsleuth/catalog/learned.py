@@ -14,8 +14,8 @@ from airsleuth.catalog.base import (
 )
 from airsleuth.catalog.events import HIT_SQL, shown
 from airsleuth.catalog.ingest import ANNUAL, COMMON
-from airsleuth.detectors.backends import cascade_probabilities, label_index
-from airsleuth.detectors.base import RuleDetector, calibrated_threshold
+from airsleuth.detectors.backends import BACKENDS, cascade_probabilities, label_index
+from airsleuth.detectors.base import Detector, RuleDetector, calibrated_threshold
 from airsleuth.detectors.classifier import FaultClassifier, fault_hits, verdict
 from airsleuth.detectors.scores import IsolationForestDetector, MixtureDetector, ReconstructionDetector, Scaler
 from airsleuth.functions.quantiles import exact_quantiles
@@ -267,19 +267,19 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(train_unsupervised(split, ReconstructionDetector()).predict(split.evaluation))
 
 
-def _register_classifier(name: str, backend: str, **options: int) -> None:
+def _register_classifier(name: str, backend: str) -> None:
     @query(name)
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         _, split = _run(spark, sf_dir)
-        classifier = train_classifier(split, FaultClassifier(backend, **options))
+        classifier = train_classifier(split, FaultClassifier(backend))
         return shown(classifier.predict(split.evaluation), "predicted_fault", "confidence")
 
 
-_register_classifier("d5_random_forest", "random_forest", numTrees=50, maxDepth=8)
-_register_classifier("d6_boosted_trees", "boosted", maxIter=5)
-_register_classifier("d9_cascade", "cascade", maxIter=5)
-_register_classifier("d10_sequence", "sequence", maxIter=50)
-_register_classifier("d11_neural", "neural", maxIter=50)
+_register_classifier("d5_random_forest", "random_forest")
+_register_classifier("d6_boosted_trees", "boosted")
+_register_classifier("d9_cascade", "cascade")
+_register_classifier("d10_sequence", "sequence")
+_register_classifier("d11_neural", "neural")
 
 
 @query("d13_fused_run")
@@ -287,14 +287,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and mixture fused, annotated by a classifier."""
     _, split = _run(spark, sf_dir)
     mixture = train_unsupervised(split, MixtureDetector(), target_fpr=0.1)
-    classifier = train_classifier(split, FaultClassifier("random_forest", numTrees=20, maxDepth=8))
+    classifier = train_classifier(split, FaultClassifier("random_forest"))
     return shown(detect(split.evaluation, [RuleDetector(), mixture], classifier), "all_sources", "predicted_fault", "confidence")
 
 
 @query("d14_classifier_only")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, split = _run(spark, sf_dir)
-    classifier = train_classifier(split, FaultClassifier("random_forest", numTrees=20, maxDepth=8))
+    classifier = train_classifier(split, FaultClassifier("random_forest"))
     return shown(detect(split.evaluation, [], classifier), "predicted_fault", "confidence")
 
 
@@ -326,13 +326,19 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hold_out_summary(rows, fault_scenarios(rows), train_and_detect, "rules_gmm")
 
 
+def every_kind() -> list[Detector]:
+    """One detector of each kind that learns, as its defaults have it."""
+    return [MixtureDetector(), IsolationForestDetector(), ReconstructionDetector(), *map(FaultClassifier, BACKENDS)]
+
+
 @query("s17_saved_models")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of detectors that were saved and loaded again."""
     _, split = _run(spark, sf_dir)
     found = []
-    for detector in (IsolationForestDetector(trees=20), ReconstructionDetector()):
+    for detector in every_kind():
         path = scratch_path(spark, "model")
-        train_unsupervised(split, detector).save(spark, path)
-        found.append(type(detector).load(spark, path).predict(split.evaluation))
-    return shown(stack(found)).groupBy("detector_source", "alert_level").agg(F.count("*").alias("n"))
+        train = train_classifier if isinstance(detector, FaultClassifier) else train_unsupervised
+        train(split, detector).save(spark, path)
+        found.append(shown(type(detector).load(spark, path).predict(split.evaluation)))
+    return stack(found).groupBy("detector_source", "alert_level").agg(F.count("*").alias("n"))

@@ -144,7 +144,7 @@ class ForestBackend(Backend):
 
 
 def _boosting(seed: int, options: dict[str, Any]) -> GBTClassifier:
-    return GBTClassifier(featuresCol=VECTOR, labelCol=LABEL, seed=seed, **{"maxIter": 20, "maxDepth": 5, **options})
+    return GBTClassifier(featuresCol=VECTOR, labelCol=LABEL, seed=seed, **{"maxIter": 200, "maxDepth": 5, **options})
 
 
 class BoostedBackend(Backend):

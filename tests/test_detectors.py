@@ -5,7 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from airsleuth.detectors.backends import balanced, cascade_probabilities, class_weights
+from airsleuth.catalog import QUERIES as learned_queries
+from airsleuth.catalog import learned
+from airsleuth.detectors.backends import _boosting, balanced, cascade_probabilities, class_weights
 from airsleuth.detectors.base import RuleDetector, calibrated_threshold
 from airsleuth.detectors.classifier import FaultClassifier, fault_hits, verdict
 from airsleuth.detectors.scores import IsolationForestDetector, MixtureDetector, ReconstructionDetector
@@ -123,6 +125,30 @@ def test_classifiers_on_separable_classes(spark, rows, tmp_path, backend, option
     pd.testing.assert_frame_equal(*[c.judge(test).select(key).toPandas().sort_values(key).reset_index(drop=True) for c in (classifier, again)])
 
 
+@pytest.mark.parametrize("name", ["d5_random_forest", "d6_boosted_trees", "d9_cascade", "d10_sequence", "d11_neural", "d13_fused_run", "d14_classifier_only"])
+def test_queries_train_the_default_models(spark, monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def ask(split, classifier):
+        raise Asked(classifier)
+
+    monkeypatch.setattr(learned, "_run", lambda *_: (None, None))
+    monkeypatch.setattr(learned, "split_rows", lambda *_: None)
+    monkeypatch.setattr(learned, "train_unsupervised", lambda *_, **__: None)
+    monkeypatch.setattr(learned, "train_classifier", ask)
+    with pytest.raises(Asked) as asked:
+        learned_queries[name](spark, "")
+    assert asked.value.args[0].backend.options == {}
+
+
+def test_saved_models_are_of_every_kind_and_size(spark):
+    kinds = learned.every_kind()
+    assert len({getattr(d, "backend", d).__class__ for d in kinds}) == 8
+    assert [d.trees for d in kinds if isinstance(d, IsolationForestDetector)] == [100]
+    assert _boosting(1, {}).getMaxIter() == 200  # the reference's clf_n_estimators
+
+
 def test_sequence_classifier(spark, rows):
     classifier = FaultClassifier("sequence", maxIter=60).fit(rows)
     judged = classifier.judge(rows)
