@@ -99,8 +99,8 @@ def find_items(docs: DataFrame, items: DataFrame, words: int = WORDS, similarity
         .filter(F.size("words") > 0)
         .select("item_id", F.size("words").alias("n"), k.alias("k"), runs_of(F.col("words"), k).alias("item_runs"))
         .withColumn("m", F.size("item_runs"))
-        .withColumn("fingerprint", simhash(F.col("item_runs"))), "items", parts=1)
-    runs = Kept(wanted.df.select("k", "n", "m", F.explode("item_runs").alias("run")).distinct(), "item-runs", parts=1)
+        .withColumn("fingerprint", simhash(F.col("item_runs"))), "items")
+    runs = Kept(wanted.df.select("k", "n", "m", F.explode("item_runs").alias("run")).distinct(), "item-runs")
     few = runs.df.count() <= BROADCAST_RUNS
     sizes = [r.k for r in wanted.df.select("k").distinct().collect()]  # 1 to ``words``
 

@@ -39,7 +39,7 @@ def boilerplate(pages: DataFrame, host: str, ratio: float = RATIO, min_pages: in
     totals = kept.df.filter("line = 0").select("host", F.col("pages").alias("total"))
     found = (kept.df.filter("line <> 0").join(totals, "host").filter(F.col("pages") > ratio * F.col("total"))
              .groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("dropped")))
-    result = Kept(found, "boilerplate", parts=1)
+    result = Kept(found, "boilerplate")
     kept.free()
     return result.df
 

@@ -16,7 +16,7 @@ from airsleuth.llm.decontaminate import BLOCKS, RADIUS, _block_values, _near_val
 from airsleuth.llm.fingerprints import K, PLACE_BITS, SIZE, fingerprint_documents, with_anchors, with_likeness
 from airsleuth.llm.language_model import mixture_weight, score_documents
 from airsleuth.llm.licenses import PHRASES, scan_licenses
-from airsleuth.llm.line_dedup import drop_boilerplate
+from airsleuth.llm.line_dedup import boilerplate, drop_boilerplate
 from airsleuth.llm.near_dedup import near_duplicates
 from airsleuth.llm.packing import first_fit_decreasing, pack
 from airsleuth.llm.quality import _first_rows
@@ -277,6 +277,17 @@ def test_line_shares_are_of_the_site(spark):
     assert text[1] == ("own 1\n", 2) and text[2] == ("own 2", 0) and text[21] == ("own 21\nshared\n\nshared", 0) and text[100] == ("", 1)
 
 
+def test_hosts_are_written_by_more_than_one_task(spark):
+    rows = [(i, f"h{i % 40}", f"own {i}\nshared") for i in range(400)]
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        found = boilerplate(spark.createDataFrame(rows, "doc_id long, source string, text string"), "source")
+    finally:
+        spark.conf.unset(key)
+    assert found.count() == 40 and len(found.inputFiles()) > 1
+
+
 @pytest.mark.parametrize("level_bytes", [1 << 20, 64])
 def test_cascade_is_exact(spark, level_bytes):
     """Also where the list does not fit one filter and is cut into shards."""
