@@ -116,7 +116,8 @@ def _changed(ids: list[int | None], data: np.ndarray, offsets: np.ndarray, perce
     counts = np.diff(before)
     drawn = np.array([draws(i) for i in ids], "i8").reshape(-1, 4)
     cuts = np.sort(drawn[:, :2] % (counts + 1)[:, None], axis=1)
-    at = np.where(cuts > 0, units.select(np.maximum(before[:-1, None] + cuts, 1)), offsets[:-1, None])
+    at = np.repeat(offsets[:-1, None], 2, axis=1)
+    at[cuts > 0] = units.select((before[:-1, None] + cuts)[cuts > 0])
     chars = points.rank(np.column_stack([offsets[:-1], at]))
     body = data.tobytes()
     for i, n in enumerate(counts.tolist()):

@@ -22,7 +22,7 @@ def clean():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "labels"):
         connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert difference(QUERIES[name](spark, SF).toPandas(), connection.sql(ORACLES[name]).df()) is None
 
