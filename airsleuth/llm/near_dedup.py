@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airsleuth.llm.bitmap import mark_possible
 from airsleuth.llm.components import connected
 from airsleuth.llm.tables import Kept, table
 from airsleuth.llm.word_hashes import combine, hash_words, mix, shingles, text_chunks
@@ -33,6 +34,8 @@ BINS = 120
 ROWS = 5
 #: Mean nodes of the two sides of a block.
 ASKING, ASKED = 256, 1024
+#: Mean members of a block of a head.
+MEMBERS = 256
 
 _ORDER = np.stack([np.random.default_rng(bin_).permutation(BINS) for bin_ in range(BINS)])
 
@@ -92,21 +95,52 @@ def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
             yield shingles(hashes[a:b], words)
 
 
-def verify(pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``, texts ``text_a``, ``text_b``) whose whole sets are similar enough."""
+def verify(slots: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) of the slots (``a``, ``block``, ``b``, ``is_head``, ``text``) whose whole sets are similar enough.
+
+    The slots of a head ``a`` and block stand together behind the head's own; its set is made once and its members
+    stream by, so a task holds one batch of texts.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own = None, np.zeros(0, "u8")
         for batch in batches:
-            links = []
-            for x, y in zip(_sets(batch.column(2), words), _sets(batch.column(3), words)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                links.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(links, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
+            a, b, is_head = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+            links = np.zeros(len(a), bool)
+            for i, found in enumerate(_sets(batch.column(4), words)):
+                if is_head[i]:
+                    head, own = a[i], found
+                elif head == a[i] and len(own) and len(found):
+                    both = int((own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found).sum())
+                    links[i] = 100 * both >= percent * (len(own) + len(found) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(a[links]), pa.array(b[links])], schema=schema)
+
+    return (slots.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("is_head"))
+            .select("a", "block", "b", "is_head", "text").mapInArrow(run, "a long, b long"))
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+def _with_slots(pairs: DataFrame) -> DataFrame:
+    """Nodes of the pairs (head ``a``, ``b``): the blocks in which each is a member, ``at``, and how many it heads, ``heads``.
+
+    A head's members are dealt to blocks by their hash, so a head of many is many slots of bounded size.
+    """
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    # A node is a member of at most as many heads as it has buckets.
+    members = pairs.join(blocks, "a").groupBy(F.col("b").alias("node")).agg(
+        F.collect_list(F.struct("a", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))).alias("at"))
+    heads = blocks.select(F.col("a").alias("node"), F.col("blocks").alias("heads"))
+    return members.join(heads, "node", "full").select("node", "at", F.coalesce("heads", F.lit(0)).alias("heads"))
+
+
+def _slots(texts: DataFrame) -> DataFrame:
+    """One row for each block that a node's text is needed in."""
+    members = texts.select(F.col("node").alias("b"), "text", F.explode("at").alias("slot")).select(
+        "slot.a", "slot.block", "b", F.lit(False).alias("is_head"), "text")
+    heads = texts.filter("heads > 0").select(
+        F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("heads") - 1)).alias("block"), F.col("node").alias("b"),
+        F.lit(True).alias("is_head"), "text")
+    return heads.unionByName(members)
 
 
 def _open_units(rest: DataFrame) -> DataFrame:
@@ -184,30 +218,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     weights = entries.df.groupBy("node").agg(F.sum("size").alias("weight"))
     heads = Kept(entries.df.join(weights, "node").groupBy("key").agg(
         F.max_by("node", "weight").alias("head")), "heads")
-    # Texts of the nodes that share a bucket, once each.
-    met = nodes.df.join(entries.df.select("node").distinct(), "node").select("node", "n", "first_id", "content")
-    texts = Kept(
-        docs.select(F.coalesce("doc_id", no_id).alias("first_id"), "content", "text")
-        .join(met, ["first_id", "content"]).groupBy("node").agg(F.first("text").alias("text"), F.min("n").alias("n")), "texts")
-
     sizes = nodes.df.select(F.col("node").alias("head"), F.col("n").alias("head_n"))
     stars = entries.df.join(heads.df, "key").filter("node <> head").select(
         F.col("head"), F.col("node").alias("b"), F.col("n").alias("b_n")).distinct().join(sizes, "head")
     # Sets whose sizes differ too much cannot be similar.
     able = stars.filter((100 * F.col("head_n") >= percent * F.col("b_n")) & (100 * F.col("b_n") >= percent * F.col("head_n")))
     pairs = Kept(able.select(F.col("head").alias("a"), "b"), "pairs")
-    links = Kept(verify(
-        pairs.df.join(texts.df.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.df.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"), words, percent), "links")
+    # Texts of the nodes that share a bucket. The bitmap keeps all others where they are; a text moves once to its node,
+    # together with where it is wanted, and then to each of these places.
+    met = Kept(nodes.df.join(entries.df.select("node").distinct(), "node").join(_with_slots(pairs.df), "node", "left").select(
+        "first_id", "content", "node", "at", F.coalesce("heads", F.lit(0)).alias("heads")), "met")
+    place = F.xxhash64("first_id", "content")
+    given = docs.select(F.coalesce("doc_id", no_id).alias("first_id"), "content", "text")
+    wanted = mark_possible(given, place, met.df.select(place)).filter("__possible").groupBy("first_id", "content").agg(F.first("text").alias("text"))
+    texts = Kept(wanted.join(met.df, ["first_id", "content"]).select("node", "at", "heads", "text"), "texts")
+    links = Kept(verify(_slots(texts.df), words, percent), "links")
     # Parts of components will do here: whoever shares a label is connected.
     stars = connected(links.df, rounds=1)
     rest = Kept(
         entries.df.join(heads.df, "key").filter("node <> head").select("key", "node").join(stars.df, "node", "left")
         .select("key", "node", F.coalesce("label", "node").alias("label")), "rest")
-    units = _open_units(rest.df).join(texts.df.select("node", "text"), "node")
-    more = Kept(_links_within(units, words, percent), "more-links")
+    units = Kept(_open_units(rest.df), "units")
+    asked = mark_possible(texts.df.select("node", "text"), F.col("node"), units.df.select("node").distinct()).filter("__possible")
+    more = Kept(_links_within(units.df.join(asked.drop("__possible"), "node"), words, percent), "more-links")
     labels = connected(links.df.unionByName(more.df))
-    for done in (entries, heads, texts, pairs, links, stars, rest, more):
+    for done in (entries, heads, met, texts, pairs, links, stars, rest, units, more):
         done.free()
     classes = Kept(nodes.df.join(labels.df, "node", "left").select(
         "node", "first_id", "content", F.coalesce("label", "node").alias("label")), "classes")
@@ -225,19 +260,23 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) ->
     """``docs`` with one row of each group of near duplicates, that of the smallest ``doc_id``, null ids last.
 
     Groups are those that links make: texts that nothing links stay, whatever their ids. Of a group's rows
-    that repeat the smallest id the text of the smallest hash stays, once. Rows with an empty set all stay.
+    that repeat the smallest id the text of the smallest hash stays, once: of rows that differ in other columns only,
+    that of the smallest hash of all columns. Rows with an empty set all stay.
     """
-    found = Kept(near_duplicates(docs, words, percent).filter("n_shingles > 0"), "near").df
-    # Few rows as a rule, so that Spark can broadcast them instead of moving texts.
-    gone = Kept(found.filter("not stays").select(
-        F.col("doc_id").alias("__doc"), F.col("content").alias("__gone")).distinct(), "gone")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rest = docs.withColumn("__content", F.xxhash64(text)).join(
-        gone.df, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__content") == F.col("__gone")), "left_anti")
-    if found.filter("stays").groupBy("label").count().filter("count > 1").limit(1).count():
-        rest = rest.filter("trim(text) <> ''").dropDuplicates(["doc_id", "__content"]).unionByName(
-            rest.filter("text is null or trim(text) = ''"))
-    return rest.drop("__content")
+    found = Kept(near_duplicates(docs, words, percent).filter("n_shingles > 0").groupBy("doc_id", "content", "label").agg(
+        F.bool_and("stays").alias("stays"), F.count("*").alias("rows")), "near").df
+    judged = Kept(found.filter("not stays or rows > 1").select(
+        F.col("doc_id").alias("__doc"), F.col("content").alias("__text"), F.col("stays").alias("__stays")), "judged").df
+    columns = docs.columns
+    # Only rows that are judged, and the few that share a bit with one, are moved.
+    marked = mark_possible(
+        docs.withColumn("__content", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("__id", F.col("doc_id").cast("long")),
+        F.xxhash64("__id", "__content"), judged.select(F.xxhash64("__doc", "__text")))
+    some = marked.filter("__possible").join(
+        judged, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__content") == F.col("__text")), "left").filter("__stays is null or __stays")
+    once = some.filter("__stays").groupBy("__id", "__content").agg(
+        F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*")
+    return marked.filter("not __possible").select(columns).unionByName(some.filter("__stays is null").select(columns)).unionByName(once)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
