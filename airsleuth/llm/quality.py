@@ -3,8 +3,8 @@
 One classifier sees what a text is made of, the other the page's metadata. Both start
 from the labelled rows. In every round each labels the unlabelled documents it is sure of
 for the other, which learns from them what its own view could not
-tell. At the end each view is calibrated on labelled rows that took no part, and the two are
-combined as independent evidence.
+tell. Each view is calibrated on labelled texts that took no part, and the two are
+combined as independent evidence; once a round makes the loss on those texts higher, the views of the round before stay.
 
 Statistics of all documents are computed in Spark; the two fits run on bounded samples of rows.
 """
@@ -24,8 +24,8 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 from airsleuth.llm.tables import Kept, table
 from airsleuth.llm.word_hashes import hash_words, text_chunks
 
-#: Most labelled rows that are fitted, and most pseudo-labels of a class that a view hands over in a round;
-#: both are taken in the order of a hash of the id.
+#: Most labelled rows that are fitted, and most pseudo-labels of a class that a view hands over in a round, in which
+#: the classes keep the proportion of the labels; both are taken in the order of a hash of the id.
 LABELLED = 20_000
 HANDED = 1_000
 ROUNDS = 3
@@ -163,8 +163,8 @@ def _inputs(docs: DataFrame) -> dict:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Both views of every document, without its text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float32())), ("m", pa.list_(pa.float32()))])
+    """Both views of every document and a hash of its text, without the text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("x", pa.list_(pa.float32())), ("m", pa.list_(pa.float32()))])
 
     def lists(a: np.ndarray) -> pa.Array:
         ends = np.arange(len(a) + 1, dtype="i4") * a.shape[1]
@@ -173,21 +173,37 @@ def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, m = _views(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(x), lists(m)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(x), lists(m)], schema=schema)
 
     new = _inputs(docs)
-    return docs.select(F.col("doc_id").cast("long"), *(e.alias(n) for n, e in new.items())).mapInArrow(
-        run, "doc_id long, x array<float>, m array<float>")
+    content = F.xxhash64(F.coalesce(new["__text"], F.lit(""))).alias("__content")
+    return docs.select(F.col("doc_id").cast("long"), content, *(e.alias(n) for n, e in new.items())).mapInArrow(
+        run, "doc_id long, content long, x array<float>, m array<float>")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), "f8").reshape(-1, width)
 
 
-def _rows(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _rows(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both views, labels and hashes of texts."""
     found = df.toPandas()
     stack = lambda c, w: np.array(found[c].tolist(), "f8").reshape(-1, w)
-    return stack("x", CONTENT), stack("m", SOURCES + LANGUAGES + 2), found["label"].to_numpy("f8")
+    content = found["content"].to_numpy("i8") if "content" in found else np.zeros(len(found), "i8")
+    return stack("x", CONTENT), stack("m", SOURCES + LANGUAGES + 2), found["label"].to_numpy("f8"), content
+
+
+def _in_proportion(handed: list[tuple], good: float) -> list[tuple]:
+    """The first of the bad and of the good rows, as many as keep the share of good ones."""
+    total = min(len(handed[0][2]) / (1 - good), len(handed[1][2]) / good)
+    take = [int(total * (1 - good)), int(total * good)]
+    return [tuple(a[:n] for a in rows) for rows, n in zip(handed, take)]
+
+
+def _loss(model: CoTrained, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> float:
+    """Mean negative log-likelihood of the labels; 0 for no rows."""
+    p = np.clip(model.score(x, m)[2], 1e-12, 1 - 1e-12)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) if len(y) else 0.0
 
 
 def _first_rows(df: DataFrame, most: int) -> DataFrame:
@@ -230,33 +246,44 @@ def co_train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, labelled:
     marks = labels.filter("doc_id is not null and quality is not null").groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     kept = Kept(features(docs).join(marks, "doc_id", "left").withColumn("hash", F.xxhash64("doc_id")), "views")
-    # A bounded sample of the labelled rows, one row for an id.
-    sample = _first_rows(kept.df.filter("label is not null"), labelled)
-    x, m, y = _rows(sample)
+    # A bounded sample of the labelled rows; of rows that repeat an id, that of the smallest hash of its text.
+    one = kept.df.filter("label is not null").groupBy("doc_id").agg(
+        F.min_by(F.struct("hash", "content", "x", "m", "label"), "content").alias("row")).select("row.*")
+    x, m, y, content = _rows(_first_rows(one, labelled))
     if not 0 < y.sum() < len(y):
         kept.free()
         return None
-    hold = np.arange(len(y)) % CALIBRATE == 0
+    # By a hash of the text, so that no copy of a fitted text calibrates.
+    hold = content % CALIBRATE == 0
     if not 0 < y[~hold].sum() < (~hold).sum():
         hold[:] = False
     own_x, own_m = (x[~hold], y[~hold]), (m[~hold], y[~hold])
-    view_x, view_m = fit(*own_x), fit(*own_m)
+    good = float(y.mean())
+
+    def fitted() -> CoTrained:
+        model = CoTrained(fit(*own_x), fit(*own_m), float(np.log(good / (1 - good))))
+        calibrate(model.content, x[hold], y[hold])
+        calibrate(model.metadata, m[hold], y[hold])
+        return model
+
+    best = fitted()
+    least = _loss(best, x[hold], m[hold], y[hold])
     pool = kept.df.filter("label is null")
     for turn in range(rounds):
-        for model, f in ((view_x, x), (view_m, m)):
-            calibrate(model, f[hold], y[hold])
-        sure = Kept(_confident(pool.withColumn("hash", F.xxhash64("hash", F.lit(turn))), (view_x, view_m)), "sure")
-        handed = [[_rows(_first_rows(sure.df.filter((F.col("view") == view) & (F.col("label") == label)), HANDED))
-                   for label in (0.0, 1.0)] for view in (0, 1)]
+        sure = Kept(_confident(pool.withColumn("hash", F.xxhash64("hash", F.lit(turn))), (best.content, best.metadata)), "sure")
+        handed = [_in_proportion([_rows(_first_rows(sure.df.filter((F.col("view") == view) & (F.col("label") == label)), HANDED))
+                                  for label in (0.0, 1.0)], good) for view in (0, 1)]
         sure.free()
         # What content is sure of teaches metadata, and the other way round.
         own_m = (np.concatenate([own_m[0], *(h[1] for h in handed[0])]), np.concatenate([own_m[1], *(h[2] for h in handed[0])]))
         own_x = (np.concatenate([own_x[0], *(h[0] for h in handed[1])]), np.concatenate([own_x[1], *(h[2] for h in handed[1])]))
-        view_x, view_m = fit(*own_x), fit(*own_m)
-    for model, f in ((view_x, x), (view_m, m)):
-        calibrate(model, f[hold], y[hold])
+        model = fitted()
+        loss = _loss(model, x[hold], m[hold], y[hold])
+        if loss > least:
+            break
+        best, least = model, loss
     kept.free()
-    return CoTrained(view_x, view_m, float(np.log(y.mean() / (1 - y.mean()))))
+    return best
 
 
 def score_quality(docs: DataFrame, model: CoTrained | None, threshold: float = THRESHOLD) -> DataFrame:
