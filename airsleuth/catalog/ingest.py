@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airsleuth.catalog.base import (
-    DETECTIONS, ERRORS, FEATURE_ROWS, LONG, WIDE, detections, features, frame, long, micros, query, r6,
+    DETECTIONS, ERRORS, FEATURE_ROWS, HITS, LONG, WIDE, detections, features, frame, long, micros, query, r6,
     rounded, wide, with_sql,
 )
+from airsleuth.detectors.base import RuleDetector
 from airsleuth.functions.columns import (
     alert_level, fault_family, fault_of_file, key_of_fault, known_fault, known_level, or_unknown, parse_time, severity,
     to_double,
@@ -21,12 +22,14 @@ from airsleuth.operators.splits import (
     complete_rows, contiguous_tail, normal_rows, only_scenario, sample_at_most, sample_for_mixture,
     sample_per_scenario, temporal_split, without_scenario,
 )
+from airsleuth.operators.serving import job_by_id
+from airsleuth.plans.detection import run_job
 from airsleuth.schema import CACHE_COLUMNS, COLUMN_MAP, FEATURES, RAW_COLUMNS, SCENARIO, SEQ
 from airsleuth.session import scratch_path
 from airsleuth.sources.cache import not_cached, read_cache, write_cache, write_combined
 from airsleuth.sources.csv import load_all, load_scenario, scan_files, write_files
 from airsleuth.sources.store import (
-    counted, ingest_counts, insert_events, latest_jobs, read_events, write_report,
+    JobLog, counted, ingest_counts, insert_events, latest_jobs, read_events, write_report,
 )
 
 ROW = "scenario_file, zone_id, row_seq"
@@ -185,6 +188,19 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).withColumns(times).drop("started_at", "finished_at")
 
 
+@query("s15_whole_run", with_sql(HITS, """
+SELECT ground_truth, alert_level, count(*) AS stored, 'done' AS status, (SELECT count(*) FROM long) AS records_processed,
+  (SELECT count(*) FROM rule_events) AS anomalies_found FROM rule_events GROUP BY ALL"""))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenario files to stored events and reports under a job; the store is read back beside the job."""
+    log = JobLog(spark, scratch_path(spark, "jobs"))
+    events, reports = scratch_path(spark, "events"), scratch_path(spark, "reports")
+    job = run_job(spark, log, _scenario_folder(spark, sf_dir), detectors=[RuleDetector()], events_path=events, reports_path=reports)
+    done = job_by_id(log.jobs(), job).first()
+    return read_events(spark, events).groupBy("ground_truth", "alert_level").agg(F.count("*").alias("stored")).select(
+        "*", *[F.lit(done[c]).alias(c) for c in ("status", "records_processed", "anomalies_found")])
+
+
 @query("s16_report_file", with_sql(DETECTIONS, """
 SELECT alert_level, count(*) AS n, round(avg(confidence), 4) AS mean_confidence FROM detections GROUP BY ALL"""))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:

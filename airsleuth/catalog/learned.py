@@ -6,7 +6,7 @@ Gaussian with a closed form, and verdicts on probabilities derived from rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airsleuth.catalog.base import (
@@ -14,7 +14,7 @@ from airsleuth.catalog.base import (
 )
 from airsleuth.catalog.events import HIT_SQL, shown
 from airsleuth.catalog.ingest import ANNUAL, COMMON
-from airsleuth.detectors.backends import BACKENDS, cascade_probabilities, label_index
+from airsleuth.detectors.backends import BACKENDS, Backend, cascade_probabilities, class_weights, label_index
 from airsleuth.detectors.base import Detector, RuleDetector, calibrated_threshold
 from airsleuth.detectors.classifier import FaultClassifier, fault_hits, verdict
 from airsleuth.detectors.scores import IsolationForestDetector, MixtureDetector, ReconstructionDetector, Scaler
@@ -76,10 +76,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a14_class_weights", with_sql(LONG, """
 SELECT fault_type, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM long GROUP BY fault_type"""))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = Window.partitionBy()
-    counts = long(spark, sf_dir).groupBy("fault_type").agg(F.count("*").alias("n"))
-    weight = F.sum("n").over(whole) / (F.count("*").over(whole) * F.col("n"))
-    return counts.select("fault_type", "n", F.round(weight, 6).alias("weight"))
+    rows = long(spark, sf_dir)
+    weights = class_weights(rows)
+    weight = F.create_map(*[F.lit(v) for pair in weights.items() for v in pair])[F.col("fault_type")]
+    return rows.groupBy("fault_type").agg(F.count("*").alias("n")).withColumn("weight", F.round(weight, 6))
 
 
 @query("p29_four_digits", """
@@ -100,8 +100,12 @@ def _weights() -> list[Column]:
 
 def _probable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with class probabilities that favour the true class."""
+    return long(spark, sf_dir).withColumn("probability", _derived())
+
+
+def _derived() -> Column:
     total = sum(_weights()[1:], _weights()[0])
-    return long(spark, sf_dir).withColumn("probability", F.array(*[w / total for w in _weights()]))
+    return F.array(*[w / total for w in _weights()])
 
 
 _W = [f"(1 + (row_seq * {7 + 2 * i} + {13 * i}) % 16 + CASE WHEN fault_type = '{c}' THEN 40 ELSE 0 END)" for i, c in enumerate(CLASSES)]
@@ -122,7 +126,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLASSIFIED = f"""
 SELECT scenario_file, epoch_us(event_time) AS event_us, zone_id, predicted_fault AS violated_policy,
   CASE WHEN confidence >= 0.8e0 THEN 'CRITICAL' WHEN confidence >= 0.5e0 THEN 'WARNING' ELSE 'INFO' END AS alert_level,
-  round(score, 6) AS anomaly_index, 'fault_classifier' AS trigger_signal, 'classifier' AS detector_source, NULL::VARCHAR AS ground_truth,
+  round(score, 6) AS anomaly_index, 'fault_classifier' AS trigger_signal, 'classifier' AS detector_source, fault_type AS ground_truth,
   predicted_fault, round(confidence, 6) AS confidence FROM judged"""
 
 
@@ -132,13 +136,37 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(hits, "predicted_fault", "confidence").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("d8_calibrated_classifier", with_sql(JUDGED, f"""
+class _Given(Backend):
+    """The derived probabilities in place of a model's."""
+
+    kind = "given"
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.classes = CLASSES
+
+    def fit(self, rows: DataFrame, classes: list[str]) -> None:
+        """Nothing to learn."""
+
+    def probabilities(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("probability", _derived())
+
+    def models(self) -> dict:
+        return {}
+
+    def take(self, models: dict) -> None:
+        """Nothing to take."""
+
+
+@query("d8_calibrated_classifier", with_sql(FEATURE_ROWS + JUDGED.removeprefix(LONG).replace("FROM long", f"FROM features WHERE {_WHOLE}"), f"""
 SELECT scenario_file, predicted_fault, count(*) AS n FROM judged
 WHERE {_FAULTY.format("(SELECT quantile_cont(score, 0.95) FROM judged WHERE fault_type = 'normal')")} GROUP BY ALL"""))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = verdict(_probable(spark, sf_dir), CLASSES)
-    threshold = calibrated_threshold(normal_rows(judged), 0.05)
-    return fault_hits(judged, threshold).groupBy(SCENARIO, "predicted_fault").agg(F.count("*").alias("n"))
+    rows = complete_rows(features(spark, sf_dir), ["fault_type"])
+    classifier = FaultClassifier()
+    classifier.backend, classifier.fitted = _Given(), True
+    hits = classifier.calibrate(rows, 0.05).predict(rows)
+    return hits.groupBy(SCENARIO, "predicted_fault").agg(F.count("*").alias("n"))
 
 
 def _u(a: int, b: int) -> Column:
@@ -186,7 +214,7 @@ GAUSSIAN = HITS + _gaussian("true") + """,
 gaussian_hits AS (
   SELECT scenario_file, event_time, zone_id, 'ANOMALY_SCORE' AS violated_policy,
     CASE WHEN score >= critical THEN 'CRITICAL' WHEN score >= warning THEN 'WARNING' ELSE 'INFO' END AS alert_level, score AS anomaly_index,
-    'gmm_nll_score' AS trigger_signal, 'gmm_detector' AS detector_source, NULL::VARCHAR AS ground_truth
+    'gmm_nll_score' AS trigger_signal, 'gmm_detector' AS detector_source, fault_type AS ground_truth
   FROM scored, thresholds WHERE score >= warning)"""
 _HIT4 = HIT_SQL.replace("round(anomaly_index, 6)", "round(anomaly_index + 1.2345e-7, 4)")
 

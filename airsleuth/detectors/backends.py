@@ -1,4 +1,4 @@
-"""Class probabilities from MLlib models.
+"""Class probabilities from MLlib models, boosted trees and sequence and graph models.
 
 A backend is fitted on rows with FEATURES and ``fault_type`` and adds
 ``probability``, an array in the order of its sorted ``classes``.
@@ -13,14 +13,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassificationModel,
-    MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassificationModel,
-    RandomForestClassifier,
+    MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airsleuth.detectors.boosting import Boosted, fit_boosting
 from airsleuth.detectors.scores import SAMPLE_IDS
 from airsleuth.functions.columns import fault_family, is_fault
 from airsleuth.functions.quantiles import moments
@@ -61,20 +60,6 @@ def share_out(parts: list[Column]) -> Column:
     return F.array(*[p / F.when(total == 0, F.lit(1.0)).otherwise(total) for p in parts])
 
 
-def one_against_rest(model: OneVsRestModel, rows: DataFrame, output: str) -> DataFrame:
-    """Add class probabilities: each model's own, divided by their sum.
-
-    The combined model would pass its margins through a Python function row by
-    row; the single models run in the JVM.
-    """
-    names = [f"_p{i}" for i in range(len(model.models))]
-    for name, single in zip(names, model.models):
-        before = rows.columns
-        rows = single.transform(rows).select(*before, vector_to_array("probability")[1].alias(name))
-    once = computed_once(rows, {name: F.col(name) for name in names})
-    return once.withColumn(output, share_out([F.col(name) for name in names])).drop(*names)
-
-
 def _vector(columns: list[Column]) -> Column:
     return array_to_vector(F.array(*columns))
 
@@ -143,31 +128,42 @@ class ForestBackend(Backend):
         self.model = models["model"]
 
 
-def _boosting(seed: int, options: dict[str, Any]) -> GBTClassifier:
-    return GBTClassifier(featuresCol=VECTOR, labelCol=LABEL, seed=seed, **{"maxIter": 200, "maxDepth": 5, **options})
-
+class TreesBackend(Backend):
+    """What backends on boosted trees share: one set of trees for all their outputs."""
 
-class BoostedBackend(Backend):
-    """Boosted trees, one model per class against the rest."""
-
-    kind = "boosted"
+    @abstractmethod
+    def targets(self) -> dict[str, Column]:
+        """1, 0 or null of each row by output."""
 
     def fit(self, rows: DataFrame, classes: list[str]) -> None:
         self.classes = classes
-        data = rows.select(_vector([F.col(c) for c in FEATURES]).alias(VECTOR),
-                           label_index(F.col("fault_type"), classes).alias(LABEL))
-        one = OneVsRest(classifier=_boosting(self.seed, self.options), featuresCol=VECTOR, labelCol=LABEL, parallelism=3)
-        self.model = one.fit(data)
-
-    def probabilities(self, rows: DataFrame) -> DataFrame:
-        vectors = rows.withColumn(VECTOR, _vector([F.col(c) for c in FEATURES]))
-        return one_against_rest(self.model, vectors, "probability").drop(VECTOR)
+        self.trees = fit_boosting(rows, self.targets(), seed=self.seed, **self.options)
 
     def models(self) -> dict[str, Model]:
-        return {"model": self.model}
+        return {}
 
     def take(self, models: dict[str, Model]) -> None:
-        self.model = models["model"]
+        """The trees are part of the state."""
+
+    def state(self) -> dict[str, Any]:
+        return {**super().state(), "trees": self.trees.state()}
+
+    def restore(self, state: dict[str, Any]) -> None:
+        super().restore(state)
+        self.trees = Boosted.of(state["trees"])
+
+
+class BoostedBackend(TreesBackend):
+    """Boosted trees, one output per class against the rest."""
+
+    kind = "boosted"
+
+    def targets(self) -> dict[str, Column]:
+        return {c: F.col("fault_type") == c for c in self.classes}
+
+    def probabilities(self, rows: DataFrame) -> DataFrame:
+        scored = rows.withColumn("_p", self.trees.column())
+        return computed_once(scored, {"probability": share_out([F.col("_p")[i] for i in range(len(self.classes))])}).drop("_p")
 
 
 def cascade_probabilities(p_fault: Column, family: Column, p_oa: Column, p_damper: Column,
@@ -187,56 +183,32 @@ def cascade_probabilities(p_fault: Column, family: Column, p_oa: Column, p_dampe
     return share_out([F.coalesce(parts[c], F.lit(0.0)) if c in parts else F.lit(0.0) for c in classes])
 
 
-class CascadeBackend(Backend):
-    """Normal or fault, then the fault's family, then the fault within the family."""
+class CascadeBackend(TreesBackend):
+    """Normal or fault, then the fault's family, then the fault within the family; all stages are fitted at once."""
 
     kind = "cascade"
     FAMILIES = ["sensor_bias", "actuator_stuck", "actuator_leakage"]
 
-    def fit(self, rows: DataFrame, classes: list[str]) -> None:
-        self.classes = classes
-        label = F.col("fault_type")
-        data = rows.select(_vector([F.col(c) for c in FEATURES]).alias(VECTOR), "fault_type")
-        self.stages: dict[str, Model] = {}
-        faults = [c for c in classes if c != NORMAL]
-
-        def fit_pair(name: str, part: DataFrame, second: Column) -> None:
-            boosting = _boosting(self.seed, self.options)
-            self.stages[name] = boosting.fit(part.withColumn(LABEL, second.cast("double")))
-
-        fit_pair("fault", data, is_fault(label))
+    def targets(self) -> dict[str, Column]:
+        label, faults = F.col("fault_type"), {c for c in self.classes if c != NORMAL}
+        found = {"fault": is_fault(label)}
         if not faults:
-            return
-        faulty = data.filter(is_fault(label)).withColumn("family", fault_family(label))
-        one = OneVsRest(classifier=_boosting(self.seed, self.options), featuresCol=VECTOR, labelCol=LABEL, parallelism=3)
-        self.stages["family"] = one.fit(faulty.withColumn(LABEL, label_index(F.col("family"), self.FAMILIES)))
-        if {"coi_bias", "oa_bias"} & set(faults):
-            fit_pair("bias", faulty.filter(F.col("family") == "sensor_bias"), label != "coi_bias")
-        if {"coi_stuck", "damper_stuck"} & set(faults):
-            fit_pair("stuck", faulty.filter(F.col("family") == "actuator_stuck"), label != "coi_stuck")
+            return found
+        family = F.when(is_fault(label), fault_family(label))
+        found |= {name: family == name for name in self.FAMILIES}
+        if {"coi_bias", "oa_bias"} & faults:
+            found["bias"] = F.when(family == "sensor_bias", label != "coi_bias")
+        if {"coi_stuck", "damper_stuck"} & faults:
+            found["stuck"] = F.when(family == "actuator_stuck", label != "coi_stuck")
+        return found
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
-        scored = rows.withColumn(VECTOR, _vector([F.col(c) for c in FEATURES]))
-        outputs = []
-        for name, model in self.stages.items():
-            outputs.append(f"_{name}")
-            if name == "family":
-                scored = one_against_rest(model, scored, "_family")
-            else:
-                before = scored.columns
-                scored = model.transform(scored).select(*before, vector_to_array("probability")[1].alias(f"_{name}"))
-        scored = computed_once(scored, {name: F.col(name) for name in outputs})
-        stage = {n: F.col(f"_{n}") if n in self.stages else F.lit(None).cast("double") for n in ("fault", "bias", "stuck")}
-        family = F.col("_family") if "family" in self.stages else F.lit(None).cast("array<double>")
-        return scored.withColumn(
-            "probability", cascade_probabilities(stage["fault"], family, stage["bias"], stage["stuck"], self.classes)
-        ).drop(VECTOR, *outputs)
-
-    def models(self) -> dict[str, Model]:
-        return self.stages
-
-    def take(self, models: dict[str, Model]) -> None:
-        self.stages = models
+        p = {name: F.col("_p")[i] for i, name in enumerate(self.trees.names)}
+        nothing = F.lit(None).cast("double")
+        family = share_out([p[f] for f in self.FAMILIES]) if self.FAMILIES[0] in p else F.lit(None).cast("array<double>")
+        scored = rows.withColumn("_p", self.trees.column())
+        return computed_once(scored, {"probability": cascade_probabilities(
+            p["fault"], family, p.get("bias", nothing), p.get("stuck", nothing), self.classes)}).drop("_p")
 
 
 class NeuralBackend(Backend):
@@ -346,8 +318,6 @@ class SequenceBackend(NeuralBackend):
 BACKENDS = {b.kind: b for b in (ForestBackend, BoostedBackend, CascadeBackend, NeuralBackend, SequenceBackend)}
 _READERS = {
     "RandomForestClassificationModel": RandomForestClassificationModel,
-    "GBTClassificationModel": GBTClassificationModel,
-    "OneVsRestModel": OneVsRestModel,
     "MultilayerPerceptronClassificationModel": MultilayerPerceptronClassificationModel,
 }
 

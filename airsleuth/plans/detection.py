@@ -23,7 +23,7 @@ from airsleuth.operators.splits import (
 from airsleuth.schema import HIT_COLUMNS, NORMAL, ROW_KEYS, SCENARIO, SEQ
 from airsleuth.session import cut_lineage
 from airsleuth.sources.csv import scan_files
-from airsleuth.sources.store import JobLog, counted, insert_events
+from airsleuth.sources.store import JobLog, counted, insert_events, write_report
 
 
 def detect(features: DataFrame, detectors: Sequence[Detector], classifier: FaultClassifier | None = None) -> DataFrame:
@@ -128,10 +128,13 @@ def evaluate(rows: DataFrame, events: DataFrame, used_classifier: bool = False)
     )
 
 
-def store(events: DataFrame, path: str, equipment: str = EQUIPMENT) -> tuple[int, DataFrame]:
-    """Store the events that meet the contract; returns their number and the rejected ones."""
+def store(events: DataFrame, path: str, equipment: str = EQUIPMENT, run: str | None = None) -> tuple[int, DataFrame]:
+    """Store the events that meet the contract; returns their number and the rejected ones.
+
+    With a ``run`` key storing the run again replaces its events.
+    """
     valid, rejected = check_contract(to_events(events, equipment))
-    return insert_events(valid, path), rejected
+    return insert_events(valid, path, run=run), rejected
 
 
 def hold_out_summary(features: DataFrame, scenarios: Sequence[str], train_and_detect,
@@ -160,17 +163,31 @@ def fault_scenarios(features: DataFrame) -> list[str]:
     return sorted(r[0] for r in found)
 
 
-def run_job(spark: SparkSession, log: JobLog, folder: str, scenario: str = "all") -> int:
-    """Ingest a scenario under a job: pending, running, then done with its counts or failed."""
+def run_job(spark: SparkSession, log: JobLog, folder: str, scenario: str = "all", detectors: Sequence[Detector] = (),
+            events_path: str | None = None, reports_path: str | None = None) -> int:
+    """A run under a job: pending, running, then done with its counts or failed.
+
+    Scenario files become features. With fitted ``detectors`` their events are stored in ``events_path`` under
+    the job's own run key, so that a repeated insert doubles nothing, and the reports go to ``reports_path``, one folder each.
+    """
     job = log.create(scenario)
     log.update(job, "running")
     try:
-        rows, seen = counted(build_features_from_wide(scan_files(spark, folder, scenario)))
-        rows.write.format("noop").mode("overwrite").save()
-        log.update(job, "done", records_processed=seen.get["rows"], anomalies_found=0)
+        built, seen = counted(build_features_from_wide(scan_files(spark, folder, scenario)))
+        found = 0
+        if detectors:
+            rows = cut_lineage(built)
+            events = cut_lineage(detect(rows, detectors))
+            if events_path is not None:
+                found, _ = store(events, events_path, run=f"job-{job}")
+            if reports_path is not None:
+                reports = evaluate(rows, events)
+                for name in ("overall", "per_fault", "per_scenario", "bursts"):
+                    write_report(getattr(reports, name), f"{reports_path.rstrip('/')}/job-{job}/{name}")
+        else:
+            built.write.format("noop").mode("overwrite").save()
+        log.update(job, "done", records_processed=seen.get["rows"], anomalies_found=found)
     except Exception as error:
         log.update(job, "failed", error_msg=str(error))
         raise
     return job
-
-

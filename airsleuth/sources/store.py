@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import secrets
-import time
+import threading
 from collections.abc import Sequence
 from datetime import datetime
 
+from py4j.java_gateway import JavaObject
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -82,35 +83,61 @@ def latest_jobs(transitions: DataFrame) -> DataFrame:
 
 
 class JobLog:
-    """Append-only log of job transitions in a Parquet folder."""
+    """Append-only log of job transitions.
+
+    Job ids and the places of transitions are numbers claimed by creating a file that must not exist yet, which
+    file systems of a cluster decide for one of all writers; writers of one driver also take turns, for local
+    folders do not. So ids rise with age, and any two transitions have an order, however close in time.
+    """
+
+    _TURN = threading.Lock()
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self._spark, self._path = spark, path
+        self._spark, self._path = spark, path.rstrip("/")
+
+    def _folder(self, name: str) -> tuple[JavaObject, JavaObject]:
+        place = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._path}/{name}")
+        return place.getFileSystem(self._spark._jsc.hadoopConfiguration()), place
+
+    def _names(self, folder: str) -> list[str]:
+        system, place = self._folder(folder)
+        return sorted(f.getPath().getName() for f in system.listStatus(place)) if system.exists(place) else []
+
+    def _claim(self, counter: str) -> int:
+        """The next number of a counter, never given to anyone else."""
+        with self._TURN:
+            taken = [int(n) for n in self._names(f"claims/{counter}") if n.isdigit()]
+            number = max(taken, default=0) + 1
+            while True:
+                system, place = self._folder(f"claims/{counter}/{number:019d}")
+                if system.createNewFile(place):
+                    return number
+                number += 1
 
     def transitions(self) -> DataFrame:
+        """All transitions with their place ``seq``, once each, also while the log is being compacted."""
         schema = T.StructType([*JOB_SCHEMA, T.StructField("seq", T.LongType())])
-        try:
-            return self._spark.read.schema(schema).parquet(self._path)
-        except AnalysisException:
+        steps = [n for n in self._names("steps") if not n.startswith(("_", "."))]
+        if not steps:
             return self._spark.createDataFrame([], schema)
+        return self._spark.read.schema(schema).parquet(*[f"{self._path}/steps/{n}" for n in steps]).dropDuplicates(["seq"])
 
     def jobs(self) -> DataFrame:
         return latest_jobs(self.transitions())
 
     def _append(self, **values: object) -> None:
-        now = F.unix_micros(F.current_timestamp())
+        seq = self._claim("steps")
         row = self._spark.range(1).select(
             *[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name)
               if f.name not in ("started_at", "finished_at") or f.name not in values
               else F.current_timestamp().alias(f.name) for f in JOB_SCHEMA],
-            now.alias("seq"),
+            F.lit(seq).cast("long").alias("seq"),
         )
-        row.write.mode("append").parquet(self._path)
+        row.write.parquet(f"{self._path}/steps/{seq:019d}")
 
     def create(self, scenario: str) -> int:
         """A new job, pending; returns its id."""
-        # Time first, so that ids sort by age; the random rest keeps jobs created together apart.
-        job = (time.time_ns() // 1_000_000 << 20) | secrets.randbits(20)
+        job = self._claim("jobs")
         self._append(id=job, scenario=scenario, status="pending", started_at=True)
         return job
 
@@ -122,6 +149,25 @@ class JobLog:
         self._append(id=job_id, status=status, error_msg=error_msg,
                      records_processed=records_processed, anomalies_found=anomalies_found, **end)
 
+    def compact(self) -> int:
+        """Put all transitions into one folder, and drop what that makes needless; returns the folders replaced.
+
+        What is appended meanwhile stays as it is. A reader sees transitions twice at worst, and takes them once.
+        """
+        before = [n for n in self._names("steps") if not n.startswith(("_", "."))]
+        if len(before) < 2:
+            return 0
+        self.transitions().filter(F.col("seq") <= int(before[-1].split("-")[0])).coalesce(1).write.parquet(
+            f"{self._path}/steps/{before[-1].split('-')[0]}-{secrets.token_hex(8)}")
+        for name in before:
+            system, place = self._folder(f"steps/{name}")
+            system.delete(place, True)
+        for counter in ("jobs", "steps"):
+            for name in self._names(f"claims/{counter}")[:-1]:
+                system, place = self._folder(f"claims/{counter}/{name}")
+                system.delete(place, False)
+        return len(before)
+
 
 # --- reports and counts ----------------------------------------------------------
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from airsleuth.catalog import QUERIES as learned_queries
 from airsleuth.catalog import learned
-from airsleuth.detectors.backends import _boosting, balanced, cascade_probabilities, class_weights
+from airsleuth.detectors.backends import balanced, cascade_probabilities, class_weights
 from airsleuth.detectors.base import RuleDetector, calibrated_threshold
+from airsleuth.detectors.boosting import ROUNDS
 from airsleuth.detectors.classifier import FaultClassifier, fault_hits, verdict
 from airsleuth.detectors.scores import IsolationForestDetector, MixtureDetector, ReconstructionDetector
 from airsleuth.errors import DetectorNotFittedError
@@ -100,7 +101,7 @@ def _parts(rows):
     return rows.filter(number != 0), rows.filter(number == 0)
 
 
-BACKENDS = [("random_forest", {"numTrees": 20, "maxDepth": 6}), ("boosted", {"maxIter": 3}), ("cascade", {"maxIter": 3}), ("neural", {"maxIter": 60})]
+BACKENDS = [("random_forest", {"numTrees": 20, "maxDepth": 6}), ("boosted", {"rounds": 20}), ("cascade", {"rounds": 20}), ("neural", {"maxIter": 60})]
 
 
 @pytest.mark.parametrize("backend, options", BACKENDS)
@@ -146,7 +147,7 @@ def test_saved_models_are_of_every_kind_and_size(spark):
     kinds = learned.every_kind()
     assert len({getattr(d, "backend", d).__class__ for d in kinds}) == 8
     assert [d.trees for d in kinds if isinstance(d, IsolationForestDetector)] == [100]
-    assert _boosting(1, {}).getMaxIter() == 200  # the reference's clf_n_estimators
+    assert ROUNDS == 200  # a fixed value
 
 
 def test_sequence_classifier(spark, rows):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from datetime import datetime, timedelta
 
 import pytest
@@ -32,6 +33,13 @@ def test_entry(spark):
     assert events.count() > 0 and set(oracles) <= set(queries) and set(QUERIES) <= set(queries) and set(ORACLES) <= set(oracles)
 
 
+def test_queries_without_a_library_that_training_data_needs(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("airsleuth.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLES)
+
+
 def test_repeated_batch_gives_the_same_events(spark, features, tmp_path):
     from airsleuth.schema import COLUMN_MAP
 

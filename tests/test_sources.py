@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -241,6 +242,32 @@ def test_job_log(spark, folder, tmp_path):
     assert spark.sql("SELECT sum(detection_count) FROM vw_detection_daily").first()[0] == 3
 
 
+def test_jobs_created_together(spark, tmp_path):
+    """Writers at the same time get ids of their own in a row, and every transition its place."""
+    log = JobLog(spark, str(tmp_path / "jobs"))
+    with ThreadPoolExecutor(6) as pool:
+        ids = list(pool.map(lambda i: JobLog(spark, str(tmp_path / "jobs")).create(f"s{i}"), range(12)))
+    assert sorted(ids) == list(range(1, 13))
+    assert sorted(r["seq"] for r in log.transitions().collect()) == list(range(1, 13))
+    assert {j["id"]: j["scenario"] for j in log.jobs().collect()} == {job: f"s{i}" for i, job in enumerate(ids)}
+
+
+def test_compacted_log(spark, tmp_path):
+    log = JobLog(spark, str(tmp_path / "jobs"))
+    assert log.compact() == 0
+    first = log.create("a")
+    log.update(first, "running")
+    second = log.create("b")
+    log.update(first, "done", records_processed=7)
+    before = sorted(map(str, log.jobs().collect()))
+    assert log.compact() == 4 and sorted(map(str, log.jobs().collect())) == before and log.compact() == 0
+    assert log.create("c") == second + 1
+    log.update(second, "failed", error_msg="late")
+    assert [r["seq"] for r in log.transitions().orderBy("seq").collect()] == [1, 2, 3, 4, 5, 6]
+    assert log.compact() == 3 and job_by_id(log.jobs(), second).first()["error_msg"] == "late"
+    assert [j["id"] for j in recent_jobs(log.jobs(), 5).collect()] == [3, 2, 1]
+
+
 def _stored(spark, tmp_path) -> str:
     path = str(tmp_path / uuid.uuid4().hex)
     insert_events(_three(spark), path)
