@@ -308,6 +308,7 @@ _register_classifier("d6_boosted_trees", "boosted")
 _register_classifier("d9_cascade", "cascade")
 _register_classifier("d10_sequence", "sequence")
 _register_classifier("d11_neural", "neural")
+_register_classifier("d11_graph", "graph")
 
 
 @query("d13_fused_run")

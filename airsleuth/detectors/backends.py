@@ -13,18 +13,20 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.classification import (
-    MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier,
+    LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier, RandomForestClassificationModel, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airsleuth.detectors.boosting import Boosted, fit_boosting
-from airsleuth.detectors.scores import SAMPLE_IDS
+from airsleuth.detectors.convolution import Kernels, response_names, streamed
+from airsleuth.detectors.graph import adjacency
+from airsleuth.detectors.scores import SAMPLE_IDS, Scaler, covariance, once_per_row
 from airsleuth.functions.columns import fault_family, is_fault
 from airsleuth.functions.quantiles import moments
-from airsleuth.operators.ordered import Order, stream_series
-from airsleuth.operators.sequence import SEQUENCE_ROWS
+from airsleuth.operators.ordered import stream_series
+from airsleuth.operators.sequence import SEQUENCE_ROWS, pad_head
 from airsleuth.schema import FEATURES, NORMAL
 from airsleuth.session import cut_lineage
 
@@ -215,17 +217,18 @@ class NeuralBackend(Backend):
     """Dense network on standardized features."""
 
     kind = "neural"
-    inputs = FEATURES
 
     def _scaled(self, rows: DataFrame) -> DataFrame:
-        z = [(F.col(c) - m) / s for c, m, s in zip(self.inputs, self.means, self.stds)]
-        return rows.withColumn(VECTOR, _vector(z))
+        return rows.withColumn(VECTOR, _vector(Scaler(self.means, self.stds).columns()))
 
     def _fit_network(self, rows: DataFrame) -> None:
-        self.means, self.stds = moments(rows, self.inputs)
+        self.means, self.stds = moments(rows, FEATURES)
+        self._fit_head(rows, len(FEATURES))
+
+    def _fit_head(self, rows: DataFrame, inputs: int) -> None:
         data = self._scaled(rows).select(VECTOR, label_index(F.col("fault_type"), self.classes).alias(LABEL))
         options = {"maxIter": 100, "hidden": 32, **self.options}
-        layers = [len(self.inputs), options.pop("hidden"), len(self.classes)]
+        layers = [inputs, options.pop("hidden"), len(self.classes)]
         self.model = MultilayerPerceptronClassifier(
             featuresCol=VECTOR, labelCol=LABEL, layers=layers, seed=self.seed, **options
         ).fit(data)
@@ -255,68 +258,88 @@ class NeuralBackend(Backend):
         self.means, self.stds = state["means"], state["stds"]
 
 
-SEQUENCE_INPUTS = [f"{c}_seq_{s}" for c in FEATURES for s in ("mean", "change")]
+class GraphBackend(NeuralBackend):
+    """Dense network on each signal and on two rounds of averages over its neighbours in a learned graph."""
+
+    kind = "graph"
+
+    def _scaled(self, rows: DataFrame) -> DataFrame:
+        scaler, weights = Scaler(self.means, self.stds), np.array(self.adjacency)
+
+        @F.pandas_udf("array<double>")
+        def averaged(features: pd.DataFrame) -> pd.Series:
+            own = scaler.batch(features)
+            near = own @ weights.T
+            return pd.Series(list(np.hstack([own, near, near @ weights.T])))
+
+        return rows.withColumn(VECTOR, array_to_vector(once_per_row(averaged)))
+
+    def _fit_network(self, rows: DataFrame) -> None:
+        self.means, self.stds = moments(rows, FEATURES)
+        self.adjacency = adjacency(covariance(rows, Scaler(self.means, self.stds))).tolist()
+        self._fit_head(rows, 3 * len(FEATURES))
 
+    def state(self) -> dict[str, Any]:
+        return {**super().state(), "adjacency": self.adjacency}
 
-def _summarize(values: pd.DataFrame, group: np.ndarray) -> dict[str, np.ndarray]:
-    """Mean and change of the last 30 rows; missing rows count as the series' first row."""
-    series = values.groupby(group, sort=False)
-    seen = series.cumcount().to_numpy() + 1
-    rows = np.minimum(seen, SEQUENCE_ROWS)
-    first = series.transform("first").to_numpy()
-    sums = series.rolling(SEQUENCE_ROWS, min_periods=1).sum().to_numpy()
-    oldest = np.where((seen >= SEQUENCE_ROWS)[:, None], series.shift(SEQUENCE_ROWS - 1).to_numpy(), first)
-    means = (sums + (SEQUENCE_ROWS - rows)[:, None] * first) / SEQUENCE_ROWS
-    change = values.to_numpy() - oldest
-    out = {"_seen": rows.astype(float)}
-    for i, c in enumerate(values.columns):
-        out[f"{c}_seq_mean"], out[f"{c}_seq_change"] = means[:, i], change[:, i]
-    return out
+    def restore(self, state: dict[str, Any]) -> None:
+        super().restore(state)
+        self.adjacency = state["adjacency"]
 
 
-class SequenceBackend(NeuralBackend):
-    """Dense network on the last 30 rows of a series: their last, mean and change per feature.
+class SequenceBackend(Backend):
+    """Dilated convolutions over the last 30 rows of a series, and a multinomial head on them and the row itself.
 
-    The rows of a window are summarized while they stream by, so windows are
+    Responses are computed while rows stream by in series order, so windows are
     never laid out in memory. Training rows are balanced by class weight.
     """
 
     kind = "sequence"
-    inputs = [*FEATURES, *SEQUENCE_INPUTS]
 
     def _windows(self, rows: DataFrame) -> DataFrame:
-        return stream_series(
-            rows, _summarize, FEATURES, ["_seen", *SEQUENCE_INPUTS], SEQUENCE_ROWS - 1
-        )
+        kernels = Kernels.drawn(len(FEATURES), self.seed)
+        return stream_series(rows, streamed(self.means, self.stds, kernels), FEATURES, ["_seen", *response_names()], SEQUENCE_ROWS - 1)
+
+    def _with_vector(self, windows: DataFrame) -> DataFrame:
+        own = Scaler(self.means, self.stds).columns()
+        return windows.withColumn(VECTOR, _vector([*own, *[F.col(c) for c in response_names()]]))
 
     def fit(self, rows: DataFrame, classes: list[str]) -> None:
         self.classes = classes
+        self.means, self.stds = moments(rows, FEATURES)
         whole = cut_lineage(self._windows(rows).filter(F.col("_seen") >= SEQUENCE_ROWS))
         if whole.isEmpty():
             raise ValueError("training data has no complete sequence window")
-        self._fit_network(balanced(whole, class_weights(whole), SAMPLE_IDS, self.seed))
+        data = self._with_vector(balanced(whole, class_weights(whole), SAMPLE_IDS, self.seed)).select(
+            VECTOR, label_index(F.col("fault_type"), classes).alias(LABEL))
+        options = {"maxIter": 100, "regParam": 1e-3, **self.options}
+        self.model = LogisticRegression(featuresCol=VECTOR, labelCol=LABEL, family="multinomial", **options).fit(data)
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
         """Rows before the first whole window take its prediction; a shorter series
         takes that of its one padded window."""
-        scored = self._score(self._windows(rows)).drop(*SEQUENCE_INPUTS)
-        order = Order()
-        at = F.struct(*order.columns)
-        whole = F.col("_seen") >= SEQUENCE_ROWS
-        fill = scored.groupBy(*order.keys).agg(
-            F.coalesce(
-                F.min_by("probability", F.when(whole, at)), F.max_by("probability", at)
-            ).alias("_fill")
-        )
-        return (
-            scored.join(fill, list(order.keys))
-            .withColumn("probability", F.when(whole, F.col("probability")).otherwise(F.col("_fill")))
-            .drop("_seen", "_fill")
-        )
-
-
-BACKENDS = {b.kind: b for b in (ForestBackend, BoostedBackend, CascadeBackend, NeuralBackend, SequenceBackend)}
+        scored = self.model.transform(self._with_vector(self._windows(rows)))
+        scored = computed_once(scored, {"_p": vector_to_array("probability")}).drop(VECTOR, "rawPrediction", "prediction", *response_names())
+        whole = scored.withColumn("probability", F.when(F.col("_seen") >= SEQUENCE_ROWS, F.col("_p")))
+        return pad_head(whole, "probability", last="_p").drop("_seen", "_p")
+
+    def models(self) -> dict[str, Model]:
+        return {"model": self.model}
+
+    def take(self, models: dict[str, Model]) -> None:
+        self.model = models["model"]
+
+    def state(self) -> dict[str, Any]:
+        return {**super().state(), "means": self.means, "stds": self.stds}
+
+    def restore(self, state: dict[str, Any]) -> None:
+        super().restore(state)
+        self.means, self.stds = state["means"], state["stds"]
+
+
+BACKENDS = {b.kind: b for b in (ForestBackend, BoostedBackend, CascadeBackend, NeuralBackend, GraphBackend, SequenceBackend)}
 _READERS = {
+    "LogisticRegressionModel": LogisticRegressionModel,
     "RandomForestClassificationModel": RandomForestClassificationModel,
     "MultilayerPerceptronClassificationModel": MultilayerPerceptronClassificationModel,
 }

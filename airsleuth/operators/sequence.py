@@ -42,10 +42,16 @@ def sequence_windows(df: DataFrame, columns: Sequence[str], rows: int = SEQUENCE
     return framed.filter(whole & ~F.col("_copy")).drop("_copy", "_series", SLICE)
 
 
-def pad_head(df: DataFrame, column: str, order: Order = Order()) -> DataFrame:
-    """Rows before a series' first value take that value."""
-    at = F.when(F.col(column).isNotNull(), F.struct(*order.columns))
-    firsts = df.groupBy(*order.keys).agg(F.min_by(column, at).alias("_first"))
+def pad_head(df: DataFrame, column: str, order: Order = Order(), last: str | None = None) -> DataFrame:
+    """Rows before a series' first value take that value.
+
+    A series without any takes the value of the column ``last`` at its last row, if one is named.
+    """
+    at = F.struct(*order.columns)
+    value = F.min_by(column, F.when(F.col(column).isNotNull(), at))
+    if last is not None:
+        value = F.coalesce(value, F.max_by(last, at))
+    firsts = df.groupBy(*order.keys).agg(value.alias("_first"))
     return (
         with_lookup(df, firsts, list(order.keys), "_first")
         .withColumn(column, F.coalesce(column, "_first")).drop("_first")

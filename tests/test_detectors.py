@@ -101,7 +101,7 @@ def _parts(rows):
     return rows.filter(number != 0), rows.filter(number == 0)
 
 
-BACKENDS = [("random_forest", {"numTrees": 20, "maxDepth": 6}), ("boosted", {"rounds": 20}), ("cascade", {"rounds": 20}), ("neural", {"maxIter": 60})]
+BACKENDS = [("random_forest", {"numTrees": 20, "maxDepth": 6}), ("boosted", {"rounds": 20}), ("cascade", {"rounds": 20}), ("neural", {"maxIter": 60}), ("graph", {"maxIter": 60})]
 
 
 @pytest.mark.parametrize("backend, options", BACKENDS)
@@ -126,7 +126,7 @@ def test_classifiers_on_separable_classes(spark, rows, tmp_path, backend, option
     pd.testing.assert_frame_equal(*[c.judge(test).select(key).toPandas().sort_values(key).reset_index(drop=True) for c in (classifier, again)])
 
 
-@pytest.mark.parametrize("name", ["d5_random_forest", "d6_boosted_trees", "d9_cascade", "d10_sequence", "d11_neural", "d13_fused_run", "d14_classifier_only"])
+@pytest.mark.parametrize("name", ["d5_random_forest", "d6_boosted_trees", "d9_cascade", "d10_sequence", "d11_neural", "d11_graph", "d13_fused_run", "d14_classifier_only"])
 def test_queries_train_the_default_models(spark, monkeypatch, name):
     class Asked(Exception):
         pass
@@ -145,7 +145,7 @@ def test_queries_train_the_default_models(spark, monkeypatch, name):
 
 def test_saved_models_are_of_every_kind_and_size(spark):
     kinds = learned.every_kind()
-    assert len({getattr(d, "backend", d).__class__ for d in kinds}) == 8
+    assert len({getattr(d, "backend", d).__class__ for d in kinds}) == 9
     assert [d.trees for d in kinds if isinstance(d, IsolationForestDetector)] == [100]
     assert ROUNDS == 200  # a fixed value
 
