@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airsleuth.detectors.base import ScoreDetector
+from airsleuth.detectors.mixture import KINDS, START_ROWS, Mixture, fit_mixture, log_parts, log_total, start
+from airsleuth.detectors.splines import DEGREE, curves, design, knots_of
+from airsleuth.detectors.sums import summed
 from airsleuth.errors import FeatureEngineeringError
 from airsleuth.functions.columns import complete
 from airsleuth.functions.quantiles import exact_quantiles, moments
@@ -50,21 +51,15 @@ class Scaler:
 
 
 def covariance(df: DataFrame, scaler: Scaler) -> np.ndarray:
-    """Covariance of the standardized features of the training rows.
+    """Covariance of the standardized features of the training rows, from one sum of products with a leading 1."""
+    n = len(FEATURES) + 1
 
-    Each batch gives one matrix of sums of products; Spark adds them up.
-    """
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            x = scaler.batch(rows)
-            i, j = np.indices((x.shape[1], x.shape[1]))
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": (x.T @ x).ravel(), "n": len(x)})
-
-    sums = df.select(*FEATURES).mapInPandas(products, "i int, j int, s double, n long").groupBy("i", "j").agg(
-        (F.sum("s") / F.sum("n")).alias("c")
-    ).toPandas()  # 961 rows
-    matrix = np.zeros((len(FEATURES), len(FEATURES)))
-    matrix[sums["i"], sums["j"]] = sums["c"]
+    def products(rows: pd.DataFrame) -> np.ndarray:
+        x = np.column_stack([np.ones(len(rows)), scaler.batch(rows)])
+        return x.T @ x
+
+    sums = summed(df, products, (n, n))
+    matrix = sums[1:, 1:] / max(sums[0, 0], 1.0)
     return (matrix + matrix.T) / 2
 
 
@@ -77,7 +72,7 @@ def once_per_row(score: Callable[[Column], Column]) -> Column:
 class MixtureDetector(ScoreDetector):
     """Gaussian mixture; the score is the negative log-likelihood.
 
-    ``covariance='full'`` fits several ``components`` with MLlib. One component
+    ``covariance`` is 'full', 'tied', 'diag' or 'spherical', for any number of ``components``. One component
     has a closed form; with ``'diag'`` it also scores in built-in expressions.
     """
 
@@ -87,8 +82,8 @@ class MixtureDetector(ScoreDetector):
 
     def __init__(self, components: int = 5, covariance: str = "full", max_iter: int = 100, seed: int = 42) -> None:
         super().__init__()
-        if covariance not in ("full", "diag") or (covariance == "diag" and components != 1):
-            raise ValueError("covariance must be 'full', or 'diag' with one component")
+        if covariance not in KINDS or components < 1:
+            raise ValueError(f"covariance must be one of {KINDS}, components at least 1")
         self.components, self.covariance, self.max_iter, self.seed = components, covariance, max_iter, seed
         self.scaler: Scaler | None = None
         self.weights: list[float] = []
@@ -100,21 +95,22 @@ class MixtureDetector(ScoreDetector):
             complete_rows(normal_rows(df)).select(*SAMPLE_IDS, *FEATURES)
         )
         self.scaler = Scaler.of(normals)
-        if self.covariance == "full" and self.components == 1:
-            self.weights, self.centers = [1.0], [[0.0] * len(FEATURES)]
-            self.covariances = [covariance(normals, self.scaler).tolist()]
-        elif self.covariance == "full":
-            vectors = normals.select(array_to_vector(self.scaler.array()).alias("features"))
-            model = GaussianMixture(k=self.components, maxIter=self.max_iter, seed=self.seed).fit(vectors)
-            self.weights = [float(w) for w in model.weights]
-            self.centers = [g.mean.toArray().tolist() for g in model.gaussians]
-            self.covariances = [g.cov.toArray().tolist() for g in model.gaussians]
+        if not self._closed():
+            sample = sample_at_most(normals, START_ROWS, SAMPLE_IDS, self.seed).orderBy(*SAMPLE_IDS).select(*FEATURES).toPandas()
+            first = start(self.scaler.batch(sample), self.components, self.covariance, self.seed)
+            # With one component the first step is exact.
+            found = fit_mixture(normals, self.scaler.batch, first, self.covariance, self.RIDGE, 1 if self.components == 1 else self.max_iter)
+            self.weights, self.centers, self.covariances = (a.tolist() for a in found)
         self.set_thresholds(normals)
         return self
 
+    def _closed(self) -> bool:
+        """Whether standardizing alone tells all."""
+        return self.components == 1 and self.covariance == "diag"
+
     def score(self, df: DataFrame) -> DataFrame:
         rows = df.filter(complete(FEATURES))
-        return rows.withColumn("score", self._diagonal() if self.covariance == "diag" else self._mixture())
+        return rows.withColumn("score", self._diagonal() if self._closed() else self._mixture())
 
     def _diagonal(self) -> Column:
         """Standardized training rows have unit variance, to which the ridge is added."""
@@ -124,23 +120,11 @@ class MixtureDetector(ScoreDetector):
 
     def _mixture(self) -> Column:
         scaler, ridge = self.scaler, self.RIDGE
-        centers = np.array(self.centers)
-        # the ridge keeps covariances of collinear features positive definite
-        lower = [np.linalg.cholesky(np.array(c) + ridge * np.eye(len(FEATURES))) for c in self.covariances]
-        inverse = [np.linalg.inv(a) for a in lower]
-        constant = [
-            np.log(w) - np.log(np.diag(a)).sum() - 0.5 * len(FEATURES) * np.log(2 * np.pi)
-            for w, a in zip(np.maximum(self.weights, 1e-300), lower)
-        ]
+        mixture = Mixture(np.array(self.weights), np.array(self.centers), np.array(self.covariances))
 
         @F.pandas_udf("double")
         def negative_log_likelihood(rows: pd.DataFrame) -> pd.Series:
-            x = scaler.batch(rows)
-            parts = np.column_stack([
-                c - 0.5 * (((x - m) @ a.T) ** 2).sum(axis=1) for m, a, c in zip(centers, inverse, constant)
-            ])
-            top = parts.max(axis=1)
-            return pd.Series(-(top + np.log(np.exp(parts - top[:, None]).sum(axis=1))))
+            return pd.Series(-log_total(log_parts(scaler.batch(rows), mixture, ridge)))
 
         return once_per_row(negative_log_likelihood)
 
@@ -158,11 +142,11 @@ class MixtureDetector(ScoreDetector):
 
 
 class ReconstructionDetector(ScoreDetector):
-    """Distance from the main axes of normal rows: mean squared reconstruction error.
+    """Distance from curves through the normal rows: mean squared reconstruction error.
 
-    The axes are the eigenvectors of the 31 x 31 covariance that hold 95 % of
-    the variance. Signal and source keep the tags that reports of the replaced
-    network group by; the score is not that network's.
+    A row is encoded by its coordinates on the eigenvectors of the covariance that hold 95 % of the variance,
+    and decoded by additive cubic B-splines of them, fitted by least squares from one sum of normal
+    equations over all normal rows. With straight lines only that is the distance from the axes.
     """
 
     policy = "RECONSTRUCTION_ERROR"
@@ -170,12 +154,16 @@ class ReconstructionDetector(ScoreDetector):
     source = "kan_autoencoder"
     percentiles = (0.95, 0.99)
     VARIANCE_KEPT = 0.95
+    #: Shares of normal rows below the first and the last knot.
+    ENDS = (0.005, 0.995)
 
     def __init__(self, seed: int = 42) -> None:
         super().__init__()
         self.seed = seed
         self.scaler: Scaler | None = None
         self.axes: list[list[float]] = []
+        self.knots: list[list[float]] = []
+        self.curves: list[list[float]] = []
 
     def fit(self, df: DataFrame) -> ReconstructionDetector:
         normals = cut_lineage(
@@ -184,26 +172,41 @@ class ReconstructionDetector(ScoreDetector):
         self.scaler = Scaler.of(normals)
         variances, axes = np.linalg.eigh(covariance(normals, self.scaler))
         shares = np.cumsum(variances[::-1]) / max(variances.sum(), 1e-12)
-        kept = int(np.searchsorted(shares, self.VARIANCE_KEPT)) + 1
-        self.axes = axes[:, ::-1][:, : min(kept, len(FEATURES))].tolist()
+        kept = min(int(np.searchsorted(shares, self.VARIANCE_KEPT)) + 1, len(FEATURES))
+        axes = axes[:, ::-1][:, :kept]
+        self.axes = axes.tolist()
+        z = [sum((c * float(w) for c, w in zip(self.scaler.columns(), axis)), F.lit(0.0)) for axis in axes.T]
+        ends = normals.select(*[c.alias(f"z{i}") for i, c in enumerate(z)]).agg(
+            *[F.percentile_approx(f"z{i}", list(self.ENDS)) for i in range(kept)]).first()
+        knots = np.array([knots_of(*e) for e in ends])
+        scaler, n = self.scaler, 1 + kept + knots.shape[0] * (knots.shape[1] - DEGREE - 1)
+
+        def products(rows: pd.DataFrame) -> np.ndarray:
+            x = scaler.batch(rows)
+            phi = design(x @ axes, knots)
+            return phi.T @ np.hstack([phi, x])
+
+        sums = summed(normals, products, (n, n + len(FEATURES)))
+        self.knots, self.curves = knots.tolist(), curves(sums[:, :n], sums[:, n:], sums[0, 0]).tolist()
         self.set_thresholds(normals)
         return self
 
     def score(self, df: DataFrame) -> DataFrame:
-        scaler, axes = self.scaler, np.array(self.axes)
+        scaler, axes, knots, coefficients = self.scaler, np.array(self.axes), np.array(self.knots), np.array(self.curves)
 
         @F.pandas_udf("double")
         def squared_error(rows: pd.DataFrame) -> pd.Series:
             x = scaler.batch(rows)
-            return pd.Series(((x - x @ axes @ axes.T) ** 2).mean(axis=1))
+            return pd.Series(((x - design(x @ axes, knots) @ coefficients) ** 2).mean(axis=1))
 
         return df.filter(complete(FEATURES)).withColumn("score", once_per_row(squared_error))
 
     def parameters(self) -> dict[str, Any]:
-        return {"scaler": self.scaler.state(), "axes": self.axes}
+        return {"scaler": self.scaler.state(), "axes": self.axes, "knots": self.knots, "curves": self.curves}
 
     def restore(self, parameters: dict[str, Any]) -> None:
         self.scaler, self.axes = Scaler(**parameters["scaler"]), parameters["axes"]
+        self.knots, self.curves = parameters["knots"], parameters["curves"]
 
 
 def _path_length(n: np.ndarray) -> np.ndarray:

@@ -30,6 +30,7 @@ def rows(spark):
 
 DETECTORS = [
     (lambda: MixtureDetector(components=2, max_iter=20), 0.10), (lambda: MixtureDetector(components=1, covariance="diag"), 0.10),
+    *[(lambda kind=kind: MixtureDetector(components=2, covariance=kind, max_iter=5), 0.10) for kind in ("tied", "diag", "spherical")],
     (lambda: IsolationForestDetector(trees=30), 0.05), (ReconstructionDetector, 0.05),
 ]
 
