@@ -4,8 +4,9 @@ Every run of ``GRAM`` words of every document is hashed and joined with the same
 runs of the templates. A match votes for its diagonal, document place minus
 template place: words copied in order share one. Votes are counted per document,
 template and diagonal before the shuffle; neighbouring diagonals, which an
-inserted or lost word leads to, are merged; the merged span is verified by the share
-of the template's runs that stand in it.
+inserted or lost word leads to, are merged as long as all of them lie within the drift that edits of the
+template's length may make. So a span is no longer than the template and its drift, its words stand in the template's
+order, and it is verified by the share of the template's runs that stand in it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from airsleuth.llm.tables import table, whole_text
 GRAM = 3
 #: Diagonals so near are one span.
 NEAR = 4
+#: All diagonals of a span lie within this share of the template's words, or within NEAR.
+DRIFT = 0.15
 #: Share of a template's runs that a span must hold; all of them in templates of under ``SHORT`` runs.
 COVER = 0.7
 SHORT = 10
@@ -84,8 +87,7 @@ def scan_licenses(docs: DataFrame, phrases: list = PHRASES, notices: list = NOTI
                   near: int = NEAR, cover: float = COVER) -> DataFrame:
     """Licenses of every document.
 
-    One row per ``doc_id`` and text: rows that repeat both count as one document,
-    and a null id is an id of its own. A null or wordless text has no words and no
+    One row for every row, also for rows that repeat. A null or wordless text has no words and no
     labels. Phrases and notices need at least ``GRAM`` words.
     ``n_base``, ``first_word`` and ``last_word`` tell the places of the phrases,
     ``labels`` all found labels, ``score`` the best share of a template's runs in
@@ -116,29 +118,31 @@ def scan_licenses(docs: DataFrame, phrases: list = PHRASES, notices: list = NOTI
         "template", "label", "base", "grams", (F.col("place") - 1).alias("at"),
         (F.col("place") - 1 - F.col("at")).alias("diagonal"), F.col("at").alias("template_at"))
     diagonals = votes.groupBy("doc_id", "content", "template", "diagonal").agg(
-        F.max("n_words").alias("n_words"), F.max("label").alias("label"), F.max("base").alias("base"),
+        F.max("n_words").alias("n_words"), F.count("n_words").alias("rows"), F.max("label").alias("label"), F.max("base").alias("base"),
         F.max("grams").alias("grams"), F.min("at").alias("first"), F.max("at").alias("last"),
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("template_at"))).alias("seen"))
     found = diagonals.groupBy("doc_id", "content", "template").agg(
-        F.max("n_words").alias("n_words"), F.max("label").alias("label"), F.max("base").alias("base"),
+        F.max("n_words").alias("n_words"), F.sum("rows").alias("rows"), F.max("label").alias("label"), F.max("base").alias("base"),
         F.max("grams").alias("grams"),
         F.sort_array(F.collect_list(F.when(F.col("diagonal").isNotNull(), F.struct(
-            "diagonal", "first", "last", "seen")))).alias("diagonals"))
+            "diagonal", "first", "last", "seen", F.col("diagonal").alias("lowest"))))).alias("diagonals"))
     # Neighbouring diagonals become one span: its last diagonal, its words and the template runs seen in it.
-    span = "struct<diagonal:int,first:int,last:int,seen:bigint>"
+    span = "struct<diagonal:int,first:int,last:int,seen:bigint,lowest:int>"
+    drift = F.greatest(F.lit(near), F.ceil((F.col("grams") + GRAM - 1) * F.lit(DRIFT)).cast("int"))
     merged = F.aggregate("diagonals", F.array().cast(f"array<{span}>"), lambda done, d: F.when(
-        (F.size(done) > 0) & (d["diagonal"] - F.element_at(done, -1)["diagonal"] <= near),
+        (F.size(done) > 0) & (d["diagonal"] - F.element_at(done, -1)["diagonal"] <= near)
+        & (d["diagonal"] - F.element_at(done, -1)["lowest"] <= drift),
         F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
             d["diagonal"].alias("diagonal"), F.least(F.element_at(done, -1)["first"], d["first"]).alias("first"),
             F.greatest(F.element_at(done, -1)["last"], d["last"]).alias("last"),
-            F.element_at(done, -1)["seen"].bitwiseOR(d["seen"]).alias("seen"))))
+            F.element_at(done, -1)["seen"].bitwiseOR(d["seen"]).alias("seen"), F.element_at(done, -1)["lowest"].alias("lowest"))))
     ).otherwise(F.concat(done, F.array(d))))
     share = lambda s: F.bit_count(s["seen"]) / F.col("grams")
     # A phrase stands only where one diagonal has all its runs.
     spans = F.when(F.col("base"), F.filter("diagonals", lambda d: share(d) == 1.0)).otherwise(
         F.filter(merged, lambda s: share(s) >= F.when(F.col("grams") < SHORT, 1.0).otherwise(cover)))
     per_template = found.withColumn("spans", spans).select(
-        "doc_id", "content", "n_words", "label", "base",
+        "doc_id", "content", "n_words", "rows", "label", "base",
         F.size("spans").cast("long").alias("places"),
         F.array_min(F.transform("spans", lambda s: s["first"])).cast("long").alias("first"),
         F.array_max(F.transform("spans", lambda s: s["first"])).cast("long").alias("last"),
@@ -150,13 +154,14 @@ def scan_licenses(docs: DataFrame, phrases: list = PHRASES, notices: list = NOTI
     base = hit & F.col("base")
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     return per_template.groupBy("doc_id", "content").agg(
-        F.max("n_words").cast("long").alias("n_words"),
+        F.max("n_words").cast("long").alias("n_words"), F.sum("rows").cast("int").alias("rows"),
         F.coalesce(F.sum(F.when(base, F.col("places"))), F.lit(0)).cast("long").alias("n_base"),
         F.min(F.when(base, F.col("first"))).alias("first_word"), F.max(F.when(base, F.col("last"))).alias("last_word"),
         joined(F.when(base, F.col("label"))).alias("base_labels"), joined(F.when(hit, F.col("label"))).alias("labels"),
         F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
         F.flatten(F.collect_list("spans")).alias("spans"),
-    ).drop("content").withColumn("spans", F.sort_array(F.filter("spans", lambda s: s.isNotNull())))
+    ).drop("content").withColumn("spans", F.sort_array(F.filter("spans", lambda s: s.isNotNull()))).withColumn(
+        "rows", F.explode(F.sequence(F.lit(1), "rows"))).drop("rows")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

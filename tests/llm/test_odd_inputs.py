@@ -40,8 +40,9 @@ def test_decontamination(odd_documents, items):
 
 
 def test_licenses(odd_documents):
-    rows = {r.doc_id: r for r in scan_licenses(odd_documents).collect()}
-    assert len(rows) == 9 and rows[2].n_words == 0 and rows[7].n_words == 30000 and rows[1].n_base == 0
+    found = scan_licenses(odd_documents).collect()
+    rows = {r.doc_id: r for r in found}
+    assert len(found) == 10 and len(rows) == 9 and rows[2].n_words == 0 and rows[7].n_words == 30000 and rows[1].n_base == 0
     assert all(r.labels == "" and r.base_labels == "" and r.first_word is None and r.score == 0.0 for r in rows.values())
     assert scan_licenses(odd_documents.limit(0)).count() == 0
 
