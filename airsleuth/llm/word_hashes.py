@@ -29,7 +29,7 @@ def _powers(n: int, inverse: bool) -> np.ndarray:
         steps = np.full(max(n, CHUNK), _INVERSE if inverse else _BASE, "u8")
         steps[0] = 1
         have = np.cumprod(steps)
-        if n <= 4 * CHUNK:
+        if n <= CHUNK:
             _POWERS[inverse] = have
     return have[:n]
 

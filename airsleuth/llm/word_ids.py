@@ -15,7 +15,7 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space to Python only; the tokenizer takes these for marks.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Words kept by a worker in each of two generations, about 200 bytes each.
-KEEP = 400_000
+KEEP = 150_000
 
 END = END_ID.to_bytes(4, "little")
 _BY_FILE: dict[str, WordIds] = {}
