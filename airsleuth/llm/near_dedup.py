@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from airsleuth.llm.bitmap import mark_possible
 from airsleuth.llm.components import connected
 from airsleuth.llm.tables import Kept, table
-from airsleuth.llm.word_hashes import combine, hash_words, mix, shingles, text_chunks
+from airsleuth.llm.word_hashes import combine, give_back, hash_words, mix, shingles, text_chunks
 
 BINS = 120
 #: Bins of a bucket's key: 24 keys for each node. At a similarity of 0.8 all differ once in 14,000 pairs.
@@ -65,7 +65,7 @@ def sketches(docs: DataFrame, words: int, rows: int = ROWS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in text_chunks(batch.column(2)):
+            for row, data, offsets in text_chunks(batch.column(2), 0.5):
                 hashes, starts = hash_words(data, offsets)
                 sizes, nodes, keys = [], [], []
                 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
@@ -83,13 +83,14 @@ def sketches(docs: DataFrame, words: int, rows: int = ROWS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(i).slice(row, len(sizes)) for i in (0, 1)), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], schema=schema)
+        give_back()
 
     return docs.select("doc_id", "content", "text").mapInArrow(
         run, "doc_id long, content long, n_shingles long, node long, keys array<long>")
 
 
 def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
-    for _, data, offsets in text_chunks(texts):
+    for _, data, offsets in text_chunks(texts, 0.5):
         hashes, starts = hash_words(data, offsets)
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
             yield shingles(hashes[a:b], words)
@@ -115,6 +116,7 @@ def verify(slots: DataFrame, words: int, percent: int) -> DataFrame:
                     both = int((own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found).sum())
                     links[i] = 100 * both >= percent * (len(own) + len(found) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[links]), pa.array(b[links])], schema=schema)
+        give_back()
 
     return (slots.repartition("a", "block").sortWithinPartitions("a", "block", F.desc("is_head"))
             .select("a", "block", "b", "is_head", "text").mapInArrow(run, "a long, b long"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from airsleuth.llm.tables import Kept, table
-from airsleuth.llm.word_hashes import hash_words, text_chunks
+from airsleuth.llm.word_hashes import give_back, hash_words, text_chunks
 
 #: Most labelled rows that are fitted, and most pseudo-labels of a class that a view hands over in a round, in which
 #: the classes keep the proportion of the labels; both are taken in the order of a hash of the id.
@@ -52,7 +52,7 @@ CONTENT = 9 + 5
 def content_features(texts: pa.Array) -> np.ndarray:
     """A row per text: shares of kinds of bytes, word and line lengths, repetition, length."""
     parts = [np.zeros((0, CONTENT))]
-    for _, data, offsets in text_chunks(texts):
+    for _, data, offsets in text_chunks(texts, 0.5):
         n = np.diff(offsets)
         whole = np.maximum(n, 1)
         kinds = _CLASSES[data]
@@ -174,6 +174,7 @@ def features(docs: DataFrame) -> DataFrame:
         for batch in batches:
             x, m = _views(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(x), lists(m)], schema=schema)
+        give_back()
 
     new = _inputs(docs)
     content = F.xxhash64(F.coalesce(new["__text"], F.lit(""))).alias("__content")
@@ -306,6 +307,7 @@ def score_quality(docs: DataFrame, model: CoTrained | None, threshold: float = T
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(width)), *(pa.array(v) for v in (a, b, both, both >= threshold))],
                 names=schema.names)
+        give_back()
 
     return docs.withColumns(new).mapInArrow(run, schema)
 

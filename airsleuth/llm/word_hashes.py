@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,9 @@ import pyarrow as pa
 #: Bytes of text hashed at once; a longer text is hashed by itself.
 CHUNK = 2 << 20
 
+#: The C library's own call, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _DRAW = np.random.default_rng(20240501)
 _ODD = (_DRAW.integers(0, 1 << 63, 16, dtype="u8") << np.uint64(1)) | np.uint64(1)
 _LETTERS = _DRAW.integers(0, 1 << 63, 256, dtype="u8") * np.uint64(2) + _DRAW.integers(0, 2, 256, dtype="u8")
@@ -68,7 +72,14 @@ def combine(hashes: list[np.ndarray]) -> np.ndarray:
     return mix(out)
 
 
-def text_chunks(texts: pa.Array, times: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def give_back() -> None:
+    """Return what freed arrays and batches still hold to the system: workers stay for other stages beside a full JVM."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def text_chunks(texts: pa.Array, times: float = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Parts of a string column of about ``times * CHUNK`` bytes: first row, bytes, rows' offsets. Null is empty."""
     texts = texts.fill_null("")
     wide = texts.type == pa.large_string()
@@ -78,7 +89,7 @@ def text_chunks(texts: pa.Array, times: int = 1) -> Iterator[tuple[int, np.ndarr
     data = np.frombuffer(body, "u1") if body is not None else np.zeros(0, "u1")
     row = 0
     while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + times * CHUNK, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + int(times * CHUNK), "right")) - 1)
         yield row, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
         row = end
 
