@@ -1,13 +1,13 @@
 """Operator 7: document fingerprints from closed syncmers.
 
 A text is a row of words. Of every ``K`` words in a row, the run is an anchor if the
-smallest hash of its inner word pairs is that of the first or the last pair. Whether
-a run is an anchor depends on its own words only, so an edit elsewhere neither
-makes nor unmakes it. Words too long to be words give way to their overlapping pieces of
-a few characters, and texts of few words have the anchors of such pieces besides, so
-that what is inserted or lost at the start shifts no token. The fingerprint keeps the ``SIZE`` anchors of smallest hash with
-their places; two fingerprints are as alike as the share of their smallest
-anchors that both have, in places that agree with one another. DataFrame functions only.
+smallest hash of its words is that of the first or the last. Whether a run is an anchor
+depends on its own words only, so an edit elsewhere neither makes nor unmakes it. Words
+too long to be words give way to their overlapping pieces of a few characters. Behind its
+last word every text goes on with ``K`` - 1 ends, smaller than any word, so that the shortest
+text has anchors by the same rule as the longest. A fingerprint is all anchors with
+their places. Two are as alike as the share of all their anchors that both
+have, in places that agree with one another. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,21 +17,19 @@ from pyspark.sql import functions as F
 
 from airsleuth.llm.tables import shuffle_parts, table
 
-#: Words of a run; its inner parts are the pairs of neighbours. Two fifths of all runs are anchors.
-K = 6
-#: Anchors of a fingerprint.
-SIZE = 64
-PLACE_BITS = 24
-#: Matching anchors may be so many words off the offset that most of them share.
-SLACK = 4
+#: Words of a run; its inner parts are the words. Half of all runs are anchors.
+K = 4
+#: Anchors that are printed, those of smallest hash; all are matched.
+PRINTED = 64
+#: An anchor holds 39 bits of hash, then the place, then one bit that tells two texts apart when they are matched.
+HASH_SHIFT, PLACE_BITS = 24, 23
+#: Anchors agree if the offsets between their places in both texts lie in a window of so many words.
+SLACK = 8
 #: A word of more characters than this is a text without spaces: its pieces of ``PIECE`` characters, one from
 #: each character on, stand for it.
-LONG, PIECE = 20, 4
-#: Texts of fewer tokens than this also have anchors of the pieces of their characters. Two texts
-#: that both have those are compared by them, others by words.
-FEW = 4 * K
-#: The bit that marks an anchor of pieces.
-_PIECES = -(1 << 63)
+LONG, PIECE = 12, 4
+#: The hash of an end: no word's is smaller.
+_END = -(1 << 63)
 
 
 def pieces(text: Column) -> Column:
@@ -49,71 +47,69 @@ def tokens(words: str) -> Column:
         words, lambda w: F.when(long(w), pieces(w)).otherwise(F.array(w))))).otherwise(F.col(words))
 
 
-def _anchors(df: DataFrame, row: str, out: str) -> DataFrame:
-    """``df`` with the ``SIZE`` anchors of smallest hash of a row of tokens."""
-    n = F.size(row)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.xxhash64(F.get(row, i - 1), F.get(row, i)))
-    df = df.withColumn("__p", F.when(n >= K, pairs))
-    p = lambda i: F.get("__p", i)
-    top = (1 << PLACE_BITS) - 1
-    # A negative hash marks runs that are no anchors.
-    packed = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.when(
-        F.least(p(i), p(i + 4)) <= F.least(p(i + 1), p(i + 2), p(i + 3)),
-        F.shiftleft(F.shiftrightunsigned(F.xxhash64(p(i), p(i + 2), p(i + 4)), PLACE_BITS + 1), PLACE_BITS).bitwiseOR(
-            F.least(i, F.lit(top)).cast("long"))).otherwise(F.lit(-1).cast("long")))
-    whole = F.shiftleft(F.shiftrightunsigned(F.xxhash64(row), PLACE_BITS + 1), PLACE_BITS)
-    df = df.withColumn("__a", F.when(n >= K, F.sort_array(F.array_remove(packed, F.lit(-1).cast("long")))).when(
-        n > 0, F.array(whole)).otherwise(F.array().cast("array<bigint>")))
-    same = lambda x, i: F.shiftright(x, PLACE_BITS) == F.shiftright(F.get("__a", i - 1), PLACE_BITS)
-    first = F.filter("__a", lambda x, i: (i == 0) | ~same(x, i))
-    return df.withColumn(out, F.slice(first, 1, SIZE)).drop("__p", "__a")
-
-
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with the fingerprint of a text column: packed hashes and places, smallest first, those of pieces last.
+    """``df`` with the fingerprint of a text column: packed hashes and places of all anchors, smallest hash first.
 
-    Equal texts have equal fingerprints. A row of fewer than ``K`` tokens has all of
-    them as its only anchor, an empty or blank text has none.
+    Equal texts have equal fingerprints. Of runs that repeat in a text the first counts.
+    Any text with a word has an anchor; an empty or blank text has none. Places of
+    ``2 ** PLACE_BITS`` words and more count as one place.
     """
     df = df.withColumn("__w", F.array_remove(F.split(text, r"\s+", -1), ""))
     df = df.withColumn("__t", tokens("__w"))
-    few = (F.size("__t") > 0) & (F.size("__t") < FEW)
-    df = df.withColumn("__c", F.when(few, pieces(F.array_join("__w", " "))).otherwise(F.array().cast("array<string>")))
-    df = _anchors(_anchors(df, "__t", "__of_words"), "__c", "__of_pieces")
-    return df.withColumn(out, F.concat("__of_words", F.transform(
-        "__of_pieces", lambda x: x.bitwiseOR(F.lit(_PIECES))))).drop("__w", "__t", "__c", "__of_words", "__of_pieces")
+    ends = F.array_repeat(F.lit(_END), K - 1)
+    df = df.withColumn("__p", F.concat(F.transform("__t", lambda w: F.xxhash64(w)), ends))
+    p = lambda i: F.get("__p", i)
+    top = (1 << PLACE_BITS) - 1
+    # A negative number marks runs that are no anchors.
+    packed = F.transform(F.slice("__p", F.lit(1), F.size("__t")), lambda x, i: F.when(
+        F.least(x, p(i + 3)) <= F.least(p(i + 1), p(i + 2)),
+        F.shiftleft(F.shiftrightunsigned(F.xxhash64(x, p(i + 1), p(i + 2), p(i + 3)), HASH_SHIFT + 1), HASH_SHIFT).bitwiseOR(
+            F.shiftleft(F.least(i, F.lit(top)).cast("long"), 1))).otherwise(F.lit(-1).cast("long")))
+    df = df.withColumn("__a", F.sort_array(F.array_remove(packed, F.lit(-1).cast("long"))))
+    same = lambda x, i: F.shiftright(x, HASH_SHIFT) == F.shiftright(F.get("__a", i - 1), HASH_SHIFT)
+    return df.withColumn(out, F.filter("__a", lambda x, i: (i == 0) | ~same(x, i))).drop("__w", "__t", "__p", "__a")
 
 
 def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """``df`` with how alike two fingerprint columns are, 0 to 1; 1 for two without anchors.
 
-    Each step is a column of its own, so that no lambda computes it anew for each element.
+    Anchors of both are sorted together, so equal hashes are neighbours. The offsets between their
+    places are sorted too, and one pass finds the most that lie within ``SLACK`` words; their share of all different
+    anchors is the likeness. Work and memory grow with the texts' lengths, not their product. Each
+    step is a column of its own, so that no lambda computes it anew for each element.
     """
-    hashes = lambda c: F.transform(c, lambda x: F.shiftright(x, PLACE_BITS))
-    top = F.lit((1 << PLACE_BITS) - 1)
-    few = lambda c: F.exists(c, lambda x: x < 0)
-    df = df.withColumn("__few", few(a) & few(b))
-    df = df.withColumns({x: F.filter(hashes(c), lambda h: (h < 0) == F.col("__few")) for x, c in (("__x", a), ("__y", b))})
-    df = df.withColumn("__u", F.slice(F.sort_array(F.array_union("__x", "__y")), 1, SIZE))
-    df = df.withColumn("__both", F.array_intersect(F.array_intersect("__x", "__y"), "__u"))
-    place = lambda c: F.transform(
-        F.filter(c, lambda x: F.array_contains("__both", F.shiftright(x, PLACE_BITS))), lambda x: x.bitwiseAND(top))
-    # Offsets of the anchors that both have, and how many of them agree with the most popular.
-    df = df.withColumn("__o", F.zip_with(place(a), place(b), lambda x, y: x - y))
-    most = F.array_max(F.transform("__o", lambda o: F.size(F.filter("__o", lambda q: F.abs(q - o) <= SLACK))))
-    return df.withColumn(out, F.when(F.size("__u") == 0, 1.0).otherwise(
-        F.coalesce(most, F.lit(0)) / F.size("__u"))).drop("__few", "__x", "__y", "__u", "__both", "__o")
+    df = df.withColumn("__m", F.sort_array(F.concat(a, F.transform(b, lambda x: x.bitwiseOR(F.lit(1).cast("long"))))))
+    none = F.lit(-(1 << 62))
+    place = lambda x: F.shiftright(x.bitwiseAND(F.lit((1 << HASH_SHIFT) - 1)), 1)
+
+    def offset(x: Column, i: Column) -> Column:
+        y = F.get("__m", i + 1)
+        ahead = place(y) - place(x)
+        return F.when(F.shiftright(x, HASH_SHIFT) == F.shiftright(y, HASH_SHIFT), F.when(
+            x.bitwiseAND(F.lit(1)) == 0, ahead).otherwise(-ahead)).otherwise(none)
+
+    df = df.withColumn("__o", F.sort_array(F.array_remove(F.transform("__m", offset), none)))
+    # The state is (offsets seen, size of the biggest window so far): a window grows by an offset or moves on by it.
+    one, low = 1 << 32, (1 << 32) - 1
+    most = F.aggregate("__o", F.lit(0).cast("long"), lambda s, o: s + F.lit(one) + F.when(
+        o - F.get("__o", (F.shiftright(s, 32) - s.bitwiseAND(F.lit(low))).cast("int")) <= SLACK, 1).otherwise(0),
+        lambda s: s.bitwiseAND(F.lit(low)))
+    union = F.size("__m") - F.size("__o")
+    return df.withColumn(out, F.when(union == 0, 1.0).otherwise(most / union)).drop("__m", "__o")
 
 
 def as_text(anchors: str) -> Column:
-    return F.array_join(F.transform(anchors, lambda x: F.lower(F.hex(x))), "-")
+    """The anchors of smallest hash, then a hash of all, which keeps texts that differ elsewhere apart."""
+    few = F.concat(F.slice(anchors, 1, PRINTED), F.array(F.xxhash64(anchors)))
+    return F.when(F.size(anchors) > 0, F.array_join(F.transform(few, lambda x: F.lower(F.hex(x))), "-")).otherwise("")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], then=lambda df: df, more: list[str] = []) -> DataFrame:
     """``docs`` with ``next_<column>`` from the row that follows in descending ``doc_id``; the first follows the last.
 
     Rows go by ranges of ids, in one shuffle; each range is joined by a copy of
     the following range's first row. Null ids come last, equal ids go by ``columns``, descending.
+    ``then`` adds columns ``more`` behind that shuffle, which have a next one, too.
     """
     parts = shuffle_parts(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / parts) for i in range(1, parts))), 10_000).alias(
@@ -121,31 +117,34 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     bounds = F.array(*(F.lit(c) for c in sorted(set(cuts or [])))).cast("array<bigint>")
     part = F.size(F.filter(bounds, lambda b: F.coalesce(F.col("doc_id") <= b, F.lit(True))))
     own = docs.withColumns({"__part": part, "__guest": F.lit(False)})
-    # At most a row for each range: the ranges' number is that of the shuffle's partitions.
-    heads = own.groupBy("__part").agg(F.max(F.struct("doc_id", *columns)).alias("__head"))
+    # At most a row for each range: the ranges' number is that of the shuffle's partitions. Ids first, then
+    # only the texts of those ids.
+    tops = own.groupBy(F.col("__part").alias("__in")).agg(F.max("doc_id").alias("__top"))
+    heads = own.join(F.broadcast(tops), (F.col("__part") == F.col("__in")) & F.col("doc_id").eqNullSafe(F.col("__top"))).groupBy(
+        "__part").agg(F.max(F.struct("doc_id", *columns)).alias("__head"))
     order = Window.orderBy("__part")
-    names = heads.select("__part").withColumns({
+    names = tops.select(F.col("__in").alias("__part")).withColumns({
         "__to": F.lag("__part").over(order),
         "__last": F.max("__part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     guests = heads.join(names, "__part").select(
         F.col("__head.doc_id").alias("doc_id"), *(F.col(f"__head.{c}").alias(c) for c in columns),
         F.coalesce("__to", "__last").alias("__part"), F.lit(True).alias("__guest"))
-    both = own.unionByName(guests, allowMissingColumns=True)
+    both = then(own.unionByName(guests, allowMissingColumns=True).repartition("__part"))
     following = Window.partitionBy("__part").orderBy(
         "__guest", F.desc_nulls_last("doc_id"), *(F.desc(c) for c in columns))
-    return both.withColumns({f"next_{c}": F.lead(c).over(following) for c in columns}).filter("not __guest").drop(
+    return both.withColumns({f"next_{c}": F.lead(c).over(following) for c in [*columns, *more]}).filter("not __guest").drop(
         "__part", "__guest")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and how alike they are.
+    """All anchors of every text and of its edited text, and how alike they are.
 
     The edited text has its last third replaced by the beginning of the next document's.
     Null texts count as empty. Rows that repeat are documents of their own. The only
     document is its own next one. Columns other than ``doc_id`` and ``text`` are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_anchors(texts, "text", "anchors"), ["text", "anchors"])
+    rows = with_next(texts, ["text"], lambda df: with_anchors(df, "text", "anchors"), ["anchors"])
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(
@@ -154,10 +153,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         "doc_id", n.cast("long").alias("n_chars"), "edited", "anchors", "next_anchors"), "edited", "edited_anchors")
     rows = with_likeness(rows, "anchors", "edited_anchors", "near_edited")
     rows = with_likeness(rows, "anchors", "next_anchors", "near_next")
-    return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text("anchors").alias("fingerprint"),
-        as_text("edited_anchors").alias("edited_fingerprint"), "near_edited", "near_next")
+    return rows.select("doc_id", "n_chars", "edited", "anchors", "edited_anchors", "near_edited", "near_next")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    return fingerprint_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text("anchors").alias("fingerprint"),
+        as_text("edited_anchors").alias("edited_fingerprint"), "near_edited", "near_next")
