@@ -22,9 +22,8 @@ from airsleuth.functions.quantiles import exact_quantiles
 from airsleuth.operators.evaluation import label_detections, round4, scenario_report
 from airsleuth.operators.fusion import stack
 from airsleuth.operators.splits import complete_rows, normal_rows
-from airsleuth.plans.detection import (
-    Split, detect, fault_scenarios, hold_out_summary, split_rows, train_classifier, train_unsupervised,
-)
+from airsleuth.plans.detection import Split, detect, fault_scenarios, split_rows, train_classifier, train_unsupervised
+from airsleuth.plans.hold_out import hold_out_gaussian_summary, hold_out_summary
 from airsleuth.schema import FAULT_TYPES, FEATURES, NORMAL, SCENARIO, SEQ
 from airsleuth.session import cut_lineage, scratch_path
 
@@ -339,7 +338,8 @@ counts AS (SELECT scenario_file, fault_type, count(*) AS n, count(*) FILTER (det
 reference AS (SELECT n AS normal_n, hits AS fp FROM counts WHERE fault_type = 'normal')""", """
 SELECT scenario_file AS scenario, 'rules_gmm' AS model, n + normal_n AS n_evaluated,
   round(CASE WHEN hits + fp > 0 THEN hits / (hits + fp) ELSE 0 END, 4) AS detection_precision, round(hits / n, 4) AS detection_recall,
-  round(CASE WHEN n + hits + fp > 0 THEN 2 * hits / (n + hits + fp) ELSE 0 END, 4) AS detection_f1, round(fp / normal_n, 4) AS normal_reference_fpr
+  round(CASE WHEN n + hits + fp > 0 THEN 2 * hits / (n + hits + fp) ELSE 0 END, 4) AS detection_f1, round(fp / normal_n, 4) AS normal_reference_fpr,
+  NULL::DOUBLE AS classification_accuracy, NULL::DOUBLE AS classification_macro_f1
 FROM counts, reference WHERE fault_type <> 'normal'""")
 
 
@@ -347,12 +347,47 @@ FROM counts, reference WHERE fault_type <> 'normal'""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detectors learn from normal rows only, so in SQL the runs differ by their evaluation rows alone."""
     rows = kept_features(spark, sf_dir)
+    return hold_out_gaussian_summary(rows, fault_scenarios(rows))
+
+
+_HELD_OUT_CLASSES = with_sql(
+    LONG + ", " + COMMON + FEATURE_ROWS.removeprefix(LONG) + JUDGED.removeprefix(LONG).replace("FROM long", f"FROM features WHERE {_WHOLE}") + f""",
+timed AS (SELECT f.*, s.split FROM features f JOIN split_rows s USING (scenario_file, zone_id, row_seq) WHERE s.split = 'final'),
+hits AS (SELECT scenario_file, event_time, zone_id, min(predicted_fault) AS predicted FROM judged WHERE {_FAULTY.format('0.5')} GROUP BY ALL),
+flags AS (
+  SELECT t.scenario_file, t.fault_type, h.predicted IS NOT NULL AS detected, coalesce(h.predicted, 'normal') AS predicted
+  FROM timed t LEFT JOIN hits h USING (scenario_file, event_time, zone_id)),
+held AS (SELECT DISTINCT scenario_file AS scenario FROM flags WHERE fault_type <> 'normal'),
+judgements AS (SELECT h.scenario, f.* FROM held h JOIN flags f ON f.scenario_file = h.scenario OR f.fault_type = 'normal'),
+named AS (SELECT scenario, fault_type AS label FROM judgements UNION SELECT scenario, predicted FROM judgements),
+f1s AS (
+  SELECT scenario, label, 2 * count(*) FILTER (fault_type = label AND predicted = label)
+    / (count(*) FILTER (fault_type = label) + count(*) FILTER (predicted = label)) AS f1
+  FROM named JOIN judgements USING (scenario) GROUP BY ALL),
+macro AS (SELECT scenario, round(avg(f1), 4) AS classification_macro_f1 FROM f1s GROUP BY ALL),
+sums AS (
+  SELECT scenario, count(*) AS n, count(*) FILTER (fault_type <> 'normal' AND detected) AS tp, count(*) FILTER (fault_type = 'normal' AND detected) AS fp,
+    count(*) FILTER (fault_type <> 'normal' AND NOT detected) AS fn, count(*) FILTER (fault_type = 'normal') AS normal_n,
+    count(*) FILTER (fault_type = predicted) AS correct
+  FROM judgements GROUP BY ALL)""", """
+SELECT scenario, 'given' AS model, n AS n_evaluated, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 4) AS detection_precision,
+  round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 4) AS detection_recall,
+  round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 4) AS detection_f1,
+  round(fp / normal_n, 4) AS normal_reference_fpr, round(correct / n, 4) AS classification_accuracy, classification_macro_f1
+FROM sums JOIN macro USING (scenario)""")
+
+
+@query("a16_hold_out_classified", _HELD_OUT_CLASSES)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A classifier alone: every scenario is held out, judged and counted with the normal reference."""
+    rows = kept_features(spark, sf_dir)
 
     def train_and_detect(split: Split) -> DataFrame:
-        gaussian = train_unsupervised(split, MixtureDetector(components=1, covariance="diag"))
-        return detect(split.evaluation, [RuleDetector(), gaussian])
+        classifier = FaultClassifier()
+        classifier.backend, classifier.fitted = _Given(), True
+        return detect(split.evaluation, [], classifier)
 
-    return hold_out_summary(rows, fault_scenarios(rows), train_and_detect, "rules_gmm")
+    return hold_out_summary(rows, fault_scenarios(rows), train_and_detect, "given", used_classifier=True)
 
 
 def every_kind() -> list[Detector]:

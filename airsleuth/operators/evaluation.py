@@ -102,8 +102,8 @@ def confusion_counts(df: DataFrame, truth: str, prediction: str) -> DataFrame:
     )
 
 
-def _label_sums(counts: DataFrame) -> DataFrame:
-    """Per label: rows with it as truth, rows with it as prediction, rows with both.
+def _label_sums(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per label, within ``by``: rows with it as truth, rows with it as prediction, rows with both.
 
     Rows that lack a label on either side are summed under a null label.
     """
@@ -118,7 +118,7 @@ def _label_sums(counts: DataFrame) -> DataFrame:
     sides = F.when(valid, F.array(side(F.col("truth"), n, none, hit), side(F.col("prediction"), none, n, none)))
     sides = sides.otherwise(F.array(side(F.lit(None).cast("string"), n, none, none)))
     return (
-        counts.select(F.inline(sides)).groupBy("label")
+        counts.select(*by, F.inline(sides)).groupBy(*by, "label")
         .agg(*[F.sum(c).alias(c) for c in ("true_n", "pred_n", "tp")])
     )
 
@@ -138,19 +138,19 @@ def class_report(counts: DataFrame) -> DataFrame:
     )
 
 
-def class_summary(counts: DataFrame) -> DataFrame:
-    """Accuracy, macro F1 over all labels, and rows evaluated and skipped."""
+def class_summary(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Accuracy, macro F1 over all labels, and rows evaluated and skipped; a row for each group of ``by``."""
     labelled = F.col("label").isNotNull()
 
     def total(column: str, where: Column) -> Column:
         return F.coalesce(F.sum(F.when(where, F.col(column))), F.lit(0))
 
-    totals = _label_sums(counts).agg(
+    totals = _label_sums(counts, by).groupBy(*by).agg(
         total("true_n", labelled).alias("n_evaluated"), total("true_n", ~labelled).alias("n_skipped"),
         total("tp", labelled).alias("_right"), F.avg(F.when(labelled, _f1())).alias("_macro"),
     )
     return _require_labelled(totals).select(
-        "n_evaluated", "n_skipped",
+        *by, "n_evaluated", "n_skipped",
         round4(ratio(F.col("_right"), F.col("n_evaluated"))).alias("accuracy"),
         round4(F.col("_macro")).alias("macro_f1"),
     )

@@ -98,10 +98,12 @@ def only_scenario(df: DataFrame, held_out: str | None, with_normal_reference: bo
     if held_out is None:
         return df
     keep = F.col(SCENARIO) == held_out
-    if with_normal_reference:
-        stem = F.regexp_replace(F.lower(SCENARIO), r"\.[^.]*$", "")
-        keep = keep | (stem == NORMAL_REFERENCE)
-    return df.filter(keep)
+    return df.filter(keep | is_normal_reference() if with_normal_reference else keep)
+
+
+def is_normal_reference() -> Column:
+    """Whether a row is of the scenario without faults that hold-outs are compared with."""
+    return F.regexp_replace(F.lower(SCENARIO), r"\.[^.]*$", "") == NORMAL_REFERENCE
 
 
 def sample_rows(df: DataFrame, wanted: Callable[[Column], Column], ids: Sequence[str],

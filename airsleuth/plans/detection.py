@@ -137,26 +137,6 @@ def store(events: DataFrame, path: str, equipment: str = EQUIPMENT, run: str | N
     return insert_events(valid, path, run=run), rejected
 
 
-def hold_out_summary(features: DataFrame, scenarios: Sequence[str], train_and_detect,
-                     model: str, protocol: str = "common") -> DataFrame:
-    """One row per held-out scenario: its detection report and the normal reference's false-positive rate.
-
-    ``train_and_detect(split)`` trains on the split and returns the events of its
-    evaluation rows. Each scenario is a run of its own, started one after the other.
-    """
-    rows, parted = [], cut_lineage(temporal_split(features, protocol))
-    for scenario in scenarios:
-        split = split_rows(parted, protocol, "final", scenario, with_normal_reference=True)
-        labelled = cut_lineage(label_detections(split.evaluation, train_and_detect(split)))
-        rate = scenario_report(labelled).filter(F.col("kind") == "normal_fpr").agg(F.max("rate")).first()[0]
-        rows.append(detection_report(labelled).select(
-            F.lit(scenario).alias("scenario"), F.lit(model).alias("model"), "n_evaluated",
-            F.col("precision").alias("detection_precision"), F.col("recall").alias("detection_recall"),
-            F.col("f1").alias("detection_f1"), F.lit(rate).cast("double").alias("normal_reference_fpr"),
-        ))
-    return stack(rows)
-
-
 def fault_scenarios(features: DataFrame) -> list[str]:
     """Scenario files with faults, sorted; there are as many as input files."""
     found = features.filter(F.col("fault_type") != NORMAL).select(SCENARIO).distinct().collect()

@@ -15,7 +15,8 @@ from airsleuth.detectors.scores import IsolationForestDetector, MixtureDetector,
 from airsleuth.errors import DetectorNotFittedError
 from airsleuth.operators.evaluation import class_summary, confusion_counts
 from airsleuth.operators.splits import normal_rows
-from airsleuth.plans.detection import detect, evaluate, fault_scenarios, hold_out_summary, split_rows, store, train_classifier
+from airsleuth.plans.detection import detect, evaluate, fault_scenarios, split_rows, store, train_classifier
+from airsleuth.plans.hold_out import hold_out_gaussian_summary, hold_out_summary, held_out_gaussians
 from airsleuth.schema import CLASSIFIED_COLUMNS, FAULT_TYPES, FEATURES, HIT_COLUMNS, NORMAL
 from airsleuth.session import cut_lineage
 from tests.frames import separable_frame
@@ -238,3 +239,47 @@ def test_hold_out_summary(spark, features):
     assert all(name not in used and len(used) == 9 for name, used in zip(names, seen))
     with pytest.raises(ValueError):
         split_rows(features, window="train")
+
+
+def test_held_out_gaussians_equal_refits(spark, rows):
+    """Also where the held-out scenario has normal rows, and where a feature varies only there."""
+    lag = FEATURES[0]
+    several = rows.withColumn("scenario_file", F.when(F.col("fault_type") != NORMAL, F.col("scenario_file")).otherwise(
+        F.concat(F.lit("normal_"), (F.unix_micros("event_time") / 60_000_000 % 3).cast("int").cast("string"))))
+    several = cut_lineage(several.withColumn(lag, F.when(F.col("scenario_file") == "normal_1", F.col(lag) * 7 + 3).when(
+        F.col("fault_type") == NORMAL, F.lit(4.0)).otherwise(F.col(lag))))
+    fault = fault_scenarios(several)[0]
+    names = ["normal_0", "normal_1", fault]
+    found = held_out_gaussians(several, names)
+    assert found.keys() == set(names)
+    for name in names:
+        again = MixtureDetector(components=1, covariance="diag").fit(several.filter(F.col("scenario_file") != name))
+        assert found[name].scaler.means == pytest.approx(again.scaler.means, rel=1e-9, abs=1e-9)
+        assert found[name].scaler.stds == pytest.approx(again.scaler.stds, rel=1e-7)
+        assert (found[name].warning, found[name].critical) == pytest.approx((again.warning, again.critical), rel=1e-7)
+
+
+def test_hold_outs_without_refits_equal_refits(spark, features):
+    names = fault_scenarios(features)[:3]
+
+    def anew(split):
+        return detect(split.evaluation, [RuleDetector(), MixtureDetector(components=1, covariance="diag").fit(split.train)])
+
+    one, each = (d.toPandas().sort_values("scenario").reset_index(drop=True) for d in (
+        hold_out_gaussian_summary(features, names), hold_out_summary(features, names, anew, "rules_gmm")))
+    pd.testing.assert_frame_equal(one, each)
+    assert one["classification_accuracy"].isna().all() and one["normal_reference_fpr"].notna().all()
+
+
+def test_hold_outs_with_a_classifier(spark, features):
+    names = fault_scenarios(features)[:1]
+
+    def forest(split):
+        return detect(split.evaluation, [], train_classifier(split, FaultClassifier("random_forest", numTrees=5, maxDepth=4)))
+
+    summary = hold_out_summary(features, names, forest, "forest", used_classifier=True).first()
+    split = split_rows(features, "common", "final", names[0], with_normal_reference=True)
+    reports = evaluate(split.evaluation, forest(split), used_classifier=True)
+    overall, classes = reports.overall.first(), reports.summary.first()
+    assert (summary.n_evaluated, summary.detection_f1) == (overall.n_evaluated, overall.f1)
+    assert (summary.classification_accuracy, summary.classification_macro_f1) == (classes.accuracy, classes.macro_f1)
