@@ -4,7 +4,7 @@ import importlib
 
 from airsleuth.catalog.base import ORACLES, QUERIES
 
-for _part in ("ingest", "events", "learned", "streams", "guards"):
+for _part in ("ingest", "events", "learned", "contracts", "streams", "guards"):
     importlib.import_module(f"{__name__}.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -319,7 +319,10 @@ class SequenceBackend(Backend):
         """Rows before the first whole window take its prediction; a shorter series
         takes that of its one padded window."""
         scored = self.model.transform(self._with_vector(self._windows(rows)))
-        scored = computed_once(scored, {"_p": vector_to_array("probability")}).drop(VECTOR, "rawPrediction", "prediction", *response_names())
+        # Classes none of whose series has a whole window are unknown to the head beyond the last one it saw.
+        known = F.concat(vector_to_array("probability"), F.array_repeat(F.lit(0.0), len(self.classes)))
+        scored = computed_once(scored, {"_p": F.slice(known, 1, len(self.classes))}).drop(
+            VECTOR, "rawPrediction", "prediction", *response_names())
         whole = scored.withColumn("probability", F.when(F.col("_seen") >= SEQUENCE_ROWS, F.col("_p")))
         return pad_head(whole, "probability", last="_p").drop("_seen", "_p")
 
