@@ -208,9 +208,10 @@ class CascadeBackend(TreesBackend):
         p = {name: F.col("_p")[i] for i, name in enumerate(self.trees.names)}
         nothing = F.lit(None).cast("double")
         family = share_out([p[f] for f in self.FAMILIES]) if self.FAMILIES[0] in p else F.lit(None).cast("array<double>")
-        scored = rows.withColumn("_p", self.trees.column())
+        # Families are a step of their own: written out wherever a class needs them, the code would not compile.
+        scored = computed_once(rows.withColumn("_p", self.trees.column()), {"_family": family})
         return computed_once(scored, {"probability": cascade_probabilities(
-            p["fault"], family, p.get("bias", nothing), p.get("stuck", nothing), self.classes)}).drop("_p")
+            p["fault"], F.col("_family"), p.get("bias", nothing), p.get("stuck", nothing), self.classes)}).drop("_p", "_family")
 
 
 class NeuralBackend(Backend):
