@@ -49,7 +49,7 @@ def lag_one(column: str, order: Order = Order()) -> Column:
 
 
 def add_windows(df: DataFrame, columns: dict[str, tuple[str, str, int]], order: Order = Order(),
-                max_rows: int = MAX_ROWS) -> DataFrame:
+                max_rows: int | None = MAX_ROWS) -> DataFrame:
     """A few window columns with built-in frames.
 
     ``columns`` maps an output name to (kind, column, rows), kind being mean,
@@ -79,7 +79,7 @@ def _roll(values: pd.DataFrame, group: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def add_features(df: DataFrame, order: Order = Order(), max_rows: int = MAX_ROWS) -> DataFrame:
+def add_features(df: DataFrame, order: Order = Order(), max_rows: int | None = MAX_ROWS) -> DataFrame:
     """All 54 engineered columns behind the input's own columns.
 
     44 bounded frames as built-in windows evaluate each frame afresh for each
@@ -92,13 +92,13 @@ def add_features(df: DataFrame, order: Order = Order(), max_rows: int = MAX_ROWS
     )
 
 
-def build_features(long: DataFrame, order: Order = Order(), max_rows: int = MAX_ROWS) -> DataFrame:
+def build_features(long: DataFrame, order: Order = Order(), max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Features of normalized rows, one series per (scenario, zone)."""
     require_columns(long, [*INPUTS, TIME, ZONE], FeatureEngineeringError)
     return add_features(long, order, max_rows)
 
 
-def build_features_from_wide(wide: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def build_features_from_wide(wide: DataFrame, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Features of raw wide rows: one series per scenario, then copied to its zones."""
     rows = normalize_wide(wide)
     return copy_to_zones(add_features(rows, Order(keys=(SCENARIO,)), max_rows))

@@ -86,8 +86,10 @@ def _crowded(sliced: DataFrame, order: Order, max_rows: int) -> DataFrame:
     )
 
 
-def _slice(df: DataFrame, order: Order, max_rows: int) -> tuple[DataFrame, DataFrame | None]:
+def _slice(df: DataFrame, order: Order, max_rows: int | None) -> tuple[DataFrame, DataFrame | None]:
     """Rows with ``_slice``, and the keys that were cut (None if no key was)."""
+    if max_rows is None:
+        return df.withColumn(SLICE, F.lit(0).cast("long")), None
     keys = list(order.keys)
     instant = F.unix_micros(order.time)
     big = cut_lineage(
@@ -116,14 +118,15 @@ def _slice(df: DataFrame, order: Order, max_rows: int) -> tuple[DataFrame, DataF
         )
 
 
-def slice_series(df: DataFrame, order: Order = Order(), max_rows: int = MAX_ROWS) -> DataFrame:
+def slice_series(df: DataFrame, order: Order = Order(), max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Add ``_slice``, ascending with the order of rows within a key.
 
     A key of up to ``max_rows`` rows is one slice. A bigger one is cut by time,
     and slices that are still too big because their rows crowd together are cut
     again until none is. Big keys and crowded slices are looked for right away,
     reading keys and order columns only. Their tables have at most (all rows /
-    max_rows) rows, so they are broadcast.
+    max_rows) rows, so they are broadcast. Nothing is looked for or cut where
+    ``max_rows`` is None, for sources known to have no big key.
     """
     return _slice(df, order, max_rows)[0]
 
@@ -140,7 +143,7 @@ def slice_sizes(sliced: DataFrame, order: Order = Order()) -> DataFrame:
     )
 
 
-def with_position(df: DataFrame, order: Order = Order(), max_rows: int = MAX_ROWS) -> DataFrame:
+def with_position(df: DataFrame, order: Order = Order(), max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Add ``position`` (1-based place in the key's order) and ``series_rows``."""
     sliced = slice_series(df, order, max_rows)
     sizes = slice_sizes(sliced, order)
@@ -155,7 +158,7 @@ def with_position(df: DataFrame, order: Order = Order(), max_rows: int = MAX_ROW
 
 
 def with_run_up(df: DataFrame, rows_back: int, order: Order = Order(),
-                max_rows: int = MAX_ROWS) -> DataFrame:
+                max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Sliced rows, plus for each slice copies of the ``rows_back`` rows before it.
 
     Copies have ``_copy`` true. Only keys cut into more than one slice get any.
@@ -198,7 +201,7 @@ Kernel = Callable[[pd.DataFrame, np.ndarray], dict[str, np.ndarray]]
 
 
 def stream_series(df: DataFrame, kernel: Kernel, inputs: Sequence[str], outputs: Sequence[str],
-                  rows_back: int, order: Order = Order(), max_rows: int = MAX_ROWS) -> DataFrame:
+                  rows_back: int, order: Order = Order(), max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Add double columns computed from a row and up to ``rows_back`` rows before it.
 
     Spark partitions and sorts the rows once; ``kernel`` then gets them in

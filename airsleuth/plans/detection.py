@@ -15,14 +15,14 @@ from airsleuth.operators.evaluation import (
     alert_bursts, class_report, class_summary, confusion_counts, detection_report, fault_recall,
     label_detections, scenario_report,
 )
-from airsleuth.operators.features import build_features_from_wide
 from airsleuth.operators.fusion import annotate, flagged_rows, fuse, lenient_labels, stack
 from airsleuth.operators.splits import (
     contiguous_tail, normal_rows, only_scenario, sample_per_scenario, temporal_split, without_scenario,
 )
 from airsleuth.schema import HIT_COLUMNS, NORMAL, ROW_KEYS, SCENARIO, SEQ
 from airsleuth.session import cut_lineage
-from airsleuth.sources.csv import scan_files
+from airsleuth.sources.cache import features_of_files
+from airsleuth.sources.csv import find_files
 from airsleuth.sources.store import JobLog, counted, insert_events, write_report
 
 
@@ -153,7 +153,7 @@ def run_job(spark: SparkSession, log: JobLog, folder: str, scenario: str = "all"
     job = log.create(scenario)
     log.update(job, "running")
     try:
-        built, seen = counted(build_features_from_wide(scan_files(spark, folder, scenario)))
+        built, seen = counted(features_of_files(spark, find_files(spark, folder, scenario)))
         found = 0
         if detectors:
             rows = cut_lineage(built)

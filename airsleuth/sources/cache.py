@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 
 from airsleuth.errors import DataLoadError, SchemaValidationError
 from airsleuth.operators.features import build_features_from_wide
+from airsleuth.operators.ordered import MAX_ROWS
 from airsleuth.operators.reshape import narrow_floats
 from airsleuth.schema import CACHE_COLUMNS, SCENARIO, require_columns
-from airsleuth.sources.csv import list_files, read_files, scenario_name
+from airsleuth.sources.csv import list_files, longest_scenario, read_files, scenario_name
 
 COMBINED = "lbnl_features.parquet"
 FILE_PREFIX = "lbnl_features_"
 ROWS_PER_FILE = 5_000_000
 
 
+def features_of_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Features of scenario files. The listing tells whether a scenario may be big; if none is, files are parsed once."""
+    big = longest_scenario(spark, paths) > MAX_ROWS
+    return build_features_from_wide(read_files(spark, paths), MAX_ROWS if big else None)
+
+
 def cached_scenarios(spark: SparkSession, path: str) -> list[str]:
     """Scenarios that are in the cache already, from its partition folders alone."""
     return [unquote(p.rstrip("/").rsplit(f"{SCENARIO}=", 1)[1])
@@ -39,8 +46,7 @@ def build_cache(spark: SparkSession, folder: str, path: str, as_floats: bool = T
     have = set(cached_scenarios(spark, path))
     files = [p for p in list_files(spark, folder) if scenario_name(p) not in have]
     if files:
-        rows = build_features_from_wide(read_files(spark, files))
-        write_cache(rows, path, as_floats=as_floats)
+        write_cache(features_of_files(spark, files), path, as_floats=as_floats)
     return len(files)
 
 

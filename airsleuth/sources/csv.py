@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote, unquote_plus
@@ -50,8 +49,8 @@ HEADERS_AT_ONCE = 32
 #: A part of a scenario has places below 2 ** 44: its bytes times 32, up to 500 GB.
 _PART_BITS = 44
 _PARTITION = f"{SCENARIO}="
-# the entry of the folder a file belongs to: the file itself, or the folder of its parts
-_ENTRY = rf"(?:^|/)(?:{_PARTITION})?([^/]+\.csv)(?:/[^/]*)?$"
+#: Numbers of part files up to which they are broadcast, some hundred bytes each; more are joined by a shuffle.
+BROADCAST_PARTS = 200_000
 
 
 def _name(path: str) -> str:
@@ -75,17 +74,24 @@ def _parts(spark: SparkSession, path: str) -> list[str]:
     return [p for p in list_files(spark, path) if not p.rsplit("/", 1)[-1].startswith(("_", "."))]
 
 
-def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
-    """Column names of a file; reads one line only."""
+def _line(spark: SparkSession, file: str, number: int) -> str:
+    """A line near the start of a file; empty if the file has fewer."""
     hadoop, fs = _file_system(spark, file)
     io = spark.sparkContext._jvm.java.io
     reader = io.BufferedReader(io.InputStreamReader(fs.open(hadoop), "UTF-8"))
     try:
-        return tuple(next(csv.reader([(reader.readLine() or "").removeprefix("\ufeff")]), ()))
+        for _ in range(number):
+            reader.readLine()
+        return reader.readLine() or ""
     finally:
         reader.close()
 
 
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names of a file; reads one line only."""
+    return tuple(next(csv.reader([_line(spark, file, 0).removeprefix("\ufeff")]), ()))
+
+
 def _headers(spark: SparkSession, files: Sequence[str]) -> dict[str, tuple[str, ...]]:
     """Column names of each file, many files at a time. A task per file would read a block for a line."""
     with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
@@ -94,12 +100,36 @@ def _headers(spark: SparkSession, files: Sequence[str]) -> dict[str, tuple[str,
 
 def _path_key(path: str) -> str:
     """A path in the form of ``_file_key``."""
-    return re.sub(r"^(\w+):/+", r"\1:/", unquote_plus(path))
+    scheme, _, place = unquote_plus(path).partition(":")
+    return f"{scheme}:{place.lstrip('/')}"
 
 
 def _file_key() -> Column:
     """The file of a row; slashes after the scheme differ between listings and rows."""
-    return F.regexp_replace(F.url_decode("_metadata.file_path"), r"^(\w+):/+", "$1:/")
+    path = F.url_decode("_metadata.file_path")
+    place = F.ltrim(F.substr(path, F.instr(path, ":") + 1), F.lit("/"))
+    return F.concat(F.substring_index(path, ":", 1), F.lit(":"), place)
+
+
+def _entry() -> Column:
+    """The entry of the folder that a row's file belongs to: the file itself, or the folder of its parts."""
+    path = F.url_decode("_metadata.file_path")
+    folder = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    entry = F.when(F.endswith(folder, F.lit(".csv")), folder).otherwise(F.substring_index(path, "/", -1))
+    return F.when(F.startswith(entry, F.lit(_PARTITION)), F.substr(entry, F.lit(len(_PARTITION) + 1))).otherwise(entry)
+
+
+def longest_scenario(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Rows of the longest scenario, estimated by its bytes and the first line of its data.
+
+    It decides how series are cut for parallel work, never what a query returns.
+    """
+    longest = 0
+    for path in paths:
+        hadoop, fs = _file_system(spark, path)
+        line = next(filter(None, (_line(spark, p, 1) for p in _parts(spark, path))), "")
+        longest = max(longest, fs.getContentSummary(hadoop).getLength() // (len(line) + 1))
+    return longest
 
 
 def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -122,24 +152,26 @@ def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     for path in set(paths) - {path for _, path in parts.values()}:
         raise SchemaValidationError(f"{_name(path)}: no parts")
     # Only scenarios of several parts need their numbers.
-    later = {_path_key(f): number for f, (number, _) in parts.items() if number}
-    number = F.lit(0)
-    if later:
-        number = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in later.items() for x in pair]),
-                                         _file_key()), F.lit(0))
+    later = [(_path_key(f), number) for f, (number, _) in parts.items() if number]
     united = None
     for names, members in groups.items():
         text = T.StructType([T.StructField(c, T.StringType()) for c in names])
         part = spark.read.schema(text).option("header", True).csv(members)
         part = part.select(
             *[F.col(f"`{c}`") for c in names],
-            F.regexp_extract(F.url_decode("_metadata.file_path"), _ENTRY, 1).alias("_file"),
-            # parts in order, then blocks of a file by their start, then rows of a task in reading order
-            (F.call_function("shiftleft", number.cast("long"), F.lit(_PART_BITS))
-             + F.col("_metadata.file_block_start") * F.lit(32)
+            _entry().alias("_file"),
+            *([_file_key().alias("_part")] if later else []),
+            # blocks of a file by their start, then rows of a task in reading order
+            (F.col("_metadata.file_block_start") * F.lit(32)
              + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("_place"),
         )
         united = part if united is None else united.unionByName(part, allowMissingColumns=True)
+    if later:
+        numbers = spark.createDataFrame(later, "_later string, _number long")
+        numbers = F.broadcast(numbers) if len(later) <= BROADCAST_PARTS else numbers
+        before = F.call_function("shiftleft", F.coalesce("_number", F.lit(0).cast("long")), F.lit(_PART_BITS))
+        united = united.join(numbers, F.col("_part") == F.col("_later"), "left").withColumn(
+            "_place", before + F.col("_place")).drop("_part", "_later", "_number")
     own = {SCENARIO, SEQ, "fault_type"}
     extra = [c for c in united.columns if c not in {*RAW_COLUMNS, *own, "_file", "_place"}]
     return united.select(
@@ -152,7 +184,7 @@ def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
-def scan_files(spark: SparkSession, folder: str, scenario: str | None = None) -> DataFrame:
+def find_files(spark: SparkSession, folder: str, scenario: str | None = None) -> list[str]:
     """Files whose name contains ``scenario`` in any case; None and 'all' mean all files."""
     paths = list_files(spark, folder)
     if scenario and scenario != "all":
@@ -160,7 +192,12 @@ def scan_files(spark: SparkSession, folder: str, scenario: str | None = None) ->
     if not paths:
         wanted = f" for scenario {scenario!r}" if scenario else ""
         raise DataLoadError(f"no CSV files in {folder}{wanted}")
-    return read_files(spark, paths)
+    return paths
+
+
+def scan_files(spark: SparkSession, folder: str, scenario: str | None = None) -> DataFrame:
+    """Rows of the files whose name contains ``scenario`` in any case; None and 'all' mean all files."""
+    return read_files(spark, find_files(spark, folder, scenario))
 
 
 def load_all(spark: SparkSession, folder: str) -> DataFrame:
