@@ -24,7 +24,7 @@ from airsleuth.operators.rules import rule_events, rule_hits
 from airsleuth.operators.sequence import pad_head, sequence_windows
 from airsleuth.operators.splits import first_years
 from airsleuth.operators.serving import (
-    DetectionFilter, count_detections, daily_view, detection_page, detection_statistics, event_view,
+    DetectionFilter, count_detections, daily_view, detection_page, detection_statistics, event_view, page_after, token_of,
     filter_detections, job_by_id, recent_jobs, run_view,
 )
 from airsleuth.schema import FAULT_TYPES, NORMAL, ROW_KEYS, SCENARIO, SEQ
@@ -428,6 +428,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(detection_page(detections(spark, sf_dir), skip=250))
 
 
+@query("o2_token_pages", with_sql(DETECTIONS, f"SELECT {_EVENT} FROM detections ORDER BY event_time DESC, id DESC LIMIT 1500"))
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages, each found by where the one before ended."""
+    events, token, pages = detections(spark, sf_dir), None, []
+    for _ in range(3):
+        pages.append(page_after(events, token))
+        token = token_of(pages[-1]) or token
+    return _events(pages[0].unionByName(pages[1]).unionByName(pages[2]))
+
+
 @query("o2_deep_page", """
 SELECT l_orderkey, l_linenumber, l_shipdate_us FROM (SELECT l_orderkey, l_linenumber, epoch_us(l_shipdate) AS l_shipdate_us,
   l_orderkey * 8 + l_linenumber AS id FROM lineitem) ORDER BY l_shipdate_us DESC, id DESC LIMIT 1000 OFFSET (SELECT count(*) // 2 + 25000 FROM lineitem)""")

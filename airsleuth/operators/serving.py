@@ -32,10 +32,10 @@ def filter_detections(events: DataFrame, by: DetectionFilter = DetectionFilter()
     dated = DATE in events.columns
     if by.start is not None:
         events = events.filter(F.col("event_time") >= F.lit(by.start))
-        events = events.filter(F.col(DATE) >= F.lit(by.start.date())) if dated else events
+        events = events.filter(F.col(DATE) >= F.to_date(F.lit(by.start))) if dated else events
     if by.end is not None:
         events = events.filter(F.col("event_time") <= F.lit(by.end))
-        events = events.filter(F.col(DATE) <= F.lit(by.end.date())) if dated else events
+        events = events.filter(F.col(DATE) <= F.to_date(F.lit(by.end))) if dated else events
     for column, value in (("zone_id", by.zone_id), ("alert_level", by.alert_level),
                           ("predicted_fault", by.fault_type)):
         if value is not None:
@@ -71,6 +71,39 @@ def detection_page(events: DataFrame, by: DetectionFilter = DetectionFilter(),
     return matching.orderBy(F.col("event_time").desc(), F.col("id").desc()).offset(skip).limit(page_size)
 
 
+@dataclass(frozen=True)
+class PageToken:
+    """Where a page ended: its last row's time and id."""
+
+    event_time: datetime
+    id: int
+
+
+def token_of(page: DataFrame) -> PageToken | None:
+    """The token of a page, which holds at most ``PAGE_MOST`` rows; None if the page is empty."""
+    last = page.orderBy("event_time", "id").select("event_time", "id").first()
+    return None if last is None else PageToken(last["event_time"], last["id"])
+
+
+def page_after(events: DataFrame, token: PageToken | None = None, by: DetectionFilter = DetectionFilter(),
+               page_size: int = PAGE_DEFAULT) -> DataFrame:
+    """The page behind ``token``, newest first; the first page without one.
+
+    The plan and its cost are the same at every depth: a scan that leaves out newer days and keeps
+    ``page_size`` rows of each task. Rows inserted meanwhile move no page, as they would with an offset.
+    Rows that share time and id are one position: the page after them leaves all of them out, so ids
+    must be unique within an instant.
+    """
+    if not 1 <= page_size <= PAGE_MOST:
+        raise ValueError(f"page_size must be between 1 and {PAGE_MOST}")
+    rows = filter_detections(events, by)
+    if token is not None:
+        instant = F.lit(token.event_time)
+        rows = filter_detections(rows, DetectionFilter(end=token.event_time)).filter(
+            (F.col("event_time") < instant) | ((F.col("event_time") == instant) & (F.col("id") < token.id)))
+    return rows.orderBy(F.col("event_time").desc(), F.col("id").desc()).limit(page_size)
+
+
 def _leave_out(matching: DataFrame, key: list[Column], skip: int, page_size: int) -> tuple[DataFrame, int]:
     """Only the groups of ``key`` that hold rows of the page, and the rows still to skip in them.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from airsleuth.errors import DataLoadError, ReportError, SchemaValidationError, StoreError
 from airsleuth.operators.serving import (
-    DetectionFilter, count_detections, daily_view, detection_page, detection_statistics, event_view, filter_detections,
+    DetectionFilter, PageToken, page_after, token_of, count_detections, daily_view, detection_page, detection_statistics, event_view, filter_detections,
     job_by_id, recent_jobs, register_views, run_view,
 )
 from airsleuth.plans.detection import run_job
@@ -210,6 +210,23 @@ def test_deep_pages_equal_shallow_ones(spark):
         assert len(shallow) == max(0, min(20, 5000 - skip))
 
 
+def test_pages_by_token_give_the_whole_table(spark):
+    """Many rows share an instant, so that pages end inside one; rows that arrive later move no page."""
+    events = spark.range(90).selectExpr("xxhash64(id) AS id", "timestamp_micros(1700000000000000 + id div 25 * 1000001) AS event_time").cache()
+    whole = [tuple(r) for r in events.orderBy(F.desc("event_time"), F.desc("id")).collect()]
+    got, token, now = [], None, events
+    while page := [tuple(r) for r in page_after(now, token, page_size=20).collect()]:
+        got += page
+        token = PageToken(page[-1][1], page[-1][0])
+        now = events.unionByName(spark.sql("SELECT 7L AS id, timestamp'2030-01-01' AS event_time"))
+    assert got == whole and token_of(events.limit(0)) is None
+    assert token_of(page_after(events, page_size=20)) == PageToken(whole[19][1], whole[19][0])
+    assert "TakeOrderedAndProject" in page_after(events, token)._jdf.queryExecution().executedPlan().toString()
+    for wrong in (0, 1001):
+        with pytest.raises(ValueError):
+            page_after(events, page_size=wrong)
+
+
 def test_deep_page_among_rows_of_one_instant(spark):
     """Ids are hashes, as in the store, so that ranges of ids can be left out."""
     events = spark.range(3000).selectExpr("xxhash64(id) AS id", "timestamp_micros(1700000000000000 + IF(id < 2900, 0, id)) AS event_time")
