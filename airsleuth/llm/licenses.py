@@ -11,6 +11,8 @@ order, and it is verified by the share of the template's runs that stand in it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,38 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved no part of this"),
 ]
+# Whole texts of public licenses, with the labels they give.
+TEXTS = [
+    ("mit", """
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY
+OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR
+THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("isc", """
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS"
+AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS
+ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("bsd", """
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS
+PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED
+TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""),
+]
 
 
 def words(text: Column) -> Column:
@@ -69,32 +103,34 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), "")
 
 
+def plain_words(text: str) -> list[str]:
+    """The words of a template, by the rule of ``words``."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
 def template_grams(spark: SparkSession, phrases: list, notices: list) -> DataFrame:
     """Runs of all templates: ``gram``, its ``hash``, ``template``, ``at``; bounded by the templates' words."""
-    longest = max(len(text.split()) for _, text in [*phrases, *notices])
-    if longest - GRAM >= 64:
-        raise ValueError("a template has at most 66 words; give longer notices in pieces")
     rows = [
         (i, label, is_phrase, at, " ".join(text[at:at + GRAM]), len(text) - GRAM + 1)
         for i, (label, is_phrase, text) in enumerate(
-            [(k, True, v.split()) for k, v in phrases] + [(k, False, v.split()) for k, v in notices])
+            [(k, True, plain_words(v)) for k, v in phrases] + [(k, False, plain_words(v)) for k, v in notices])
         for at in range(len(text) - GRAM + 1)
     ]
     return spark.createDataFrame(rows, "template int, label string, base boolean, at int, gram string, grams int")
 
 
-def scan_licenses(docs: DataFrame, phrases: list = PHRASES, notices: list = NOTICES,
+def scan_licenses(docs: DataFrame, phrases: list = PHRASES, notices: list = [*NOTICES, *TEXTS],
                   near: int = NEAR, cover: float = COVER) -> DataFrame:
     """Licenses of every document.
 
     One row for every row, also for rows that repeat. A null or wordless text has no words and no
-    labels. Phrases and notices need at least ``GRAM`` words.
+    labels. Phrases and notices need at least ``GRAM`` words and may be whole license texts.
     ``n_base``, ``first_word`` and ``last_word`` tell the places of the phrases,
     ``labels`` all found labels, ``score`` the best share of a template's runs in
     a verified span, ``spans`` the verified spans.
     """
     spark = docs.sparkSession
-    few = sum(len(text.split()) for _, text in [*phrases, *notices]) <= BROADCAST_RUNS
+    few = sum(len(plain_words(text)) for _, text in [*phrases, *notices]) <= BROADCAST_RUNS
     templates = template_grams(spark, phrases, notices).withColumn("hash", F.xxhash64(F.split("gram", " ")))
     size = F.size("words")
     grams = F.transform(F.sequence(F.lit(0), size - GRAM), lambda i: F.xxhash64(F.slice("words", i + 1, GRAM)))
@@ -120,14 +156,15 @@ def scan_licenses(docs: DataFrame, phrases: list = PHRASES, notices: list = NOTI
     diagonals = votes.groupBy("doc_id", "content", "template", "diagonal").agg(
         F.max("n_words").alias("n_words"), F.count("n_words").alias("rows"), F.max("label").alias("label"), F.max("base").alias("base"),
         F.max("grams").alias("grams"), F.min("at").alias("first"), F.max("at").alias("last"),
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("template_at"))).alias("seen"))
+        # A match stands on one diagonal, so that these sets have at most as many entries as the text has words.
+        F.collect_set("template_at").alias("seen"))
     found = diagonals.groupBy("doc_id", "content", "template").agg(
         F.max("n_words").alias("n_words"), F.sum("rows").alias("rows"), F.max("label").alias("label"), F.max("base").alias("base"),
         F.max("grams").alias("grams"),
         F.sort_array(F.collect_list(F.when(F.col("diagonal").isNotNull(), F.struct(
             "diagonal", "first", "last", "seen", F.col("diagonal").alias("lowest"))))).alias("diagonals"))
     # Neighbouring diagonals become one span: its last diagonal, its words and the template runs seen in it.
-    span = "struct<diagonal:int,first:int,last:int,seen:bigint,lowest:int>"
+    span = "struct<diagonal:int,first:int,last:int,seen:array<int>,lowest:int>"
     drift = F.greatest(F.lit(near), F.ceil((F.col("grams") + GRAM - 1) * F.lit(DRIFT)).cast("int"))
     merged = F.aggregate("diagonals", F.array().cast(f"array<{span}>"), lambda done, d: F.when(
         (F.size(done) > 0) & (d["diagonal"] - F.element_at(done, -1)["diagonal"] <= near)
@@ -135,9 +172,9 @@ def scan_licenses(docs: DataFrame, phrases: list = PHRASES, notices: list = NOTI
         F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
             d["diagonal"].alias("diagonal"), F.least(F.element_at(done, -1)["first"], d["first"]).alias("first"),
             F.greatest(F.element_at(done, -1)["last"], d["last"]).alias("last"),
-            F.element_at(done, -1)["seen"].bitwiseOR(d["seen"]).alias("seen"), F.element_at(done, -1)["lowest"].alias("lowest"))))
+            F.array_union(F.element_at(done, -1)["seen"], d["seen"]).alias("seen"), F.element_at(done, -1)["lowest"].alias("lowest"))))
     ).otherwise(F.concat(done, F.array(d))))
-    share = lambda s: F.bit_count(s["seen"]) / F.col("grams")
+    share = lambda s: F.size(s["seen"]) / F.col("grams")
     # A phrase stands only where one diagonal has all its runs.
     spans = F.when(F.col("base"), F.filter("diagonals", lambda d: share(d) == 1.0)).otherwise(
         F.filter(merged, lambda s: share(s) >= F.when(F.col("grams") < SHORT, 1.0).otherwise(cover)))

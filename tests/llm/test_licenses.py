@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from airsleuth.llm.licenses import NOTICES, PHRASES, scan_licenses
+from airsleuth.llm.licenses import NOTICES, PHRASES, TEXTS, plain_words, scan_licenses
 from airsleuth.llm.queries import QUERIES
 from tests.conftest import SF
 
@@ -34,6 +34,29 @@ def test_spans_are_no_longer_than_template_and_drift(spark):
     assert len(spans) == 3 and all(s.last_word - s.first_word < 1.2 * len(GPL) for s in spans)
 
 
+def test_whole_license_texts_with_edits(spark):
+    """Every 40th word lost, a holder's name put in; halves in the wrong order are no text."""
+    rows = []
+    for label, text in TEXTS:
+        plain = plain_words(text)
+        edited = [w for i, w in enumerate(plain) if i % 40 != 39]
+        rows.append(" ".join(["Copyright", "X", *edited[:60], "Example", "Corp", *edited[60:], "end"]))
+    found = _scan(spark, rows)
+    for i, (label, text) in enumerate(TEXTS):
+        size = len(plain_words(text))
+        assert label in found[i].labels.split(",")
+        assert any(s.label == label and s.share > 0.8 and s.last_word - s.first_word > 0.9 * size for s in found[i].spans)
+
+
+def test_template_of_a_thousand_words(spark):
+    long = [f"w{i}" for i in range(1000)]
+    texts = [" ".join(["a", *long[:500], "x", *long[500:]]), " ".join(long[500:] + long[:500]), " ".join(long[:600])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in scan_licenses(docs, [], [("long", " ".join(long))]).collect()}
+    assert [(s.first_word, s.last_word) for s in found[0].spans] == [(1, 1001)] and found[0].score == 996 / 998
+    assert found[1].labels == "" and found[2].labels == "" and found[1].score == 0.0
+
+
 def test_base_phrases_by_brute_force(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op2_license_scan"](spark, SF).collect()
