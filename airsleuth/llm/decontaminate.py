@@ -200,17 +200,19 @@ dg AS (
   FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM ig) WHERE len(w) >= k)),
 ic AS (SELECT item_id, n, k, m, run, count(*) AS c FROM ig GROUP BY ALL),
 starts AS (
-  SELECT DISTINCT doc_id, item_id, k, n, m, unnest(range(greatest(0, pos - m + 1), least(pos, total - m) + 1)) AS start
-  FROM dg JOIN ic USING (k, run)),
+  SELECT DISTINCT doc_id, item_id, k, n, m, width,
+    unnest(range(greatest(0, pos - width + 1), least(pos, total - width) + 1)) AS start
+  FROM (SELECT *, least(m, total) AS width FROM dg JOIN ic USING (k, run))),
 wc AS (
-  SELECT s.doc_id, s.item_id, s.k, s.n, s.m, s.start, d.run, count(*) AS c
-  FROM starts s JOIN dg d ON d.doc_id = s.doc_id AND d.k = s.k AND d.pos >= s.start AND d.pos < s.start + s.m
+  SELECT s.doc_id, s.item_id, s.k, s.n, s.m, s.width, s.start, d.run, count(*) AS c
+  FROM starts s JOIN dg d ON d.doc_id = s.doc_id AND d.k = s.k AND d.pos >= s.start AND d.pos < s.start + s.width
   GROUP BY ALL),
 scored AS (
-  SELECT doc_id, item_id, wc.n AS n, start, sum(least(wc.c, ic.c)) AS shared, any_value(wc.m) AS m
+  SELECT doc_id, item_id, wc.width + least(wc.n, {WORDS}) - 1 AS n, start, sum(least(wc.c, ic.c)) AS shared,
+    any_value(wc.m + wc.width) AS both_runs
   FROM wc JOIN ic USING (item_id, run) GROUP BY ALL),
 good AS (
-  SELECT *, shared / (2 * m - shared) AS similarity FROM scored WHERE shared / (2 * m - shared) >= {SIMILARITY}),
+  SELECT *, shared / (both_runs - shared) AS similarity FROM scored WHERE shared / (both_runs - shared) >= {SIMILARITY}),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS place FROM good)
 SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CAST(start AS BIGINT) AS first_word,

@@ -1,8 +1,9 @@
 """Operator 8: dropping boilerplate lines by their frequency within a site.
 
-A line is boilerplate of a host if more than a given share of the host's pages
-contain it. Counting moves hashes only, aggregated before the shuffle; the lines
-to drop are at most (lines of a page / share) for each host.
+A line is boilerplate of a host if the host's pages prove that more than a given share of
+its pages contain it: the pages at hand are taken for a sample, and their number must be more
+deviations above the share than chance brings. Counting moves hashes only, aggregated
+before the shuffle; the lines to drop are at most (lines of a page / share) for each host.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 from airsleuth.llm.tables import Kept, table, whole_text
 
-#: A line is dropped if more than this share of the host's pages contain it,
-RATIO = 0.08
-#: and at least so many pages: few pages of a small host prove nothing.
+#: A line is dropped if more than this share of the host's pages contain it, one page in twenty,
+RATIO = 0.05
+#: by so many standard deviations of a count of pages that each contain it with that chance,
+SIGMAS = 2.0
+#: and at least so many pages: a few copies on a small host are no boilerplate. Hosts of fewer pages keep all lines.
 MIN_PAGES = 5
 
 
@@ -26,7 +29,14 @@ def _is_blank(line: Column) -> Column:
     return F.trim(line) == ""
 
 
-def boilerplate(pages: DataFrame, host: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def _proven(count: Column, total: Column, ratio: float, sigmas: float) -> Column:
+    """Whether ``count`` of ``total`` pages is more than ``sigmas`` deviations above the share."""
+    above = count - ratio * total
+    return (above > 0) & (above * above > sigmas * sigmas * ratio * (1 - ratio) * total)
+
+
+def boilerplate(pages: DataFrame, host: str, ratio: float = RATIO, min_pages: int = MIN_PAGES,
+                sigmas: float = SIGMAS) -> DataFrame:
     """Hosts with the hashes of their boilerplate lines: ``host``, ``dropped``."""
     site = F.coalesce(F.col(host).cast("string"), F.lit("\0"))
     # Hash 0 stands for the page itself, so that one aggregate counts pages and lines.
@@ -37,7 +47,7 @@ def boilerplate(pages: DataFrame, host: str, ratio: float = RATIO, min_pages: in
     )
     kept = Kept(counts, "lines")
     totals = kept.df.filter("line = 0").select("host", F.col("pages").alias("total"))
-    found = (kept.df.filter("line <> 0").join(totals, "host").filter(F.col("pages") > ratio * F.col("total"))
+    found = (kept.df.filter("line <> 0").join(totals, "host").filter(_proven(F.col("pages"), F.col("total"), ratio, sigmas))
              .groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("dropped")))
     result = Kept(found, "boilerplate")
     kept.free()
@@ -45,7 +55,7 @@ def boilerplate(pages: DataFrame, host: str, ratio: float = RATIO, min_pages: in
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", ratio: float = RATIO,
-                     min_pages: int = MIN_PAGES) -> DataFrame:
+                     min_pages: int = MIN_PAGES, sigmas: float = SIGMAS) -> DataFrame:
     """``pages`` with boilerplate lines taken out of ``text``, and ``n_lines`` and ``n_dropped`` beside it.
 
     Lines end with a line feed; blank ones are never dropped and keep their place.
@@ -54,7 +64,7 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", ratio: float = RATI
     never dropped: a page of nothing but boilerplate keeps an empty text. Columns
     named ``n_lines`` or ``n_dropped`` are replaced.
     """
-    found = boilerplate(pages, host, ratio, min_pages).select(
+    found = boilerplate(pages, host, ratio, min_pages, sigmas).select(
         F.col("host").alias("__host"), F.col("dropped").alias("__dropped"))
     lines, dropped = _lines(whole_text()), F.col("__dropped")
     # The table of hosts is read from files of a known size: Spark broadcasts it only if it is small.
@@ -87,7 +97,9 @@ counts AS (
 totals AS (SELECT host, count(*) AS total FROM pages GROUP BY ALL),
 dropped AS (
   SELECT host, list(line) AS gone FROM counts JOIN totals USING (host)
-  WHERE n >= {MIN_PAGES} AND n > {RATIO} * total GROUP BY ALL),
+  WHERE n >= {MIN_PAGES} AND n > {RATIO} * total
+    AND (n - {RATIO}::DOUBLE * total) * (n - {RATIO}::DOUBLE * total) > {SIGMAS * SIGMAS * RATIO * (1 - RATIO)}::DOUBLE * total
+  GROUP BY ALL),
 rest AS (
   SELECT doc_id, source, lines, CASE WHEN gone IS NULL THEN lines
     ELSE [x for x in lines if NOT list_contains(gone, x)] END AS kept

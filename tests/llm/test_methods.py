@@ -5,14 +5,16 @@ from __future__ import annotations
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from airsleuth.llm.decontaminate import BLOCKS, RADIUS, _block_values, _near_values, drop_contaminated, find_items
+from airsleuth.llm.decontaminate import BLOCKS, OP1_SQL, RADIUS, _block_values, _near_values, drop_contaminated, find_items
 from airsleuth.llm.fingerprints import HASH_SHIFT, K, SLACK, fingerprint_documents, with_anchors, with_likeness
 from airsleuth.llm.language_model import mixture_weight, score_documents
 from airsleuth.llm.licenses import PHRASES, scan_licenses
@@ -102,6 +104,26 @@ def test_documents_shorter_than_an_item_are_found(spark, prose):
     # Of 10 runs the third item's page has 7: 0.7 is not enough.
     assert got == {(0, 0): (round(49 / 58, 4), 0, 57), (1, 1): (round(25 / 26, 4), 0, 29)}
     assert sorted(r.doc_id for r in drop_contaminated(_docs(spark, texts), found).collect()) == [2, 3]
+    database = duckdb.connect()
+    database.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    database.register("benchmark", pa.table({"item_id": list(range(len(items))), "text": items}))
+    rows = database.sql(OP1_SQL).fetchall()
+    assert {(d, i): (round(s, 4), first, n) for d, i, s, first, n in rows} == got
+
+
+def test_boilerplate_must_be_proven(spark):
+    """The least number of pages that is two deviations above a twentieth, for hosts of several sizes."""
+    rows, want = [], {}
+    for total in (4, 8, 20, 100, 500):
+        least = next(k for k in range(total + 1) if k > 0.05 * total + 2 * (total * 0.05 * 0.95) ** 0.5)
+        least = max(5, least)
+        for page in range(total):
+            lines = [f"own {total} {page}", *(["most"] if page < least else []), *(["few"] if page < least - 1 else [])]
+            rows.append((len(rows), f"h{total}", "\n".join(lines)))
+        want[f"h{total}"] = least if least <= total else 0
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = drop_boilerplate(docs).groupBy("source").agg(F.sum("n_dropped").alias("n")).collect()
+    assert {r.source: r.n for r in got} == want
 
 
 def test_license_spans(spark, prose):

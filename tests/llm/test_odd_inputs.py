@@ -99,7 +99,7 @@ def test_fingerprints(odd_documents):
 
 
 def test_line_dedup(odd_documents):
-    rows = drop_boilerplate(odd_documents, ratio=0.1, min_pages=2)
+    rows = drop_boilerplate(odd_documents, ratio=0.1, min_pages=2, sigmas=0.0)
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in rows.collect()}
     assert rows.count() == 10 and got[1] == (1, 1, "") and got[2] == (1, 0, "") and got[4] == (2, 0, " \n\t ")
     assert drop_boilerplate(odd_documents.limit(0)).count() == 0
