@@ -34,7 +34,7 @@ from airsleuth.sources.csv import find_files, write_files
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 #: Zone rows of the read paths, whose published rates are of 54 million; copies of a year follow each other.
-READ_ROWS = 10_000_000
+READ_ROWS = int(os.environ.get("BENCH_READ_ROWS", "5000000"))
 
 
 def drain(df: DataFrame) -> None:
@@ -53,7 +53,7 @@ def main() -> None:
         RAW_TIME, F.col(RAW_TIME) + F.make_dt_interval(F.col("_year") * 366)).drop("_year")
     many.repartition(int(CPUS)).write.parquet(raw)
     write_files(spark.read.parquet(raw), csv)
-    write_cache(build_features_from_wide(spark.read.parquet(raw)), all_cached, as_floats=False)
+    write_cache(build_features_from_wide(spark.read.parquet(raw)), all_cached)
     rows = spark.read.parquet(all_cached).count()
 
     def cached() -> DataFrame:
