@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airsleuth.detectors.base import ScoreDetector
-from airsleuth.detectors.classifier import SOURCE, FaultClassifier
+from airsleuth.detectors.classifier import SOURCE, FaultClassifier, columns_read
 from airsleuth.operators.rules import rule_events
 from airsleuth.operators.splits import normal_rows
 from airsleuth.schema import NORMAL, ROW_KEYS, SCENARIO
@@ -53,7 +53,7 @@ def classifier_contract(spark: SparkSession, classifier: FaultClassifier, valida
     classifier.calibrate(validation, target_fpr).save(spark, path)
     again = FaultClassifier.load(spark, path)
     judged = {"probability": "_vector", "predicted_fault": "_fault", "confidence": "_confidence", "score": "_score"}
-    both = again.judge(classifier.judge(rows).withColumnsRenamed(judged))
+    both = again.judge(classifier.judge(columns_read(rows)).withColumnsRenamed(judged))
     classes, p = classifier.backend.classes, F.col("_vector")
     total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
     valid = (
@@ -62,7 +62,7 @@ def classifier_contract(spark: SparkSession, classifier: FaultClassifier, valida
         & (F.abs(1 - F.get(p, F.lit(classes.index(NORMAL))) - F.col("_score")) < SAME)
     )
     changed = (F.col("predicted_fault") != F.col("_fault")) | (F.abs(F.col("score") - F.col("_score")) > SAME)
-    normals = classifier.judge(normal_rows(validation)).select("score")
+    normals = classifier.judge(columns_read(normal_rows(validation))).select("score")
     same_threshold = again.threshold == classifier.threshold
     return _counted(both, F.coalesce(valid, F.lit(False)), changed | F.lit(not same_threshold),
                     share_kept(normals, classifier.threshold, target_fpr))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -81,3 +83,21 @@ def test_graph_is_saved_with_the_model(spark, rows, tmp_path):
     again = FaultClassifier.load(spark, str(tmp_path / "graph")).backend
     assert isinstance(again, GraphBackend) and again.adjacency == classifier.backend.adjacency
     assert np.array(again.adjacency).shape == (len(FEATURES), len(FEATURES))
+
+
+def test_responses_slide_over_each_row_once():
+    """The same as from windows laid out row by row, in memory that does not grow with the window."""
+    draw = np.random.default_rng(5)
+    values, group = draw.normal(size=(20_000, 6)), np.repeat([7, 3, 9, 1, 7], [1, 40, 29, 30, 19_900])
+    kernels = Kernels.drawn(6, 2, 8)
+    tracemalloc.start()
+    got = responses(values, group, kernels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * got[:, :1].nbytes + got.nbytes
+    back = rows_back(group)
+    for k, (signals, weights, dilation, threshold) in enumerate(zip(*kernels)):
+        taps = values[:, signals] @ weights.T
+        places = back.shape[1] - (TAPS - 1) * dilation
+        laid = sum(taps[back[:, j * dilation:j * dilation + places], j] for j in range(TAPS))
+        assert (got[:, 2 * k] == laid.max(axis=1)).all() and (got[:, 2 * k + 1] == (laid > threshold).mean(axis=1)).all()
