@@ -13,6 +13,7 @@ from airsleuth.operators.features import build_features_from_wide
 from airsleuth.operators.ordered import MAX_ROWS
 from airsleuth.operators.reshape import narrow_floats
 from airsleuth.schema import CACHE_COLUMNS, SCENARIO, require_columns
+from airsleuth.session import cut_lineage
 from airsleuth.sources.csv import list_files, longest_scenario, read_files, scenario_name
 
 COMBINED = "lbnl_features.parquet"
@@ -21,9 +22,14 @@ ROWS_PER_FILE = 5_000_000
 
 
 def features_of_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Features of scenario files. The listing tells whether a scenario may be big; if none is, files are parsed once."""
-    big = longest_scenario(spark, paths) > MAX_ROWS
-    return build_features_from_wide(read_files(spark, paths), MAX_ROWS if big else None)
+    """Features of scenario files, which are parsed once.
+
+    The listing tells whether a scenario may be big. If one is, how to cut it is found on the rows as a written table.
+    """
+    rows = read_files(spark, paths)
+    if longest_scenario(spark, paths) <= MAX_ROWS:
+        return build_features_from_wide(rows, None)
+    return build_features_from_wide(cut_lineage(rows), MAX_ROWS)
 
 
 def cached_scenarios(spark: SparkSession, path: str) -> list[str]:

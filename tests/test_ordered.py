@@ -14,7 +14,7 @@ from airsleuth.operators.evaluation import alert_bursts, gaps
 from airsleuth.operators.features import (
     FRAMES, LAG_OUTPUTS, ROLLING_OUTPUTS, add_windows, build_features, build_features_from_wide, control_errors,
 )
-from airsleuth.operators.ordered import SLICE, Order, slice_series, with_position, with_run_up
+from airsleuth.operators.ordered import MAX_ROWS, SLICE, Order, _last_rows, slice_series, with_position, with_run_up
 from airsleuth.operators.reshape import fahrenheit_to_celsius, narrow_floats, normalize, numbers, zones_to_rows
 from airsleuth.operators.sequence import pad_head, sequence_windows
 from airsleuth.schema import COLUMN_MAP, LAG_COLUMNS
@@ -224,3 +224,24 @@ def test_head_takes_the_first_value(spark):
     rows = [("a", i, i, None if i < 3 else float(i)) for i in range(6)]
     df = spark.createDataFrame(rows, "k string, t long, s long, p double")
     assert [r["p"] for r in pad_head(df, "p", ORDER).orderBy("s").collect()] == [3.0, 3.0, 3.0, 3.0, 4.0, 5.0]
+
+
+def test_last_rows_of_slices_with_nulls_and_repeats(spark):
+    """Where the last rows begin is found by key and order alone, of which some may be null or repeat."""
+    frame = pd.DataFrame({"k": [None, "a"] * 60, "event_time": [pd.NaT if i % 13 == 0 else pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i // 4) for i in range(120)],
+                          "row_seq": [float("nan") if i % 17 == 0 else i // 2 for i in range(120)], "v": range(120)})
+    rows = spark.createDataFrame(frame).withColumn("row_seq", F.nanvl("row_seq", F.lit(None))).withColumn(SLICE, F.col("v") % 3)
+    got = _last_rows(rows, 7, Order(keys=("k",))).toPandas()
+    assert len(got) == 6 * 7
+    for (_, _), part in got.groupby(["k", SLICE], dropna=False):
+        assert sorted(part["_from_end"]) == [*range(1, 8)]
+        every = frame[(frame["k"].isna() == pd.isna(part["k"].iloc[0])) & (frame["v"] % 3 == part[SLICE].iloc[0])]
+        every = every.sort_values(["event_time", "row_seq"], ascending=False, na_position="last")
+        want = every.iloc[:7][["event_time", "row_seq"]].reset_index(drop=True)
+        have = part.sort_values("_from_end")[["event_time", "row_seq"]].reset_index(drop=True)
+        assert ((want == have) | (want.isna() & have.isna())).all().all()
+
+
+def test_a_slice_of_zone_rows_fits_a_task():
+    """Five zones of a slice's rows, in 90 columns of 8 bytes, are at most a quarter of a task's 3,600 MB."""
+    assert MAX_ROWS * 5 * 90 * 8 <= 900e6
