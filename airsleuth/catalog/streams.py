@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airsleuth.catalog.base import DETECTIONS, HITS, detections, long, micros, query, with_sql
+from airsleuth.catalog.base import DETECTIONS, HITS, detections, long, micros, query, wide, with_sql
 from airsleuth.catalog.events import HIT_SQL, shown
-
+from airsleuth.operators.reshape import normalize
+from airsleuth.schema import RAW_TIME
 from airsleuth.session import scratch_path
 from airsleuth.streaming.streams import RuleStream, burst_sessions, daily_counts, distinct_events, drain, drain_whole
 
+#: Raw rows to a file of a quarter.
+FILE_ROWS = 50_000
+
 
 def _arriving(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """A stream over a folder that holds the rows already."""
@@ -19,12 +26,17 @@ def _arriving(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return spark.readStream.schema(rows.schema).parquet(folder)
 
 
-def _arriving_by_quarter(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """A stream over the quarters of a year, one per batch; a batch's files are in no order."""
-    folder = scratch_path(spark, "arriving")
-    for quarter in range(1, 5):
-        rows.filter(F.quarter("event_time") == quarter).repartition(4).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+def _quarters(rows: DataFrame, folder: str) -> Iterator[None]:
+    """Normalized rows of the quarters of a year, written to ``folder`` one quarter a step; its files are in no order.
+
+    Raw rows are dealt out, a fifth of the normalized ones; the more there are, the more files.
+    """
+    quarter = F.quarter(RAW_TIME)
+    sizes = dict(rows.groupBy(quarter.alias("quarter")).count().collect())
+    for number in range(1, 5):
+        files = max(4, math.ceil(sizes.get(number, 0) / FILE_ROWS))
+        normalize(rows.filter(quarter == number).repartition(files)).write.mode("append").parquet(folder)
+        yield
 
 
 def _arriving_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +79,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("x1_rule_stream", with_sql(HITS, f"SELECT {HIT_SQL} FROM rule_events"))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows arrive in four batches; the events equal those of one batch."""
-    folder = scratch_path(spark, "rules")
+    folder, arriving = scratch_path(spark, "rules"), scratch_path(spark, "arriving")
     rules = RuleStream(spark, folder)
-    run = rules.writer(_arriving_by_quarter(spark, long(spark, sf_dir)), f"{folder}/checkpoint")
-    run.trigger(availableNow=True).start().awaitTermination()
+    kind = long(spark, sf_dir).schema
+    for _ in _quarters(wide(spark, sf_dir), arriving):
+        # Each run takes all that has come since the run before, in one batch.
+        source = spark.readStream.schema(kind).parquet(arriving)
+        rules.writer(source, f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return shown(rules.events())

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from airsleuth.operators.features import LONGEST, build_features
-from airsleuth.operators.ordered import Order
-from airsleuth.operators.rules import rule_events
-from airsleuth.schema import ROW_KEYS, SERIES_KEYS, TIME
+from airsleuth.operators.features import INPUTS, LONGEST, build_features
+from airsleuth.operators.ordered import Order, last_rows
+from airsleuth.operators.rules import READ, rule_events
+from airsleuth.schema import ROW_KEYS, SEQ, SERIES_KEYS, TIME
 from airsleuth.session import cut_lineage
 
 BURST_GAP = "5 minutes"
@@ -49,6 +49,7 @@ class RuleStream:
     Row frames reach back 119 rows, so the last rows of every series are kept
     between batches. A batch writes its events and the kept rows to folders of
     its own number: when it is repeated after a failure it writes the same again.
+    Of a batch only what features and rules read is written, moved and kept.
     """
 
     def __init__(self, spark: SparkSession, folder: str, order: Order = Order()) -> None:
@@ -60,15 +61,16 @@ class RuleStream:
         return self._spark.read.parquet(f"{self._kept}/batch={batch_id - 1}") if batch_id else None
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        new = cut_lineage(batch).withColumn("_new", F.lit(True))  # read from its source once
+        identity = {*ROW_KEYS, SEQ, "fault_type", *self._order.keys, *self._order.columns}
+        read = [c for c in batch.columns if c in {*identity, *INPUTS}]
+        new = cut_lineage(batch.select(*read)).withColumn("_new", F.lit(True))  # read from its source once
         before = self._before(batch_id)
-        rows = new if before is None else new.unionByName(before.withColumn("_new", F.lit(False)))
-        events = rule_events(build_features(rows, self._order).filter("_new"))
+        rows = new if before is None else new.unionByName(before.select(*read).withColumn("_new", F.lit(False)))
+        events = rule_events(build_features(rows, self._order, keep=[*identity, *READ, "_new"]).filter("_new"))
         events.write.mode("overwrite").parquet(f"{self._events}/batch={batch_id}")
-        latest = Window.partitionBy(*self._order.keys).orderBy(*self._order.latest_first())
         (
-            rows.withColumn("_age", F.row_number().over(latest)).filter(F.col("_age") < LONGEST)
-            .drop("_age", "_new").write.mode("overwrite").parquet(f"{self._kept}/batch={batch_id}")
+            last_rows(rows, LONGEST - 1, self._order, self._order.keys)
+            .drop("_from_end", "_new").write.mode("overwrite").parquet(f"{self._kept}/batch={batch_id}")
         )
 
     def writer(self, rows: DataFrame, checkpoint: str) -> DataStreamWriter:
