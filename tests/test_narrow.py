@@ -14,7 +14,11 @@ from airsleuth.operators.features import SERIES_INPUTS, _roll, build_features
 from airsleuth.operators.ordered import Order, last_rows
 from airsleuth.operators.reshape import normalize
 from airsleuth.operators.rules import READ, rule_events
-from airsleuth.schema import ROW_KEYS, SEQ
+from airsleuth.operators.splits import PROTOCOLS, split_of
+from airsleuth.plans import hold_out
+from airsleuth.plans.detection import fault_scenarios
+from airsleuth.schema import FEATURES, ROW_KEYS, SEQ
+from airsleuth.session import cut_lineage
 from airsleuth.streaming.streams import RuleStream
 from tests.frames import raw_frame
 
@@ -78,3 +82,26 @@ def test_a_quarter_is_a_batch_however_few_rows_it_has(spark, tmp_path, monkeypat
         files.append(len(spark.read.parquet(folder).inputFiles()))
     assert files[0] == 9 and spark.read.parquet(folder).exceptAll(normalize(spark.createDataFrame(frame))).isEmpty()
     assert spark.read.parquet(folder).count() == 5 * 91
+
+
+@pytest.mark.parametrize("protocol", sorted(PROTOCOLS))
+def test_splits_equal_their_bounds_at_the_edges(spark, protocol):
+    bounds = [datetime.fromisoformat(f"2024-{b}") for b in PROTOCOLS[protocol]]
+    times = [b + timedelta(seconds=s) for b in bounds for s in (-1, 0, 0.5, 1)] + [datetime(2023, 6, 1), datetime(2025, 6, 1), None]
+    df = spark.createDataFrame([(t, y) for t in times for y in (2024, None)], "t timestamp, y int")
+    start, train, validation, final = bounds
+
+    def want(t, y):
+        if t is None or y is None or not start <= t <= final:
+            return None
+        return "train" if t <= train else "validation" if t <= validation else "final"
+
+    got = df.withColumn("got", split_of(F.col("t"), F.col("y"), protocol)).collect()
+    assert all(r["got"] == want(r["t"], r["y"]) for r in got)
+
+
+def test_hold_outs_write_the_final_window_alone(spark, features, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(hold_out, "cut_lineage", lambda df: (written := cut_lineage(df), sizes.append(written.count()))[0])
+    hold_out.hold_out_gaussian_summary(features, fault_scenarios(features)[:1]).collect()
+    assert max(sizes) < features.count() / 4 and all(c in features.columns for c in FEATURES)
