@@ -10,13 +10,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from airsleuth.catalog import streams
+from airsleuth.detectors.base import RuleDetector
 from airsleuth.operators.features import SERIES_INPUTS, _roll, build_features
 from airsleuth.operators.ordered import Order, last_rows
 from airsleuth.operators.reshape import normalize
 from airsleuth.operators.rules import READ, rule_events
 from airsleuth.operators.splits import PROTOCOLS, split_of
 from airsleuth.plans import hold_out
-from airsleuth.plans.detection import fault_scenarios
+from airsleuth.plans.detection import detect, fault_scenarios, split_rows
 from airsleuth.schema import FEATURES, ROW_KEYS, SEQ
 from airsleuth.session import cut_lineage
 from airsleuth.streaming.streams import RuleStream
@@ -105,3 +106,19 @@ def test_hold_outs_write_the_final_window_alone(spark, features, monkeypatch):
     monkeypatch.setattr(hold_out, "cut_lineage", lambda df: (written := cut_lineage(df), sizes.append(written.count()))[0])
     hold_out.hold_out_gaussian_summary(features, fault_scenarios(features)[:1]).collect()
     assert max(sizes) < features.count() / 4 and all(c in features.columns for c in FEATURES)
+
+
+def test_scenarios_held_out_one_by_one_share_the_written_window(spark, features, monkeypatch):
+    """Only the final window and the summaries are written, and every split has the rows it had."""
+    sizes, seen = [], []
+    monkeypatch.setattr(hold_out, "cut_lineage", lambda df: (written := cut_lineage(df), sizes.append(written.count()))[0])
+
+    def rules_only(split):
+        seen.append([part.count() for part in (split.train, split.validation, split.evaluation)])
+        return detect(split.evaluation, [RuleDetector()])
+
+    names = fault_scenarios(features)[:2]
+    hold_out.hold_out_summary(features, names, rules_only, "rules").collect()
+    want = [split_rows(features, "common", "final", name, with_normal_reference=True) for name in names]
+    assert seen == [[part.count() for part in (s.train, s.validation, s.evaluation)] for s in want]
+    assert max(sizes) < features.count() / 4 and len(sizes) == 3
