@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from airsleuth.catalog.base import FEATURE_ROWS, HITS, LONG, query, with_sql
 from airsleuth.catalog.ingest import ANNUAL
-from airsleuth.catalog.learned import _WHOLE, kept_features
+from airsleuth.catalog.learned import _WHOLE, run_features
 from airsleuth.detectors.base import RuleDetector, ScoreDetector
 from airsleuth.detectors.classifier import FaultClassifier
 from airsleuth.detectors.contract import classified_contract, classifier_contract, fused_contract, score_contract
@@ -26,14 +26,14 @@ SELECT scenario_file, count(*) AS n, count(*) AS n_valid, 0 AS n_changed, true A
 def _register_scores(name: str, make: Callable[[], ScoreDetector]) -> None:
     @query(name, _KEPT)
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        split = split_rows(kept_features(spark, sf_dir))
+        split = split_rows(run_features(spark, sf_dir))
         return score_contract(spark, train_unsupervised(split, make()), split.train, split.evaluation, scratch_path(spark, "model"))
 
 
 def _register_classifier(name: str, backend: str) -> None:
     @query(name, _KEPT)
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        split = split_rows(kept_features(spark, sf_dir))
+        split = split_rows(run_features(spark, sf_dir))
         classifier = train_classifier(split, FaultClassifier(backend))
         return classifier_contract(spark, classifier, split.validation, split.evaluation, scratch_path(spark, "model"), 0.1)
 
@@ -53,7 +53,7 @@ _register_classifier("d11_graph_contract", "graph")
 SELECT scenario_file, count(*) AS n_rules, count(*) AS n_named, 0 AS n_unfounded, 0 AS n_repeated, 0 AS n_unlabelled
 FROM (SELECT DISTINCT r.scenario_file, r.event_time, r.zone_id FROM rule_events r JOIN final f USING (scenario_file, zone_id, row_seq)) GROUP BY ALL"""))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = split_rows(kept_features(spark, sf_dir))
+    split = split_rows(run_features(spark, sf_dir))
     mixture = train_unsupervised(split, MixtureDetector(), target_fpr=0.1)
     classifier = train_classifier(split, FaultClassifier("random_forest"))
     return fused_contract(split.evaluation, detect(split.evaluation, [RuleDetector(), mixture], classifier))
@@ -62,6 +62,6 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("d14_classifier_only_contract", with_sql(_TIMED, """
 SELECT scenario_file, count(*) AS n_keys, 0 AS n_repeated, 0 AS n_odd FROM (SELECT DISTINCT scenario_file, event_time, zone_id FROM final) GROUP BY ALL"""))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = split_rows(kept_features(spark, sf_dir))
+    split = split_rows(run_features(spark, sf_dir))
     classifier = train_classifier(split, FaultClassifier("random_forest"))
     return classified_contract(split.evaluation, detect(split.evaluation, [], classifier))

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from airsleuth.catalog import streams
+from airsleuth.catalog import learned, streams
 from airsleuth.detectors.base import RuleDetector
 from airsleuth.operators.features import SERIES_INPUTS, _roll, build_features
 from airsleuth.operators.ordered import Order, last_rows
@@ -18,9 +18,10 @@ from airsleuth.operators.rules import READ, rule_events
 from airsleuth.operators.splits import PROTOCOLS, split_of
 from airsleuth.plans import hold_out
 from airsleuth.plans.detection import detect, fault_scenarios, split_rows
-from airsleuth.schema import FEATURES, ROW_KEYS, SEQ
+from airsleuth.schema import FEATURES, ROW_KEYS, RUN_COLUMNS, SEQ
 from airsleuth.session import cut_lineage
 from airsleuth.streaming.streams import RuleStream
+from tests.conftest import SF
 from tests.frames import raw_frame
 
 
@@ -53,6 +54,12 @@ def test_rules_read_what_they_say(spark, features):
     assert rule_events(narrow).exceptAll(rule_events(features)).isEmpty() and rule_events(narrow).count() == rule_events(features).count()
 
 
+def test_runs_write_what_they_read(spark, features):
+    rows = learned.run_features(spark, SF)
+    assert set(rows.columns) == {*RUN_COLUMNS, "temp_zone_c"}
+    assert rows.exceptAll(features.select(*rows.columns)).isEmpty() and rows.count() == features.count()
+
+
 def test_last_rows_of_series_with_null_keys_and_equal_times(spark):
     at = datetime(2024, 1, 1)
     rows = [("a" if i % 3 else None, at + timedelta(minutes=i // 7), i) for i in range(60)]
