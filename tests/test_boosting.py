@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airsleuth.detectors.boosting import (
-    MIN_HESSIAN, NO_CUT, RATE, RIDGE, Boosted, _gradient_sums, _sigmoid, bin_edges, codes_of, fit_boosting, grow_tree, leaves_of,
+    BINS, MIN_HESSIAN, NO_CUT, RATE, RIDGE, Boosted, _gradient_sums, _sigmoid, bin_edges, codes_of, fit_boosting, grow_tree, leaves_of,
 )
 from airsleuth.schema import FEATURES
 from airsleuth.session import cut_lineage
@@ -108,3 +108,15 @@ def test_the_same_rows_in_other_order_give_the_same_trees(spark, rows):
     target = {"normal": F.col("fault_type") == "normal"}
     a, b = (fit_boosting(r, target, rounds=4, depth=3, fit_rows=120) for r in (rows, cut_lineage(rows.repartition(3, "sa_temp_error_c"))))
     assert np.array_equal(a.feature, b.feature) and np.array_equal(a.cut, b.cut) and np.allclose(a.leaf, b.leaf)
+
+
+def test_cuts_are_those_of_all_rows_however_many_tasks_share_them(rows):
+    """What one node's plain search over all rows finds is the first cut of each output, also where rows are dealt to several tasks."""
+    targets = {"normal": F.col("fault_type") == "normal", "oa": F.when(F.col("fault_type") != "normal", F.col("fault_type") == "oa_bias")}
+    alone, shared = (fit_boosting(rows, targets, rounds=3, depth=4, fit_rows=n) for n in (1000, 40))
+    assert np.array_equal(alone.feature, shared.feature) and np.array_equal(alone.cut, shared.cut) and np.allclose(alone.leaf, shared.leaf)
+    frame = rows.toPandas()
+    codes, faulty = codes_of(frame[FEATURES].to_numpy(float), alone.edges), (frame["fault_type"] != "normal").to_numpy()
+    for k, (here, y) in enumerate(((faulty | True, ~faulty), (faulty, (frame["fault_type"] == "oa_bias").to_numpy()))):
+        _, feature, cut = _best_cut(codes[:, here], 0.5 - y[here], np.full(here.sum(), 0.25), BINS)
+        assert (alone.feature[k, 0, 0], alone.cut[k, 0, 0]) == (feature, cut)
