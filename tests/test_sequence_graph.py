@@ -12,7 +12,9 @@ from airsleuth.detectors.backends import GraphBackend
 from airsleuth.detectors.classifier import FaultClassifier
 from airsleuth.detectors.convolution import TAPS, Kernels, responses, rows_back
 from airsleuth.detectors.graph import adjacency, sparse_inverse
-from airsleuth.schema import FEATURES
+from airsleuth.detectors.runs import COUNT, counted_series
+from airsleuth.plans.detection import training_sample
+from airsleuth.schema import FAULT_TYPES, FEATURES
 from airsleuth.session import cut_lineage
 from tests.frames import separable_frame
 
@@ -101,3 +103,27 @@ def test_responses_slide_over_each_row_once():
         places = back.shape[1] - (TAPS - 1) * dilation
         laid = sum(taps[back[:, j * dilation:j * dilation + places], j] for j in range(TAPS))
         assert (got[:, 2 * k] == laid.max(axis=1)).all() and (got[:, 2 * k + 1] == (laid > threshold).mean(axis=1)).all()
+
+
+def test_sequence_models_learn_from_all_rows_unless_a_share_is_asked_for(rows):
+    assert training_sample(rows, "sequence").count() == rows.count() == 600
+    assert training_sample(rows, "sequence", 0.2).count() == 120
+
+
+def test_equal_series_are_computed_once_and_counted(rows):
+    """Zones with the same rows stand for each other, also without a name; a zone with another value or fewer rows does not."""
+    third = rows.withColumn("zone_id", F.lit("zone_3")).withColumn(FEATURES[0], F.when(F.col("row_seq") == 50, 9.0).otherwise(F.col(FEATURES[0])))
+    zones = rows.unionByName(rows.withColumn("zone_id", F.lit(None).cast("string"))).unionByName(third)
+    zones = cut_lineage(zones.unionByName(rows.filter("row_seq < 99").withColumn("zone_id", F.lit("zone_4"))))
+    found = counted_series(zones, ["fault_type", *FEATURES])
+    got = {(r.scenario_file, r[COUNT], r.n) for r in found.groupBy("scenario_file", "zone_id", COUNT).agg(F.count("*").alias("n")).collect()}
+    assert got == {(f"{f}.csv", c, n) for f in FAULT_TYPES for c, n in ((2, 100), (1, 100), (1, 99))}
+    assert found.agg(F.sum(COUNT)).first()[0] == zones.count()
+
+
+def test_a_sequence_head_weighs_classes_and_copies(rows):
+    """Copies of all series change nothing; every window counts, however few its class has."""
+    few = cut_lineage(rows.filter("fault_type = 'normal' OR row_seq < 45"))
+    copies = cut_lineage(few.unionByName(few.withColumn("zone_id", F.lit("zone_2"))))
+    once, twice = (FaultClassifier("sequence", maxIter=30).fit(r).backend.model.coefficientMatrix.toArray() for r in (few, copies))
+    assert np.allclose(once, twice, atol=1e-6)
