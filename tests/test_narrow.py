@@ -41,6 +41,17 @@ def test_frames_end_where_their_series_begins():
         np.testing.assert_array_equal(got["chwc_valve_pct_lag1"][begin:end], part["chwc_valve_pct"].shift(1))
 
 
+def test_only_wanted_columns_are_rolled():
+    random = np.random.default_rng(4)
+    values, group = pd.DataFrame({c: random.normal(50, 1, 300) for c in SERIES_INPUTS}), np.repeat([1, 2], 150)
+    wanted, whole = ["valve_tracking_err_15_mean", "sf_power_w_60_std", "sf_power_w_lag1"], _roll(values, group)
+    wanted = [c for c in wanted if c in whole]
+    got = _roll(values[["valve_tracking_err", "sf_power_w"]], group, wanted)
+    assert sorted(got) == sorted(wanted) and len(wanted) >= 2
+    for c in wanted:
+        np.testing.assert_array_equal(got[c], whole[c])
+
+
 @pytest.mark.parametrize("max_rows", [None, 40])
 def test_kept_columns_equal_those_of_the_whole(spark, max_rows):
     rows = normalize(spark.createDataFrame(raw_frame(150)))

@@ -100,6 +100,19 @@ def test_bursts_and_gaps_equal_brute_force(spark, max_rows, minutes):
     np.testing.assert_allclose(got_gaps, delta.set_axis(frame["s"]).sort_index(), equal_nan=True)
 
 
+def test_bursts_detect_once(spark):
+    """Cutting series into slices does not compute the detected rows again, however often it looks at them."""
+    calls, frame = spark.sparkContext.accumulator(0), skewed()
+
+    @F.udf("boolean")
+    def detected(s):
+        calls.add(1)
+        return s >= 0
+
+    rows = spark.createDataFrame(frame).filter(detected.asNondeterministic()("s"))
+    assert alert_bursts(rows, 5, ORDER, 50).agg(F.sum("rows")).first()[0] == len(frame) == calls.value
+
+
 def test_gap_of_exactly_the_limit_does_not_split(spark):
     base = datetime(2024, 1, 1)
     rows = [("a", base + timedelta(minutes=m), i) for i, m in enumerate([0, 5, 10, 16])]
