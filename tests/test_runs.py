@@ -91,3 +91,21 @@ def test_training_features_are_written_before_they_are_copied_to_zones(spark, mo
     whole = all_features(spark, "/root/testdata/sf0.001")
     assert rows.dtypes == whole.dtypes and sizes == [whole.count() / 5]
     assert rows.exceptAll(whole).isEmpty() and whole.exceptAll(rows).isEmpty()
+
+
+def test_runs_go_on_from_batch_to_batch(spark):
+    """Runs longer than a batch, of nulls and NaN too, and what networks write: equal rows once, nothing in zones."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        values = [("a", 1.0)] * 11 + [("b", 1.0)] * 2 + [(None, 2.0)] * 6 + [("b", 2.0)]
+        counted = counted_runs(spark.createDataFrame(values, "l string, x double").coalesce(1), ["x", "l"])
+        assert [tuple(r) for r in counted.collect()] == [(1.0, "a", 11), (1.0, "b", 2), (2.0, None, 6), (2.0, "b", 1)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_networks_write_equal_rows_once(spark):
+    rows = spark.createDataFrame([(1.0 * (i // 5), "normal") for i in range(40)], "x double, fault_type string").coalesce(1)
+    rows = rows.select(*[F.col("x").alias(c) for c in FEATURES], "fault_type")
+    kept = FaultClassifier("graph").backend.kept(rows)
+    assert kept.count() == 8 and kept.agg(F.sum(COUNT)).first()[0] == 40
